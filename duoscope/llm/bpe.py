@@ -28,7 +28,7 @@ from .common import col, from_bytes, same_rows, spread, utf8
 
 NONE = np.iinfo(np.int32).max
 #: Pieces that a worker remembers; more start afresh.
-KEEP = 400_000
+KEEP = 200_000
 #: Characters split at a time.
 SLICE = 1 << 20
 

@@ -6,13 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, tiff
+from . import bpe, chat, fmindex, pii, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised personal data in every text; the counts and base_sha256 are those of the plain spans."""
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), out="pii")
+
+    def listed(spans: str):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
+
+    def count(kind: str):
+        return F.size(F.filter("pii.base", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
+
+    added = (F.size("pii.spans") - F.size("pii.base")).cast("bigint")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"), added.alias("n_added"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and number -7, formatted; the digests come from the formatted text and its mask."""
     probe = "\\### Assistant: </turn> ok"
@@ -31,6 +45,14 @@ def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("doc_id", "n_bytes", F.octet_length("pixels").cast("bigint").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside an occurrence of a ten-word window of a benchmark item, and those items."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = fmindex.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    n_hit = F.aggregate("hits.spans", F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"])
+    return hits.select("doc_id", "hits.n_words", n_hit.alias("n_hit"), F.size("hits.items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "hits.items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,7 +61,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode_column(spark, ranks, F.col("ids")), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_chat_format, op8_tiff_media, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op6_chat_format, op8_tiff_media, op9_decontamination, op10_byte_bpe)}
 
 SQL: dict[str, str] = {
     "op6_chat_format": r"""
@@ -54,5 +76,17 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(15 + length(role) + length(text)
     + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
+""",
+    "op9_decontamination": r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS k FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM win))),
+hits AS (SELECT r, k, n, item_id FROM dw JOIN win USING (n, s)),
+pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """,
 }
