@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fmindex, pii, tiff
+from . import bpe, chat, fmindex, pii, tiff, warc
+from .common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"), added.alias("n_added"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back; digests and sizes of responses are those of the stored payload."""
+    path = Scratch(spark, "op5").path("archives")
+    warc.write_archives(warc.as_records(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    back = warc.read_archives(spark, path)
+    here = F.col("record_type") == "response"
+
+    def number(c: str):
+        return F.substring_index(c, ":", -1).try_cast("bigint")
+
+    return back.select(
+        number("record_id").alias("page_id"), F.when(here, F.octet_length("payload").cast("bigint")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(here, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"),
+    )
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and number -7, formatted; the digests come from the formatted text and its mask."""
     probe = "\\### Assistant: </turn> ok"
@@ -61,9 +78,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode_column(spark, ranks, F.col("ids")), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op6_chat_format, op8_tiff_media, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op5_warc, op6_chat_format, op8_tiff_media, op9_decontamination, op10_byte_bpe)}
 
 SQL: dict[str, str] = {
+    "op5_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN top IS NOT NULL AND (page_id IS NULL OR page_id < top) THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN top IS NOT NULL AND (page_id IS NULL OR page_id < top) THEN top END AS refers_to
+FROM p LEFT JOIN g USING (h)
+""",
     "op6_chat_format": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
