@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fmindex, pii, tiff, warc
+from . import bpe, chat, fmindex, langid, pii, tiff, warc
 from .common import Scratch
 
 
@@ -54,6 +54,25 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("conv_id", F.size("r.turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("r.trained").cast("bigint").alias("loss_chars"), F.sha2("r.trained", 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from its text, its declared language and its source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    found = langid.identify(docs, F.col("text"), declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", F.col("lang").alias("declared"), "language.lang", F.round("language.posterior", 6).alias("posterior"), "language.text_lang", "language.trigrams", "language.keep")
+
+
+def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, from its text, the language of its markup, its address suffix and its host."""
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z]+://(?:[^@/?#]*@)?([^:/?#]+)", 1))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html", F.nullif(host, F.lit("")).alias("host"))
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    markup = F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]{2,3})", 1)), F.lit(""))
+    parts = F.split("host", r"\.")
+    domain = F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)))
+    found = langid.identify(pages, text, declared=markup, host=F.col("host"), domain=F.when(F.col("host").isNotNull(), domain), suffix=F.element_at(parts, -1))
+    return found.select("page_id", markup.alias("declared"), "language.lang", F.round("language.posterior", 6).alias("posterior"), "language.text_lang", "language.keep")
+
+
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a grey TIFF of 192 columns, read back from the stored bytes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), tiff.image_column(tiff.payload_column(F.col("text"))).alias("media"))
@@ -78,7 +97,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode_column(spark, ranks, F.col("ids")), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op5_warc, op6_chat_format, op8_tiff_media, op9_decontamination, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_pii, op5_warc, op6_chat_format, op7_language_id, op8_tiff_media, op9_decontamination, op10_byte_bpe, page_language_id)}
 
 SQL: dict[str, str] = {
     "op5_warc": """
