@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fmindex, langid, pii, tiff, warc
+from . import bpe, chat, chunks, fmindex, langid, pii, tiff, warc
 from .common import Scratch
 
 
@@ -28,6 +28,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"), added.alias("n_added"))
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stand in repeated chunks, and the documents that keep them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = chunks.repeats(docs)
+    sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"))
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_repeated", "n_removed", "longest_run")}
+    none = F.array().cast("array<bigint>")
+    return sizes.join(found, "doc_id", "left").select("doc_id", "n_bytes", *zero.values(), (F.coalesce("n_removed", F.lit(0)) > 0).alias("is_repeat"), F.coalesce("sources", none).alias("sources"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back; digests and sizes of responses are those of the stored payload."""
     path = Scratch(spark, "op5").path("archives")
@@ -97,7 +107,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode_column(spark, ranks, F.col("ids")), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op5_warc, op6_chat_format, op7_language_id, op8_tiff_media, op9_decontamination, op10_byte_bpe, page_language_id)}
+QUERIES = {f.__name__: f for f in (op1_pii, op4_chunk_dedup, op5_warc, op6_chat_format, op7_language_id, op8_tiff_media, op9_decontamination, op10_byte_bpe, page_language_id)}
 
 SQL: dict[str, str] = {
     "op5_warc": """
