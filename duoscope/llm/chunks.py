@@ -22,10 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, col, mix, utf8
+from .common import Scratch, col, mix, slices, utf8
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-SLICE = 1 << 22
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -61,9 +60,7 @@ def chunk_rows(batches, bits: int, least: int, most: int):
     digest = xxhash.xxh3_128_digest
     for batch in batches:
         buf, offs = utf8(batch.column(1))
-        at = 0
-        while at < len(offs) - 1:
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE, side="right")) - 1)
+        for at, to in slices(offs):
             part, o = buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             place = np.flatnonzero(gear(part) >> np.uint32(32 - bits) == 0) + 1
             first = np.searchsorted(place, o[:-1] + 32)  # the first 31 bytes of a row still hold bytes of the one before
@@ -87,7 +84,6 @@ def chunk_rows(batches, bits: int, least: int, most: int):
             halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             index = np.repeat(np.arange(at, to), rows)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), pa.array(starts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(again, pa.bool_())], names=["doc", "start", "size", "d1", "d2", "again"])
-            at = to
 
 
 RUNS = "struct<n_repeated:bigint,n_removed:bigint,longest_run:bigint,removed:array<struct<start:bigint,end:bigint>>,sources:array<bigint>>"

@@ -47,6 +47,15 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
 
 
+def slices(offs: np.ndarray, size: int = 1 << 22):
+    """First and last row (exclusive) of stretches of rows of some size bytes, one row at least."""
+    at = 0
+    while at < len(offs) - 1:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, side="right")) - 1)
+        yield at, to
+        at = to
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that scatters them."""
     h = (h ^ (h >> np.uint64(30))) * M1

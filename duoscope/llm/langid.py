@@ -27,10 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, same_rows, tmp_name, utf8
+from .common import Scratch, same_rows, slices, tmp_name, utf8
 
 BUCKETS = 1 << 16
-SLICE = 1 << 22
 #: Hosts whose table is sent to all executors (some 100 bytes each); with more, the table is joined by a shuffle.
 HOSTS = 50_000
 LETTERS = np.full(256, 32, np.uint8)
@@ -56,15 +55,6 @@ def trigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return bucket, good
 
 
-def slices(offs: np.ndarray):
-    """Stretches of rows of some SLICE bytes."""
-    at = 0
-    while at < len(offs) - 1:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE, side="right")) - 1)
-        yield at, to
-        at = to
-
-
 def model(rows: DataFrame, sample: int, most: int) -> tuple[list[str], np.ndarray]:
     """The languages, in order, and the log-probability of each bucket in each of them."""
     counts = {r[0]: r[1] for r in rows.where(F.col("declared").isNotNull()).groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most).collect()}
