@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chunks, fmindex, jaccard, langid, pii, tiff, warc
+from . import bpe, chat, chunks, fmindex, jaccard, langid, pii, suffixes, tiff, warc
 from .common import Scratch
 
 
@@ -28,6 +28,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"), added.alias("n_added"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 400-byte strings that stand elsewhere too."""
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document, four-word shingles and a similarity of 85 in 100."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -112,7 +119,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode_column(spark, ranks, F.col("ids")), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_jaccard_join, op4_chunk_dedup, op5_warc, op6_chat_format, op7_language_id, op8_tiff_media, op9_decontamination, op10_byte_bpe, page_language_id)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_jaccard_join, op4_chunk_dedup, op5_warc, op6_chat_format, op7_language_id, op8_tiff_media, op9_decontamination, op10_byte_bpe, page_language_id)}
 
 SQL: dict[str, str] = {
     "op3_jaccard_join": r"""
