@@ -86,9 +86,9 @@ def heavy_rows(batches, k: int):
 
 
 def features_rows(batches, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray):
-    """doc, n, the set's two fingerprints, its prefix in the corpus order, and its parity bitmap."""
+    """doc, key, n, the set's two fingerprints, its prefix in the corpus order, and its parity bitmap."""
     for batch in batches:
-        buf, offs = utf8(batch.column(1))
+        buf, offs = utf8(batch.column(2))
         for a, b in slices(offs):
             tokens, at = sets_of(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k)
             n = np.diff(at)
@@ -118,7 +118,7 @@ def features_rows(batches, k: int, percent: int, heavy: np.ndarray, rank: np.nda
             sizes = np.array([len(p) for p in prefix], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(prefix) if rows else np.zeros(0, np.int64), pa.int64()))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (BITS // 64), pa.int32()), pa.array(parity.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists, bits], names=["doc", "n", "h1", "h2", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists, bits], names=["doc", "key", "n", "h1", "h2", "prefix", "parity"])
 
 
 def lists_of(batches, columns: list[str]):
@@ -234,7 +234,7 @@ class Join:
         tokens, counts = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
         order = np.argsort(tokens)
         heavy = self.spark.sparkContext.broadcast((tokens[order], counts[order]))
-        made = self.rows.mapInArrow(lambda it: features_rows(it, k, percent, *heavy.value), "doc bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, parity array<bigint>")
+        made = self.rows.select("doc", "key", "text").mapInArrow(lambda it: features_rows(it, k, percent, *heavy.value), "doc bigint, key bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, parity array<bigint>")
         return self.scratch.keep(made, "features")
 
     def near(self, pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ class Join:
         return self.scratch.keep(both.where(linked_column("ta", "tb", self.k, self.percent)).select("a", "b"), "checked")
 
     def run(self) -> DataFrame:
-        """doc, n and component of every row."""
+        """doc, key, n and component of every row."""
         percent = self.percent
         features = self.features()
         with_id = features.where("n > 0 AND doc IS NOT NULL")
@@ -273,8 +273,8 @@ class Join:
         second = self.scratch.keep(self.near(again, bits), "pairs")
         more = self.check(second, texts)
         labels = components(links.union(more), self.scratch)
-        members = features.join(sets.select("h1", "h2", "sid"), ["h1", "h2"], "left").select("doc", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
-        return members.join(labels, members.sid == labels.node, "left").select("doc", "n", F.coalesce("component", "sid", "doc").alias("component"))
+        members = features.join(sets.select("h1", "h2", "sid"), ["h1", "h2"], "left").select("doc", "key", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
+        return members.join(labels, members.sid == labels.node, "left").select("doc", "key", "n", F.coalesce("component", "sid", "doc").alias("component"))
 
     def texts(self, ids: DataFrame) -> DataFrame:
         """Texts of the sets that share an indexed shingle with another."""
@@ -286,7 +286,24 @@ class Join:
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """One row for each row of df: its id, n_shingles (long) and component_id (the smallest id that links lead to)."""
-    rows = df.select(col(doc).cast("bigint").alias("doc"), col(text).alias("text"))
+    """One row for each row of df: its id, n_shingles (long), component_id (the smallest id that links lead to) and
+    text_key (xxhash64 of the text, which tells rows of one id apart)."""
+    rows = df.select(col(doc).cast("bigint").alias("doc"), F.xxhash64(col(text)).alias("key"), col(text).alias("text"))
     done = Join(df.sparkSession, rows, k, percent).run()
-    return done.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return done.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("key").alias("text_key"))
+
+
+def keep_one(df: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df but for all except one of each component of found (near_duplicates() of df).
+
+    The row with the smallest id stays, of rows of that id the one with the smallest text key, and one of rows that are
+    the same in both. Rows without an id stay, since nothing names them.
+    """
+    kept = found.where(F.col(doc).isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col(doc).alias("d"), F.col("text_key").alias("q"))).alias("x")).select("x.d", "x.q")
+    kept = Scratch(df.sparkSession, "kept").keep(kept, "ids")
+    if kept.count() <= SMALL:
+        kept = F.broadcast(kept)
+    rows = df.where(col(doc).isNotNull()).join(kept, (col(doc) == F.col("d")) & (F.xxhash64(col(text)) == F.col("q")), "left_semi")
+    if not found.groupBy(doc, "text_key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates([doc, text])
+    return rows.unionByName(df.where(col(doc).isNull()))
