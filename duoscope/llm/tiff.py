@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import col, from_bytes, same_rows, tmp_name, utf8
+from .common import col
 
 # Fixed values of the format.
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -302,9 +302,10 @@ def read_pages(df: DataFrame, image: str, keep: list[str]) -> DataFrame:
     clash = {"page", "width", "height", "samples", "pixels", "feature"} & {k.lower() for k in keep}
     if clash:
         raise ValueError(f"columns {sorted(clash)} are made here; rename those of the table")
-    slim = df.select(*[col(k) for k in keep], col(image).alias(tmp_name(df)))
-    kept = slim.select(*[col(k) for k in keep]).schema
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept), "page bigint, width int, height int, samples int, pixels binary, feature string"])
+    made = ["page", "width", "height", "samples", "pixels", "feature"]
+    plain = [f"k{i}" for i in range(len(keep))]  # names with dots don't pass through mapInArrow
+    slim = df.select(*[col(k).alias(p) for k, p in zip(keep, plain)], col(image).alias("image"))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema[:-1]), "page bigint, width int, height int, samples int, pixels binary, feature string"])
 
     def walk(batches):
         for batch in batches:
@@ -314,7 +315,7 @@ def read_pages(df: DataFrame, image: str, keep: list[str]) -> DataFrame:
             def flush():
                 arrays = [batch.column(i).take(pa.array(source, pa.int64())) for i in range(len(keep))]
                 kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-                return pa.RecordBatch.from_arrays(arrays + [pa.array(c, k) for c, k in zip(cols, kinds)], names=[*keep, "page", "width", "height", "samples", "pixels", "feature"])
+                return pa.RecordBatch.from_arrays(arrays + [pa.array(c, k) for c, k in zip(cols, kinds)], names=[*plain, *made])
 
             for i, f in enumerate(files):
                 if not f.is_valid:
@@ -332,4 +333,4 @@ def read_pages(df: DataFrame, image: str, keep: list[str]) -> DataFrame:
             if source:
                 yield flush()
 
-    return slim.mapInArrow(walk, schema)
+    return slim.mapInArrow(walk, schema).toDF(*keep, *made)

@@ -1,0 +1,80 @@
+"""Personal data: plain spans against the contract's patterns, disguises, and rows out of the ordinary."""
+
+import random
+import re
+
+import pytest
+
+from duoscope.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    found = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and pii.luhn(digits)):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            found.append((m.start(), k, m.end()))
+    return sorted(found)
+
+
+def test_plain_spans_equal_the_patterns():
+    rng = random.Random(3)
+    pieces = [*"ab01259..@@+- ()é", "192.168.1.1", "4111111111111111", "a@b.co"]
+    for _ in range(8000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 40)))
+        assert pii.plain(text) == brute(text), text
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("write john [at] example [dot] com now", "email", "john [at] example [dot] com"),
+        ("write john dot doe at example dot com now", "email", "john dot doe at example dot com"),
+        ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
+        ("mail: bob＠site．org", "email", "bob＠site．org"),
+        ("john.doe at example.com", "email", "john.doe at example.com"),
+        ("card four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
+        ("call plus four nine one seven two three four five six seven eight", "phone", "plus four nine one seven two three four five six seven eight"),
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("192[.]168[.]1[.]1", "ip", "192[.]168[.]1[.]1"),
+        ("４１１１ 1111 1111 1111", "card", "４１１１ 1111 1111 1111"),
+        ("+4​9 170 1234567", "phone", "+4​9 170 1234567"),
+    ],
+)
+def test_disguises_map_back_to_the_source(text, kind, found):
+    base, spans = pii.find(text)
+    assert set(base) <= set(spans)
+    assert (kind, found) in [(pii.KINDS[k], text[s:e]) for s, k, e in spans]
+
+
+@pytest.mark.parametrize("text", ["meet me at example.com", "look at it. Now", "one two three", "İstanbul one two", "été à l'œuvre — déjà vu", ""])
+def test_clean_texts_stay_clean(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_a_long_run_takes_linear_time():
+    assert pii.find("1" * 300_000 + "." * 1000 + "a" * 300_000 + "@") == ([], [])
+
+
+def test_rows_out_of_the_ordinary(spark):
+    rows = [(1, None, "x"), (2, "", "x"), (2, "a@b.co", None), (2, "a@b.co", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `p.ii` string")
+    got = pii.detect(df, redacted=True).orderBy("doc_id", "text").collect()
+    assert [len(r.pii.spans) for r in got] == [0, 0, 1, 1]
+    assert [r.pii.redacted for r in got] == [None, "", "<EMAIL>", "<EMAIL>"]
+    assert pii.detect(df.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="already has"):
+        pii.detect(df, out="TEXT")
