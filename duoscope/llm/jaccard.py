@@ -11,11 +11,11 @@ n - ceil(percent n / 100) + 1 of each, so only these are indexed, each with its
 ordered by set size; blocks whose sizes cannot link are skipped by binary search, and so are entries whose positions
 leave too little room for the intersection.
 
-Answers. Of each list a set first takes only the smallest set that can link with it, and of these the one that most of
-its lists name. Where that link holds, the set takes over the other's component. The lists are then walked again, and
-only pairs of sets with different components are compared: what a highly similar set has answered is not asked again.
-Candidates must pass a bound by parity bitmaps (differing bits never outnumber differing shingles) and are then checked
-exactly on their texts.
+Answers. In each of a few rounds every set takes one set of another component from each of its lists, and of these the
+one that most lists name. Where that link holds, the components become one, and lists that hold a single component are
+dropped: what a highly similar set has answered is not asked again. All pairs of different components in the lists that
+are left are then compared. Candidates must pass a bound by parity bitmaps (differing bits never outnumber differing
+shingles) and are then checked exactly on their texts.
 
 Nulls and texts without words have no shingles, are linked with nothing and are their own component. Rows that
 share an id are documents of one name, each with its own set. A row without an id gets the component of its set if a
@@ -41,6 +41,8 @@ BITS = 1024
 SHARE = 4096
 #: Rows of ids, 8 bytes each, that are sent to all executors as a filter; more are joined by a shuffle.
 SMALL = 1_000_000
+#: Rounds in which each set is compared with one other, before what is left is compared in full.
+TURNS = 3
 
 
 def sets_of(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,11 +123,18 @@ def features_rows(batches, k: int, percent: int, heavy: np.ndarray, rank: np.nda
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists, bits], names=["doc", "key", "n", "h1", "h2", "prefix", "parity"])
 
 
+def numbers(col: pa.Array) -> np.ndarray:
+    """A column as numpy values, lists of one length as rows."""
+    if pa.types.is_list(col.type):
+        return col.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64)
+    return col.to_numpy(zero_copy_only=False)
+
+
 def lists_of(batches, columns: list[str]):
     """The rows of a partition sorted by token, as numpy columns, never with part of a token's list."""
     held = None
     for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
+        cols = [numbers(batch.column(batch.schema.get_field_index(c))) for c in columns]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
         if not len(cols[0]):
@@ -138,43 +147,74 @@ def lists_of(batches, columns: list[str]):
         yield held
 
 
-def shared_rows(batches, percent: int):
-    """Entries of lists of two sets or more, each with the smallest set of its list that can link with it (else null)."""
-    for token, sid, n, pos in lists_of(batches, ["token", "sid", "n", "pos"]):
-        fresh = np.concatenate([[True], token[1:] != token[:-1]])
-        group = np.cumsum(fresh) - 1
-        many = np.bincount(group)[group] > 1
-        token, sid, n, pos, group = (x[many] for x in (token, sid, n, pos, group))
+def star_rows(batches, percent: int, turn: int):
+    """Entries of lists that hold two components or more, each with a set of another component to compare with, or null.
+
+    That set's size can link. In turn 0 it is the list's set with the smallest id, else the smallest one; in turn 1 the
+    nearest before in order of size, else the nearest after; in turn 2 the smallest.
+    """
+    for token, sid, n, pos, label in lists_of(batches, ["token", "sid", "n", "pos", "label"]):
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(starts, len(token)))
+        many = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
+        token, sid, n, pos, label = (x[many] for x in (token, sid, n, pos, label))
         if not len(token):
             continue
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(starts, len(token)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        # the nearest places after and before with another label
+        new = np.concatenate([[True], (label[1:] != label[:-1]) | (token[1:] != token[:-1])])
+        edges = np.flatnonzero(new)
+        run = np.cumsum(new) - 1
+        after = np.append(edges[1:], len(token))[run]
+        before = edges[run] - 1
         wide = np.int64(n.max() + 1)
         low = np.searchsorted(group * wide + n, group * wide + (n * percent + 99) // 100)
-        centre = sid[low]
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sid), pa.array(n), pa.array(pos), pa.array(centre, mask=centre == sid)], names=["token", "sid", "n", "pos", "centre"])
 
+        def usable(c):
+            inside = (c >= 0) & (c < len(token))
+            c = np.clip(c, 0, len(token) - 1)
+            return inside & (group[c] == group) & (label[c] != label) & (100 * np.minimum(n[c], n) >= percent * np.maximum(n[c], n))
 
-def pair_rows(batches, percent: int, block: int = 1 << 21):
-    """Pairs of sets in one list, of different components, whose sizes and positions allow a link."""
+        order = np.lexsort((sid, group))
+        smallest_id = order[starts][group]
+        rules = {0: (smallest_id, low, after[low]), 1: (before, after), 2: (low, after[low], after)}[turn]
+        best = np.full(len(token), -1)
+        for c in rules:
+            take = (best < 0) & usable(c)
+            best[take] = c[take]
+        centre = pa.array(sid[np.maximum(best, 0)], mask=best < 0)
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sid), pa.array(n), pa.array(pos), centre], names=["token", "sid", "n", "pos", "centre"])
 
-    def pairs(i, j, sid, n, pos, label):
+
+def pair_rows(batches, percent: int, block: int = 1 << 20):
+    """Pairs of sets in one list, of different components, whose sizes, positions and bitmaps allow a link."""
+
+    def pairs(i, j, sid, n, pos, label, bits):
         need = ((n[i] + n[j]) * percent + 99 + percent) // (100 + percent)
-        room = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-        ok = (label[i] != label[j]) & (sid[i] != sid[j]) & (room >= need)
-        a, b = np.maximum(sid[i[ok]], sid[j[ok]]), np.minimum(sid[i[ok]], sid[j[ok]])
-        both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        room = np.minimum(n[i] - pos[i], n[j] - pos[j])
+        ok = np.flatnonzero((label[i] != label[j]) & (sid[i] != sid[j]) & (room >= need))
+        i, j, need = i[ok], j[ok], need[ok]
+        odd = np.zeros(len(i), np.int64)
+        for k in range(bits.shape[1]):
+            odd += np.bitwise_count(bits[i, k] ^ bits[j, k])
+        ok = odd <= n[i] + n[j] - 2 * need
+        i, j = i[ok], j[ok]
+        both = np.unique(np.stack([np.maximum(sid[i], sid[j]), np.minimum(sid[i], sid[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    for token, sid, n, pos, label in lists_of(batches, ["token", "sid", "n", "pos", "label"]):
+    for token, sid, n, pos, label, bits in lists_of(batches, ["token", "sid", "n", "pos", "label", "parity"]):
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(token))))
         # a pair of different components has a member outside the component that is commonest in the list
         order = np.lexsort((label, group))
-        edge = np.flatnonzero(np.concatenate([[True], (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1])]))
+        by_group, by_label = group[order], label[order]
+        edge = np.flatnonzero(np.concatenate([[True], (by_group[1:] != by_group[:-1]) | (by_label[1:] != by_label[:-1])]))
         run = np.diff(np.append(edge, len(order)))
-        best = np.lexsort((run, group[order][edge]))
-        top = best[np.concatenate([group[order][edge][best][1:] != group[order][edge][best][:-1], [True]])]
-        main = label[order[edge[top]]]
-        other = np.flatnonzero(label != main[group])
+        best = np.lexsort((run, by_group[edge]))
+        top = best[np.append(by_group[edge][best][1:] != by_group[edge][best][:-1], True)]
+        other = np.flatnonzero(label != by_label[edge[top]][group])
         if not len(other):
             continue
         wide = np.int64(n.max() * 2 + 2)
@@ -182,12 +222,12 @@ def pair_rows(batches, percent: int, block: int = 1 << 21):
         low = np.searchsorted(key, group[other] * wide + (n[other] * percent + 99) // 100)
         high = np.searchsorted(key, group[other] * wide + n[other] * 100 // percent, side="right")
         size = high - low
-        at = 0
         total = np.cumsum(size)
+        at = 0
         while at < len(other):
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + block, side="right")))
             i = spread(low[at:to], size[at:to])
-            yield pairs(i, np.repeat(other[at:to], size[at:to]), sid, n, pos, label)
+            yield pairs(i, np.repeat(other[at:to], size[at:to]), sid, n, pos, label, bits)
             at = to
 
 
@@ -251,6 +291,21 @@ class Join:
         both = pairs.join(left, "a").join(right, "b")
         return self.scratch.keep(both.where(linked_column("ta", "tb", self.k, self.percent)).select("a", "b"), "checked")
 
+    def labelled(self, lists: DataFrame, labels: DataFrame) -> DataFrame:
+        return lists.join(labels, lists.sid == labels.node, "left").select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("label"))
+
+    def merge(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+        """node and component after new links; labels has those before, for nodes with a link."""
+        if labels is None:
+            return components(links, self.scratch)
+        names = labels.select("node", "component")
+        ends = links.join(names.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(names.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
+        ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+        joined = components(ends, self.scratch).withColumnsRenamed({"node": "old", "component": "new"})
+        moved = names.join(joined, names.component == joined.old, "left").select("node", F.coalesce("new", "component").alias("component"))
+        fresh = joined.join(names, joined.old == names.node, "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+        return self.scratch.keep(moved.union(fresh), "labels")
+
     def run(self) -> DataFrame:
         """doc, key, n and component of every row."""
         percent = self.percent
@@ -258,21 +313,24 @@ class Join:
         with_id = features.where("n > 0 AND doc IS NOT NULL")
         sets = with_id.groupBy("h1", "h2").agg(F.min("doc").alias("sid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
         sets = self.scratch.keep(sets, "sets")
-        entries = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", "n", F.col("pos").cast("bigint").alias("pos"))
-        lists = entries.repartition("token").sortWithinPartitions("token", "n", "sid")
-        lists = self.scratch.keep(lists.mapInArrow(lambda it: shared_rows(it, percent), "token bigint, sid bigint, n bigint, pos bigint, centre bigint"), "lists")
+        entries = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", "n", F.col("pos").cast("bigint").alias("pos"), F.col("sid").alias("label"))
         bits = sets.select("sid", "n", "parity")
-        votes = lists.where("centre IS NOT NULL").groupBy(F.col("sid").alias("a"), F.col("centre").alias("b")).count()
-        centres = votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-        first = self.scratch.keep(self.near(centres, bits), "centres")
-        texts = self.texts(lists.select("sid").distinct())
-        links = self.check(first, texts)
-        labels = components(links, self.scratch)
-        labelled = lists.join(labels, lists.sid == labels.node, "left").select("token", "sid", "n", "pos", F.coalesce("component", "sid").alias("label"))
-        again = labelled.repartition("token").sortWithinPartitions("token", "n", "sid").mapInArrow(lambda it: pair_rows(it, percent), "a bigint, b bigint").distinct()
-        second = self.scratch.keep(self.near(again, bits), "pairs")
-        more = self.check(second, texts)
-        labels = components(links.union(more), self.scratch)
+        kind = "token bigint, sid bigint, n bigint, pos bigint, centre bigint"
+        texts = labels = None
+        for turn in range(TURNS):
+            ordered = entries.repartition("token").sortWithinPartitions("token", "n", "sid")
+            lists = self.scratch.keep(ordered.mapInArrow(lambda it, turn=turn: star_rows(it, percent, turn), kind), "lists")
+            if texts is None:
+                texts = self.texts(lists.select("sid").distinct())
+            votes = lists.where("centre IS NOT NULL").groupBy(F.col("sid").alias("a"), F.col("centre").alias("b")).count()
+            centres = votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
+            links = self.check(self.scratch.keep(self.near(centres, bits), "centres"), texts)
+            labels = self.merge(labels, links)
+            entries = self.labelled(lists, labels)
+        # what is left in lists of several components is compared in full
+        multi = entries.join(bits.drop("n"), "sid").repartition("token").sortWithinPartitions("token", "n", "sid")
+        rest = self.scratch.keep(multi.mapInArrow(lambda it: pair_rows(it, percent), "a bigint, b bigint").distinct(), "pairs")
+        labels = self.merge(labels, self.check(rest, texts))
         members = features.join(sets.select("h1", "h2", "sid"), ["h1", "h2"], "left").select("doc", "key", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
         return members.join(labels, members.sid == labels.node, "left").select("doc", "key", "n", F.coalesce("component", "sid", "doc").alias("component"))
 
