@@ -47,8 +47,9 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
 
 
-def slices(offs: np.ndarray, size: int = 1 << 22):
-    """First and last row (exclusive) of stretches of rows of some size bytes, one row at least."""
+def slices(offs: np.ndarray, size: int = 1 << 20):
+    """First and last row (exclusive) of stretches of rows of some size bytes, one row at least; work on a stretch at a
+    time bounds what numpy needs beside the batch."""
     at = 0
     while at < len(offs) - 1:
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + size, side="right")) - 1)
