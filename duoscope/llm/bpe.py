@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import col, from_bytes, same_rows, spread, utf8
+from .common import col, from_bytes, same_rows, slices, spread, utf8
 
 NONE = np.iinfo(np.int32).max
 #: Pieces that a worker remembers; more start afresh.
-KEEP = 200_000
+KEEP = 150_000
 #: Characters split at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -59,7 +59,7 @@ class Merges:
         order = np.argsort(np.array(keys, np.int64))
         self.keys, self.made, self.risky = np.array(keys, np.int64)[order], np.array(made, np.int32)[order], risky
         # open addressing with one key in each slot; the rest is found by binary search
-        self.bits = 21
+        self.bits = 20
         slots = self.slot(self.keys)
         self.slot_key = np.full(1 << self.bits, -1, np.int64)
         self.slot_rank = np.full(1 << self.bits, NONE, np.int32)
@@ -275,13 +275,16 @@ def decode_column(spark: SparkSession, ranks_path: str, ids: Column) -> Column:
     def bytes_of(rows: pa.Array) -> pa.Array:
         size, start, flat = held(("decode", ranks_path), lookup)
         buf, offs = utf8(rows)
-        tokens = np.frombuffer(buf.tobytes(), "<u4").astype(np.int64)
-        if tokens.size and (tokens.max() >= len(size) or (size[tokens] < 0).any()):
-            raise ValueError("an id has no token in the rank file")
-        lens = size[tokens]
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        out = np.concatenate([flat[spread(start[tokens[i : i + SLICE]], lens[i : i + SLICE])] for i in range(0, len(tokens), SLICE)]) if tokens.size else np.zeros(0, np.uint8)
-        return from_bytes(out, ends[offs // 4])
+        parts, ends = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
+        for a, b in slices(offs):
+            tokens = np.frombuffer(buf[offs[a] : offs[b]].tobytes(), "<u4").astype(np.int64)
+            if tokens.size and (tokens.max() >= len(size) or (size[tokens] < 0).any()):
+                raise ValueError("an id has no token in the rank file")
+            lens = size[tokens]
+            done = np.concatenate([[0], np.cumsum(lens)])
+            parts.append(flat[spread(start[tokens], lens)])
+            ends.append(ends[-1][-1] + done[(offs[a + 1 : b + 1] - offs[a]) // 4])
+        return from_bytes(np.concatenate(parts), np.concatenate(ends))
 
     return bytes_of(ids)
 

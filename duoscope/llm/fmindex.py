@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import col, lower_ascii, same_rows, tmp_name, utf8, word_hashes, words
+from .common import col, lower_ascii, same_rows, slices, tmp_name, utf8, word_hashes, words
 
 STEP = 8
 LOWER = lower_ascii()
@@ -151,27 +151,41 @@ class Index:
 def scan(texts: pa.Array, phrases: Phrases) -> dict[str, np.ndarray]:
     """Words of each row, and the hits of a shard: merged spans (row, first and last byte, first and last word) and (row, item) pairs."""
     buf, offs = utf8(texts)
-    buf = LOWER[buf]
-    starts, ends, row = words(buf, offs, IS_WORD)
-    out = {"n_words": np.bincount(row, minlength=len(texts)), "row": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "end": np.zeros(0, np.int64), "first": np.zeros(0, np.int64), "last": np.zeros(0, np.int64), "item_row": np.zeros(0, np.int64), "item": np.zeros(0, np.int64)}
-    if not len(phrases.rows) or not len(starts):
+    n_words = np.zeros(len(texts), np.int64)
+    least = phrases.sizes.min() if len(phrases.rows) else 0
+    kept = []
+    stretches = 0
+    for lo, hi in slices(offs):
+        part, at = LOWER[buf[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo]
+        starts, ends, row = words(part, at, IS_WORD)
+        count = np.bincount(row, minlength=hi - lo)
+        n_words[lo:hi] = count
+        if not least or not len(starts):
+            continue
+        number = phrases.numbers(word_hashes(part, starts, ends))
+        # stretches of phrase words within a row
+        known = number > 0
+        fresh = np.concatenate([[True], (row[1:] != row[:-1]) | ~known[:-1]]) & known
+        stretch = np.cumsum(fresh) - 1
+        use = np.flatnonzero(known)
+        if not use.size:
+            continue
+        use = use[np.bincount(stretch[use])[stretch[use]] >= least]
+        r = row[use]
+        kept.append(np.stack([number[use], stretch[use] + stretches, r + lo, starts[use] - at[r], ends[use] - at[r], use - (np.cumsum(count) - count)[r]]))
+        stretches += int(stretch[-1]) + 1
+    none = np.zeros(0, np.int64)
+    out = {"n_words": n_words} | dict.fromkeys(("row", "start", "end", "first", "last", "item_row", "item"), none)
+    used = np.concatenate(kept, axis=1) if kept else np.zeros((6, 0), np.int64)
+    if not used.shape[1]:
         return out
-    number = phrases.numbers(word_hashes(buf, starts, ends))
-    # stretches of phrase words within a row
-    known = number > 0
-    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | ~known[:-1]]) & known
-    stretch = np.cumsum(fresh) - 1
-    size = np.bincount(stretch[known], minlength=int(stretch[-1]) + 1 if len(stretch) else 0)
-    use = np.flatnonzero(known)
-    use = use[size[stretch[use]] >= phrases.sizes.min()]
-    if not use.size:
-        return out
-    gap = np.concatenate([[0], np.cumsum(stretch[use][1:] != stretch[use][:-1])])
-    s = np.zeros(len(use) + int(gap[-1]) + 1, np.int64)
-    place = np.arange(len(use)) + gap
-    s[place] = number[use]
+    number, stretch, row, starts, ends, nth = used
+    gap = np.concatenate([[0], np.cumsum(stretch[1:] != stretch[:-1])])
+    s = np.zeros(len(number) + int(gap[-1]) + 1, np.int64)
+    place = np.arange(len(number)) + gap
+    s[place] = number
     word = np.full(len(s), -1, np.int64)
-    word[place] = use
+    word[place] = np.arange(len(number))
     index = Index(s, len(phrases.vocabulary))
     low, high = index.search(phrases.rows, phrases.sizes)
     count = high - low
@@ -183,8 +197,7 @@ def scan(texts: pa.Array, phrases: Phrases) -> dict[str, np.ndarray]:
     covered = np.cumsum(cover)[:-1] > 0
     edge = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
     a, b = word[np.flatnonzero(edge == 1)], word[np.flatnonzero(edge == -1) - 1]
-    begin = np.searchsorted(row, row[a])
-    out |= {"row": row[a], "start": starts[a] - offs[row[a]], "end": ends[b] - offs[row[a]], "first": a - begin, "last": b - begin + 1}
+    out |= {"row": row[a], "start": starts[a], "end": ends[b], "first": nth[a], "last": nth[b] + 1}
     per = np.diff(phrases.owner_at)[which]
     hit_row = np.repeat(row[word[at]], per)
     item = phrases.owner[np.repeat(phrases.owner_at[which] - np.concatenate([[0], np.cumsum(per)[:-1]]), per) + np.arange(int(per.sum()))]
