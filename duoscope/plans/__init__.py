@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each an application of the library's operators."""
 
-from . import names
+from . import names, pairs
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "names"]
+__all__ = ["QUERIES", "SQL", "names", "pairs"]

@@ -11,11 +11,11 @@ from .registry import Tables, query
 
 
 def aliases(t: Tables):
-    """Brand and part number for each part but every seventh, which makes unmatched names."""
-    return t.part.where("p_partkey % 7 <> 0").select(F.lower(F.concat("p_brand", F.lit("#"), "p_partkey")).alias("alias"), clean(F.col("p_name")).alias("canonical"))
+    """Brand and part number for each part but those of size 7, which makes unmatched names."""
+    return t.part.where("p_size <> 7").select(F.lower(F.concat("p_brand", F.lit("#"), "p_partkey")).alias("alias"), clean(F.col("p_name")).alias("canonical"))
 
 
-ALIASES = "aliases AS (SELECT lower(p_brand || '#' || p_partkey) AS alias, lower(trim(p_name)) AS canonical FROM part WHERE p_partkey % 7 <> 0)"
+ALIASES = "aliases AS (SELECT lower(p_brand || '#' || p_partkey) AS alias, lower(trim(p_name)) AS canonical FROM part WHERE p_size <> 7)"
 
 
 @query("SELECT c_custkey, lower(trim(c_name)) AS cleaned, regexp_replace(lower(trim(c_name)) || '   x', ' {2,}', ' ', 'g') AS squeezed FROM customer")
@@ -45,11 +45,11 @@ def alias_left_join(t):
 
 @query("""
 SELECT p_partkey, coalesce(i.c, n.c) AS canonical FROM part
-LEFT JOIN (SELECT p_partkey AS k, lower(p_name) AS c FROM part WHERE p_partkey % 3 = 0) i ON p_partkey = i.k
+LEFT JOIN (SELECT p_partkey AS k, lower(p_name) AS c FROM part WHERE p_size <= 16) i ON p_partkey = i.k
 LEFT JOIN (SELECT lower(p_type) AS k, min(lower(p_brand)) AS c FROM part WHERE p_size > 25 GROUP BY 1) n ON lower(trim(p_type)) = n.k
 """)
 def priority_lookup(t):
-    by_id = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("key"), F.lower("p_name").alias("canonical"))
+    by_id = t.part.where("p_size <= 16").select(F.col("p_partkey").alias("key"), F.lower("p_name").alias("canonical"))
     by_name = t.part.where("p_size > 25").groupBy(F.lower("p_type").alias("key")).agg(F.min(F.lower("p_brand")).alias("canonical"))
     return op.priority_lookup(t.part, "p_partkey", "p_type", by_id, by_name, "canonical").select("p_partkey", "canonical")
 
@@ -63,13 +63,13 @@ def self_alias_anti(t):
 
 
 @query("""
-WITH a AS (SELECT lower(p_name) AS alias, CASE WHEN p_partkey % 2 = 0 THEN lower(p_name) ELSE lower(p_brand) END AS canonical,
-    row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 5 <> 0),
+WITH a AS (SELECT lower(p_name) AS alias, CASE WHEN p_size > 25 THEN lower(p_name) ELSE lower(p_brand) END AS canonical,
+    row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS r FROM part WHERE p_size <> 5),
 n AS (SELECT DISTINCT 'part' AS "table", 'p_name' AS "column", lower(p_name) AS name FROM part)
 SELECT "table", "column", name, canonical AS target FROM n LEFT JOIN (SELECT * FROM a WHERE r = 1) ON name = alias WHERE name IS DISTINCT FROM canonical
 """)
 def join_integrity(t):
-    mapped = t.part.where("p_partkey % 5 <> 0").select("p_partkey", F.lower("p_name").alias("alias"), F.when(F.col("p_partkey") % 2 == 0, F.lower("p_name")).otherwise(F.lower("p_brand")).alias("canonical"))
+    mapped = t.part.where("p_size <> 5").select("p_partkey", F.lower("p_name").alias("alias"), F.when(F.col("p_size") > 25, F.lower("p_name")).otherwise(F.lower("p_brand")).alias("canonical"))
     mapped = op.first_wins(mapped, ["alias"], "p_partkey").select("alias", "canonical")
     names = t.part.select(F.lit("part").alias("table"), F.lit("p_name").alias("column"), F.lower("p_name").alias("name"))
     return op.integrity_issues(names, mapped)
@@ -94,8 +94,8 @@ def hop_closure(t):
 
 
 @query("""
-WITH v AS (SELECT DISTINCT lower(p_type) AS ingredient, lower(p_type) AS canonical FROM part WHERE p_partkey % 3 <> 0 UNION SELECT DISTINCT lower(p_brand), lower(p_brand) FROM part WHERE p_partkey % 11 = 0),
-x AS (SELECT lower(p_brand) AS brand, p_size % 3 AS product, lower(p_type) AS ingredient FROM part WHERE p_size < 4 UNION SELECT lower(p_brand), p_size % 3, lower(p_brand) || p_size FROM part WHERE p_size = 2 AND p_partkey % 5 = 0),
+WITH v AS (SELECT DISTINCT lower(p_type) AS ingredient, lower(p_type) AS canonical FROM part WHERE p_size > 16 UNION SELECT DISTINCT lower(p_brand), lower(p_brand) FROM part WHERE p_size = 11),
+x AS (SELECT lower(p_brand) AS brand, p_size AS product, lower(p_type) AS ingredient FROM part WHERE p_size < 4 UNION SELECT lower(p_brand), p_size, lower(p_brand) || p_size FROM part WHERE p_size = 2),
 p AS (SELECT brand, product, bool_and(canonical IS NOT NULL) AS whole, coalesce(string_agg(DISTINCT canonical, ' + ' ORDER BY canonical), '') AS t, count(DISTINCT canonical) AS n FROM x LEFT JOIN v USING (ingredient) GROUP BY ALL),
 b AS (SELECT brand, count(DISTINCT t) FILTER (WHERE whole) AS tuples, min(t) FILTER (WHERE whole) AS i, max(n) FILTER (WHERE whole) AS n FROM p GROUP BY brand)
 SELECT brand, CASE WHEN brand IN (SELECT canonical FROM v) THEN 'known' WHEN tuples = 0 THEN 'unmapped' WHEN tuples > 1 THEN 'ambiguous' WHEN n > 1 THEN 'combination' ELSE 'alias' END AS outcome,
@@ -103,20 +103,20 @@ SELECT brand, CASE WHEN brand IN (SELECT canonical FROM v) THEN 'known' WHEN tup
 """)
 def brand_classification(t):
     low = lambda c: F.lower(c)
-    vocabulary = t.part.where("p_partkey % 3 <> 0").select(low("p_type").alias("ingredient"), low("p_type").alias("canonical")).union(t.part.where("p_partkey % 11 = 0").select(low("p_brand"), low("p_brand"))).distinct()
-    parts = t.part.where("p_size < 4").select(low("p_brand").alias("brand"), (F.col("p_size") % 3).alias("product"), low("p_type").alias("ingredient"))
-    extra = t.part.where("p_size = 2 AND p_partkey % 5 = 0").select(low("p_brand"), F.col("p_size") % 3, F.concat(low("p_brand"), F.col("p_size")))
+    vocabulary = t.part.where("p_size > 16").select(low("p_type").alias("ingredient"), low("p_type").alias("canonical")).union(t.part.where("p_size = 11").select(low("p_brand"), low("p_brand"))).distinct()
+    parts = t.part.where("p_size < 4").select(low("p_brand").alias("brand"), F.col("p_size").alias("product"), low("p_type").alias("ingredient"))
+    extra = t.part.where("p_size = 2").select(low("p_brand"), F.col("p_size"), F.concat(low("p_brand"), F.col("p_size")))
     return op.classify_brands(parts.union(extra).distinct(), vocabulary)
 
 
 @query("""
-WITH base AS (SELECT n_nationkey AS k, n_name AS v FROM nation), c AS (SELECT n_nationkey AS k, 'new ' || n_name AS v, n_regionkey AS r FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 100 + n_nationkey, 'added', n_regionkey + 3 FROM nation),
+WITH base AS (SELECT n_nationkey AS k, n_name AS v FROM nation), c AS (SELECT n_nationkey AS k, 'new ' || n_name AS v, n_regionkey AS r FROM nation WHERE n_regionkey >= 3 UNION ALL SELECT 100 + n_nationkey, 'added', n_regionkey + 3 FROM nation),
 ok AS (SELECT k, v FROM c WHERE r IN (SELECT r_regionkey FROM region))
 SELECT CAST(k AS BIGINT) AS k, v FROM base WHERE k NOT IN (SELECT k FROM ok) UNION ALL SELECT CAST(k AS BIGINT), v FROM ok
 """)
 def override_upsert(t):
     base = t.nation.select(F.col("n_nationkey").cast("bigint").alias("k"), F.col("n_name").alias("v"))
-    changed = t.nation.where("n_nationkey % 4 = 0").selectExpr("CAST(n_nationkey AS bigint) AS k", "concat('new ', n_name) AS v", "n_regionkey AS r_regionkey")
+    changed = t.nation.where("n_regionkey >= 3").selectExpr("CAST(n_nationkey AS bigint) AS k", "concat('new ', n_name) AS v", "n_regionkey AS r_regionkey")
     added = t.nation.selectExpr("CAST(100 + n_nationkey AS bigint) AS k", "'added' AS v", "n_regionkey + 3 AS r_regionkey")
     return op.upsert(base, changed.union(added), "k", t.region.select("r_regionkey"), "r_regionkey")
 
