@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each an application of the library's operators."""
 
-from . import names, pairs, statistics
+from . import names, pairs, reports, statistics
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "names", "pairs", "statistics"]
+__all__ = ["QUERIES", "SQL", "names", "pairs", "reports", "statistics"]
