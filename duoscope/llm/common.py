@@ -134,6 +134,7 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.spark, self.root = spark, f"{base.rstrip('/')}/duoscope/{what}-{uuid.uuid4().hex}"
         self.count = 0
+        self.kept: dict[str, list[str]] = {}
         OPEN.append(self)
 
     def path(self, name: str) -> str:
@@ -142,12 +143,21 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
+        self.kept.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self, name: str, newest: int = 1) -> None:
+        """Deletes all tables kept under a name but the newest; call it when nothing will read the others again."""
+        paths = self.kept.get(name, [])
+        while len(paths) > newest:
+            self.delete(paths.pop(0))
+
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.root)
+        self.delete(self.root)
+
+    def delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

@@ -320,6 +320,7 @@ class Join:
         for turn in range(TURNS):
             ordered = entries.repartition("token").sortWithinPartitions("token", "n", "sid")
             lists = self.scratch.keep(ordered.mapInArrow(lambda it, turn=turn: star_rows(it, percent, turn), kind), "lists")
+            self.scratch.forget("lists")
             if texts is None:
                 texts = self.texts(lists.select("sid").distinct())
             votes = lists.where("centre IS NOT NULL").groupBy(F.col("sid").alias("a"), F.col("centre").alias("b")).count()
@@ -330,6 +331,7 @@ class Join:
         # what is left in lists of several components is compared in full
         multi = entries.join(bits.drop("n"), "sid").repartition("token").sortWithinPartitions("token", "n", "sid")
         rest = self.scratch.keep(multi.mapInArrow(lambda it: pair_rows(it, percent), "a bigint, b bigint").distinct(), "pairs")
+        self.scratch.forget("lists", 0)
         labels = self.merge(labels, self.check(rest, texts))
         members = features.join(sets.select("h1", "h2", "sid"), ["h1", "h2"], "left").select("doc", "key", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
         return members.join(labels, members.sid == labels.node, "left").select("doc", "key", "n", F.coalesce("component", "sid", "doc").alias("component"))
