@@ -24,14 +24,14 @@ def clean_names(t):
 
 
 @query("""
-SELECT doc_id, length(head) AS n, CASE WHEN regexp_matches(head, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN 'control' WHEN bare = '' THEN 'empty' WHEN length(bare) > 150 THEN 'too_long'
+SELECT doc_id, line, length(head) AS n, CASE WHEN regexp_matches(head, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN 'control' WHEN bare = '' THEN 'empty' WHEN length(bare) > 150 THEN 'too_long'
   WHEN NOT regexp_matches(bare, '^[\\p{L}\\p{N} .,''()+/%#-]+$') THEN 'charset' END AS problem, n_parts
-FROM (SELECT doc_id, head, regexp_replace(trim(head), ' {2,}', ' ', 'g') AS bare, CAST(len(list_filter(string_split(head, ','), lambda x: trim(x) <> '')) AS BIGINT) AS n_parts
-  FROM (SELECT doc_id, string_split(text, chr(10))[1] AS head FROM documents))
+FROM (SELECT doc_id, line, head, regexp_replace(trim(head), ' {2,}', ' ', 'g') AS bare, CAST(len(list_filter(string_split(head, ','), lambda x: trim(x) <> '')) AS BIGINT) AS n_parts
+  FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS head FROM documents))
 """)
 def input_validation(t):
-    docs = t.documents.select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("head"))
-    return docs.select("doc_id", F.char_length("head").cast("bigint").alias("n"), input_problem(F.col("head")).alias("problem"), F.size(split_input(F.col("head"))).cast("bigint").alias("n_parts"))
+    docs = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "head"))
+    return docs.select("doc_id", (F.col("line") + 1).cast("bigint").alias("line"), F.char_length("head").cast("bigint").alias("n"), input_problem(F.col("head")).alias("problem"), F.size(split_input(F.col("head"))).cast("bigint").alias("n_parts"))
 
 
 @query(f"""
