@@ -50,3 +50,27 @@ def test_repeated_rows_without_id_and_empty_table(spark):
     df = spark.createDataFrame([(None, text), (7, text)], "doc_id long, text string")
     assert {r.doc_id: r.n_removed for r in chunks.repeats(df).collect()} == {7: 0}
     assert chunks.repeats(df.limit(0)).collect() == []
+
+
+def test_passages_of_51_words_are_covered_to_the_byte_wherever_they_stand(spark):
+    rng = random.Random(6)
+    docs, passages = [], []
+    for i in range(150):
+        passages.append(" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 6))) for _ in range(51)))
+        for k in range(2):
+            docs.append((2 * i + k, f"{prose(rng, rng.randint(0, 60))}{2 * k}{passages[i]}{2 * k + 1}{prose(rng, rng.randint(0, 60))}"))
+    got = {r.doc_id: r for r in chunks.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, p in enumerate(passages):
+        first, second = got[2 * i], got[2 * i + 1]
+        at = docs[2 * i + 1][1].index(p)
+        assert first.n_repeated == len(p) and first.n_removed == 0
+        assert [(s.start, s.end) for s in second.removed] == [(at, at + len(p))] and second.sources == [2 * i]
+
+
+def test_a_seed_is_carried_on_like_the_occurrence_that_goes_furthest(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 60)
+    # the smallest id shares only the middle of the passage with the others
+    docs = [(1, "#" + passage[110:260] + "#" + prose(rng, 20)), (2, prose(rng, 30) + "2" + passage + "3"), (3, prose(rng, 20) + "4" + passage + "5"), (None, "6" + passage + "7")]
+    got = {r.doc_id: r for r in chunks.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[2].n_repeated == got[3].n_repeated == got[3].n_removed == len(passage)
