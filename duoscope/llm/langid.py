@@ -10,7 +10,8 @@ The last three come from one table of counts by host, domain, suffix, declaratio
 aggregation over all rows that is summed before its shuffle.
 
 The trigram model is fitted on a sample of rows with a declaration: about `sample` rows for each language, chosen by a
-hash of the text, whole texts. Only the `most` commonest declared languages are told apart; that bounds the model.
+hash of the text, whole texts. Every declared language is told apart; each takes 256 KB of the model in a process. A
+declaration counts by its language alone: en, EN and en-US are all en.
 
 A row without any letter, or whose best posterior is below `least`, is not kept; with no declared language anywhere
 there is nothing to choose from, language and posterior are null and no row is kept. Null evidence says nothing; nulls
@@ -30,7 +31,8 @@ from pyspark.sql.functions import arrow_udf
 from .common import Scratch, same_rows, slices, tmp_name, utf8
 
 BUCKETS = 1 << 16
-#: Hosts whose table is sent to all executors (some 100 bytes each); with more, the table is joined by a shuffle.
+#: Values (hosts, declarations, suffixes) whose table is sent to all executors, for up to ten languages (some 100 bytes
+#: each), and fewer for more; a larger table is joined by a shuffle.
 HOSTS = 50_000
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -55,9 +57,14 @@ def trigrams(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return bucket, good
 
 
-def model(rows: DataFrame, sample: int, most: int) -> tuple[list[str], np.ndarray]:
+def small(table: DataFrame, size: int) -> DataFrame:
+    """table, marked for broadcast if its rows, with a number for each language, are few."""
+    return F.broadcast(table) if table.count() * max(10, size) <= HOSTS * 10 else table
+
+
+def model(rows: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
     """The languages, in order, and the log-probability of each bucket in each of them."""
-    counts = {r[0]: r[1] for r in rows.where(F.col("declared").isNotNull()).groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most).collect()}
+    counts = {r[0]: r[1] for r in rows.where(F.col("declared").isNotNull()).groupBy("declared").count().collect()}
     names = sorted(counts)
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
@@ -77,10 +84,15 @@ def model(rows: DataFrame, sample: int, most: int) -> tuple[list[str], np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(sums[hit], pa.int64())], names=["cell", "n"])
 
     table = picked.select("declared", "text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    grid = np.zeros(len(names) * BUCKETS)
-    grid[table["cell"].to_numpy()] = table["n"].to_numpy()
-    grid = grid.reshape(len(names), BUCKETS) + 0.05
-    return names, np.log(grid / grid.sum(axis=1, keepdims=True)).astype(np.float32)
+    table = table.sort_by("cell")
+    cell, n = table["cell"].to_numpy(), table["n"].to_numpy()
+    grid = np.empty((len(names), BUCKETS), np.float32)
+    at = np.searchsorted(cell, np.arange(len(names) + 1) * BUCKETS)
+    for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
+        row = np.full(BUCKETS, 0.05)
+        row[cell[a:b] - k * BUCKETS] += n[a:b]
+        grid[k] = np.log(row / row.sum())
+    return names, grid
 
 
 def likelihood_column(spark, grid: np.ndarray, text: Column, strength: int) -> Column:
@@ -112,13 +124,15 @@ def argmax(values: Column, names: list[str]) -> Column:
 
 def identify(
     df: DataFrame, text: Column, declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None,
-    sample: int = 2000, most: int = 64, strength: int = 64, least: float = 0.5, out: str = "language",
+    sample: int = 2000, strength: int = 64, least: float = 0.5, out: str = "language",
 ) -> DataFrame:
     """df and a struct column out: lang, posterior, text_lang (by the text alone), trigrams (long), keep (boolean)."""
     none = F.lit(None).cast("string")
+    if declared is not None:
+        declared = F.nullif(F.lower(F.regexp_replace(F.trim(declared.cast("string")), "[-_].*", "")), F.lit(""))
     evidence = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
     slim = df.select(F.coalesce(text, F.lit("")).alias("text"), *[(none if c is None else c.cast("string")).alias(k) for k, c in evidence.items()])
-    names, grid = model(slim, sample, most)
+    names, grid = model(slim, sample)
     kind = "struct<lang:string,posterior:double,text_lang:string,trigrams:bigint,keep:boolean>"
     if not names:
         return same_rows(df, out, lambda: F.from_json(F.lit('{"keep":false}'), kind))
@@ -137,10 +151,15 @@ def identify(
     whole = by().collect()[0]["c"]
     prior = [(x + 1) / (sum(whole) + size) for x in whole]
 
-    def likelihoods(key: str) -> dict[str, list[float]]:
-        """log P(value | language) for the commonest values; the others share what add-one smoothing leaves."""
-        rows = by(key).where(F.col(key).isNotNull()).orderBy(F.desc(total(F.col("c"))), key).limit(1000).collect()
-        return {r[key]: [math.log((c + 1) / (w + len(rows) + 1)) for c, w in zip(r["c"], whole)] for r in rows} | ({"": [math.log(1 / (w + len(rows) + 1)) for w in whole]} if rows else {})
+    scratch = Scratch(spark, "langid")
+    totals = F.array(*map(F.lit, whole))
+
+    def likelihoods(name: str, value: str, out: str) -> tuple[DataFrame, Column]:
+        """log P(value | language) for every value that a text with letters has, as out; and that of a value none has."""
+        counts = scratch.keep(by(name).where(F.col(name).isNotNull()), name)
+        n = counts.count()
+        known = counts.select(F.col(name).alias(value), F.zip_with("c", totals, lambda c, w: F.ln((c + 1) / (w + n + 1))).alias(out))
+        return small(known, size), F.array(*[F.lit(math.log(1 / (w + n + 1))) for w in whole])
 
     hosts = by("domain", "host").where("host IS NOT NULL")
     domains = by("domain").where("domain IS NOT NULL").select("domain", F.col("c").alias("d"))
@@ -148,29 +167,30 @@ def identify(
     smooth = lambda c, p, w: F.zip_with(c, p, lambda x, q: (x + w * q) / (total(c) + w))
     parent = F.when(F.col("d").isNull(), base).otherwise(smooth(F.col("d"), base, 20.0))
     table = hosts.join(domains, "domain", "left").groupBy("host").agg(F.first(F.transform(smooth(F.col("c"), parent, 10.0), F.ln)).alias("host_prior"))
-    table = Scratch(spark, "langid").keep(table.withColumnRenamed("host", "host_key"), "hosts")
-    if table.count() <= HOSTS:
-        table = F.broadcast(table)
+    table = small(scratch.keep(table.withColumnRenamed("host", "host_key"), "hosts"), size)
     key, score, ready = tmp_name(df, "_host"), tmp_name(df, "_score"), tmp_name(df, "_prior")
     # the key and the evidence are taken from df's own rows before the join adds columns
     rows = df.withColumn(key, F.struct(*[(none if c is None else c.cast("string")).alias(k) for k, c in evidence.items()])).withColumn(score, likelihood_column(spark, grid, text, strength))
     table = table.withColumnsRenamed({"host_prior": ready, "host_key": key + "_key"})
     rows = rows.join(table, F.col(f"{key}.host") == F.col(key + "_key"), "left")
 
-    def evident(key_name: str):
-        known = likelihoods(key_name) if evidence[key_name] is not None else {}
-        if not known:
-            return F.array(*[F.lit(0.0)] * size)
-        cases = F.create_map(*[x for v, p in known.items() for x in (F.lit(v), F.array(*map(F.lit, p)))])
-        value = F.col(f"{key}.{key_name}")
-        return F.when(value.isNull(), F.array(*[F.lit(0.0)] * size)).otherwise(F.coalesce(cases[value], cases[F.lit("")]))
+    zero, parts, extra = F.array(*[F.lit(0.0)] * size), [], []
+    for name in ("declared", "suffix"):
+        if evidence[name] is not None:
+            value, found = tmp_name(df, f"_{name}_value"), tmp_name(df, f"_{name}_found")
+            known, unseen = likelihoods(name, value, found)
+            rows = rows.join(known, F.col(f"{key}.{name}") == F.col(value), "left")
+            parts.append(F.when(F.col(f"{key}.{name}").isNull(), zero).otherwise(F.coalesce(F.col(found), unseen)))
+            extra += [value, found]
 
     plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    joint = plus(plus(F.col(f"{score}.loglik"), F.coalesce(F.col(ready), F.array(*[F.lit(math.log(p)) for p in prior]))), plus(evident("declared"), evident("suffix")))
+    joint = plus(F.col(f"{score}.loglik"), F.coalesce(F.col(ready), F.array(*[F.lit(math.log(p)) for p in prior])))
+    for part in parts:
+        joint = plus(joint, part)
     made = tmp_name(df, "_joint")
     rows = rows.withColumn(made, joint)
     best = F.array_max(F.col(made))
     posterior = 1.0 / F.aggregate(F.transform(made, lambda x: F.exp(x - best)), F.lit(0.0), lambda a, x: a + x)
     n = F.col(f"{score}.n")
     done = F.struct(argmax(F.col(made), names).alias("lang"), posterior.alias("posterior"), F.when(n > 0, argmax(F.col(f"{score}.loglik"), names)).alias("text_lang"), n.alias("trigrams"), ((n > 0) & (posterior >= least)).alias("keep"))
-    return same_rows(rows, out, lambda: done).drop(key, key + "_key", score, ready, made)
+    return same_rows(rows, out, lambda: done).drop(key, key + "_key", score, ready, made, *extra)

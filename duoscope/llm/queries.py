@@ -90,8 +90,9 @@ def page_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     markup = F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-zA-Z]{2,3})", 1)), F.lit(""))
     parts = F.split("host", r"\.")
+    last = F.element_at(parts, -1)  # of a numeric address no suffix
     domain = F.concat_ws(".", F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)))
-    found = langid.identify(pages, text, declared=markup, host=F.col("host"), domain=F.when(F.col("host").isNotNull(), domain), suffix=F.element_at(parts, -1))
+    found = langid.identify(pages, text, declared=markup, host=F.col("host"), domain=F.when(F.col("host").isNotNull(), domain), suffix=F.when(~last.rlike(r"^\[?[0-9]*$"), last))
     return found.select("page_id", markup.alias("declared"), "language.lang", F.round("language.posterior", 6).alias("posterior"), "language.text_lang", "language.keep")
 
 

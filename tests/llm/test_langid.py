@@ -54,3 +54,23 @@ def test_one_language_and_a_shuffled_host_table(spark, monkeypatch):
     df = spark.createDataFrame([(1, "some text", "aa", "h", "h.net", "net"), (1, "some text", "aa", "h", "h.net", "net")], "id long, text string, lang string, host string, domain string, suffix string")
     got = langid.identify(df, F.col("text"), F.col("lang"), F.col("host"), F.col("domain"), F.col("suffix")).collect()
     assert [(r.language.lang, r.language.posterior) for r in got] == [("aa", 1.0)] * 2
+
+
+def test_more_than_64_languages_and_declarations_of_one_language(spark):
+    rng = random.Random(2)
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopq"]
+    own = {n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(4)] for n in names}
+    rows = [(n, " ".join(rng.choice(own[n]) for _ in range(30)), d) for i, n in enumerate(names) for d in [n, n.upper(), f"{n}-US"][: 1 + 2 * (i < 69)]]
+    df = spark.createDataFrame(rows, "true string, text string, lang string")
+    got = langid.identify(df, F.col("text"), declared=F.col("lang")).collect()
+    assert len(names) == 70 and [(r.language.lang, r.language.keep) for r in got] == [(r.true, True) for r in got]
+
+
+def test_the_count_of_every_suffix_is_used(spark):
+    rng = random.Random(3)
+    rows = [(0, text(rng, lang), lang, f"{lang}{i // 3}") for i in range(1800) for lang in ("aa", "bb")]
+    # without words of its own, a text follows its suffix, be it one of the rarest
+    rows += [(1, text(rng, "bb"), "bb", "zz")] * 2 + [(2, "qqq", None, "zz")]
+    df = spark.createDataFrame(rows, "id int, text string, lang string, suffix string")
+    got = langid.identify(df, F.col("text"), declared=F.col("lang"), suffix=F.col("suffix")).where("id = 2").collect()[0]
+    assert got.language.lang == "bb"
