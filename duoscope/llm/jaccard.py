@@ -18,8 +18,8 @@ are left are then compared. Candidates must pass a bound by parity bitmaps (diff
 shingles) and are then checked exactly on their texts.
 
 Nulls and texts without words have no shingles, are linked with nothing and are their own component. Rows that
-share an id are documents of one name, each with its own set. A row without an id gets the component of its set if a
-row with an id has the same set, else null. Repeated rows have equal sets and link.
+share an id are documents of one name, each with its own set: sets are named by their fingerprints, and only the result
+names a component by its smallest id, null if no row of it has one. Repeated rows have equal sets and link.
 """
 
 from __future__ import annotations
@@ -307,11 +307,11 @@ class Join:
         return self.scratch.keep(moved.union(fresh), "labels")
 
     def run(self) -> DataFrame:
-        """doc, key, n and component of every row."""
+        """doc, key, n, group (a key of the component) and component (its smallest doc) of every row."""
         percent = self.percent
         features = self.features()
-        with_id = features.where("n > 0 AND doc IS NOT NULL")
-        sets = with_id.groupBy("h1", "h2").agg(F.min("doc").alias("sid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+        features = features.withColumn("sid", F.when(F.col("n") > 0, F.xxhash64("h1", "h2")))
+        sets = features.where("n > 0").groupBy("sid").agg(F.min("doc").alias("top"), F.min(F.struct("doc", "key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
         sets = self.scratch.keep(sets, "sets")
         entries = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", "n", F.col("pos").cast("bigint").alias("pos"), F.col("sid").alias("label"))
         bits = sets.select("sid", "n", "parity")
@@ -322,7 +322,7 @@ class Join:
             lists = self.scratch.keep(ordered.mapInArrow(lambda it, turn=turn: star_rows(it, percent, turn), kind), "lists")
             self.scratch.forget("lists")
             if texts is None:
-                texts = self.texts(lists.select("sid").distinct())
+                texts = self.texts(lists.select("sid").distinct().join(sets.select("sid", "one"), "sid").select("sid", F.col("one.doc").alias("d"), F.col("one.key").alias("q")), features)
             votes = lists.where("centre IS NOT NULL").groupBy(F.col("sid").alias("a"), F.col("centre").alias("b")).count()
             centres = votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
             links = self.check(self.scratch.keep(self.near(centres, bits), "centres"), texts)
@@ -333,37 +333,44 @@ class Join:
         rest = self.scratch.keep(multi.mapInArrow(lambda it: pair_rows(it, percent), "a bigint, b bigint").distinct(), "pairs")
         self.scratch.forget("lists", 0)
         labels = self.merge(labels, self.check(rest, texts))
-        members = features.join(sets.select("h1", "h2", "sid"), ["h1", "h2"], "left").select("doc", "key", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid"))
-        return members.join(labels, members.sid == labels.node, "left").select("doc", "key", "n", F.coalesce("component", "sid", "doc").alias("component"))
-
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """Texts of the sets that share an indexed shingle with another."""
+        named = sets.select("sid", "top").join(labels, F.col("sid") == labels.node, "left").select("sid", "top", F.coalesce("component", "sid").alias("group"))
+        named = named.join(named.groupBy("group").agg(F.min("top").alias("component")), "group").select(F.col("sid").alias("s"), "group", "component")
+        members = features.select("doc", "key", "n", "sid").join(named, F.col("sid") == F.col("s"), "left")
+        alone = F.col("sid").isNull()
+        return members.select("doc", "key", "n", F.when(alone, F.xxhash64("doc", "key")).otherwise(F.col("group")).alias("group"), F.when(alone, F.col("doc")).otherwise(F.col("component")).alias("component"))
+
+    def texts(self, ids: DataFrame, features: DataFrame) -> DataFrame:
+        """One text each of the sets that share an indexed shingle with another."""
         ids = self.scratch.keep(ids, "ids")
         if ids.count() <= SMALL:
             ids = F.broadcast(ids)
-        rows = self.rows.where("doc IS NOT NULL").join(ids, F.col("doc") == F.col("sid"), "left_semi")
-        return self.scratch.keep(rows.select(F.col("doc").alias("sid"), "text"), "texts")
+        rows = self.rows.join(ids, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q"))).select("sid", "text")
+        if not features.groupBy("doc", "key").count().where("count > 1").isEmpty():
+            rows = rows.dropDuplicates(["sid"])
+        return self.scratch.keep(rows, "texts")
 
 
 def near_duplicates(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """One row for each row of df: its id, n_shingles (long), component_id (the smallest id that links lead to) and
-    text_key (xxhash64 of the text, which tells rows of one id apart)."""
+    """One row for each row of df: its id, n_shingles (long), component_id (the smallest id that links lead to),
+    text_key (xxhash64 of the text, which tells rows of one id apart) and component_key (equal in rows of one component
+    only, whatever their ids)."""
     rows = df.select(col(doc).cast("bigint").alias("doc"), F.xxhash64(col(text)).alias("key"), col(text).alias("text"))
     done = Join(df.sparkSession, rows, k, percent).run()
-    return done.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("key").alias("text_key"))
+    return done.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("key").alias("text_key"), F.col("group").alias("component_key"))
 
 
 def keep_one(df: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df but for all except one of each component of found (near_duplicates() of df).
 
     The row with the smallest id stays, of rows of that id the one with the smallest text key, and one of rows that are
-    the same in both. Rows without an id stay, since nothing names them.
+    the same in both. One of a component's rows without an id stays too, since no id says which row stands for it.
     """
-    kept = found.where(F.col(doc).isNotNull()).groupBy("component_id").agg(F.min(F.struct(F.col(doc).alias("d"), F.col("text_key").alias("q"))).alias("x")).select("x.d", "x.q")
+    one = F.min(F.struct(F.col(doc).alias("d"), F.col("text_key").alias("q"))).alias("x")
+    kept = found.groupBy("component_key", F.col(doc).isNull()).agg(one).select("x.d", "x.q")
     kept = Scratch(df.sparkSession, "kept").keep(kept, "ids")
     if kept.count() <= SMALL:
         kept = F.broadcast(kept)
-    rows = df.where(col(doc).isNotNull()).join(kept, (col(doc) == F.col("d")) & (F.xxhash64(col(text)) == F.col("q")), "left_semi")
+    rows = df.join(kept, col(doc).cast("bigint").eqNullSafe(F.col("d")) & (F.xxhash64(col(text)) == F.col("q")), "left_semi")
     if not found.groupBy(doc, "text_key").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates([doc, text])
-    return rows.unionByName(df.where(col(doc).isNull()))
+    return rows

@@ -37,7 +37,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document, four-word shingles and a similarity of 85 in 100."""
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_key", "component_key")
 
 
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

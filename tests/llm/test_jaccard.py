@@ -64,3 +64,13 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     found = jaccard.near_duplicates(df)
     assert found.collect() == [] and jaccard.keep_one(df, found).collect() == []
+
+
+def test_unrelated_texts_of_one_id_and_copies_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (3, a + " more"), (None, c), (None, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.near_duplicates(df)
+    assert len({r.component_key for r in found.collect()}) == 3
+    kept = jaccard.keep_one(df, found).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(5, b), (3, a + " more"), (None, c)], key=repr)
