@@ -116,8 +116,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded again."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, out="enc").select("doc_id", "enc.n_tokens", "enc.ids")
-    return ids.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decode_column(spark, ranks, F.col("ids")), 256).alias("decoded_sha256"))
+    done = bpe.encode(docs, ranks, public_tokenizers.PATTERN, out="enc", decoded=True)
+    return done.select("doc_id", "enc.n_tokens", F.sha2("enc.ids", 256).alias("ids_sha256"), F.sha2("enc.decoded", 256).alias("decoded_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_jaccard_join, op4_chunk_dedup, op5_warc, op6_chat_format, op7_language_id, op8_tiff_media, op9_decontamination, op10_byte_bpe, page_language_id)}
