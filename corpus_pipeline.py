@@ -67,9 +67,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, out="enc").select(*docs.columns, "enc.n_tokens", "enc.ids")
-    same = bpe.decode_column(spark, ranks, F.col("ids")) == F.encode(F.coalesce("text", F.lit("")), "utf-8")
-    return ids.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", same.alias("round_trip"))
+    done = bpe.encode(docs, ranks, public_tokenizers.PATTERN, out="enc", decoded=True)
+    same = F.col("enc.decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return done.select("doc_id", "lang", "source", "n_chars", "enc.n_tokens", "enc.ids", same.alias("round_trip"))
 
 
 STAGES = [
