@@ -3,7 +3,7 @@
 Corpus. Texts are split into pieces (matches of the split pattern), 1 MB of text at a time. One aggregation counts the
 pieces of all rows; those that make up one in 131,072 of all pieces or more, at most 131,072 of them and 64 bytes long at
 most, are replayed together in Spark tasks, and their ids, 20 MB at most, go to all executors. Pieces that are rarer,
-and longer ones, are replayed together for each block of 8 MB of text; a worker remembers them up to a fixed number. So
+and longer ones, are replayed together for each block of 4 MB of text; a worker remembers them up to a fixed number. So
 which pieces are common only decides where a piece is replayed, never its ids.
 
 Replay. An inverted index holds, for each rank, the positions at which a pair with that rank stands. The ranks are taken
@@ -35,9 +35,9 @@ from .common import Scratch, col, from_bytes, same_rows, slices, spread, utf8, w
 
 NONE = np.iinfo(np.int32).max
 #: Pieces that a worker remembers; more start afresh from the common ones.
-KEEP = 400_000
+KEEP = 250_000
 #: Bytes of text whose rare pieces are replayed together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Common pieces make up one in so many of all pieces, and have so many bytes at most.
 COMMON, LONGEST = 1 << 17, 64
 #: Fixed value: the split pattern that split_plain() does without a regular expression.

@@ -9,8 +9,8 @@ The posterior of each language combines
 The last three come from one table of counts by host, domain, suffix, declaration and best language of the text, an
 aggregation over all rows that is summed before its shuffle.
 
-The trigram model is fitted on a sample of rows with a declaration: about `sample` rows for each language, chosen by a
-hash of the text, whole texts. Every declared language is told apart; each takes 256 KB of the model in a process. A
+The trigram model is fitted on a sample of rows with a declaration: about `sample` distinct texts for each language at most,
+chosen by a hash of the text, whole texts. Every declared language is told apart; each takes 256 KB of the model in a process. A
 declaration counts by its language alone: en, EN and en-US are all en.
 
 A row without any letter, or whose best posterior is below `least`, is not kept; with no declared language anywhere
@@ -69,7 +69,9 @@ def model(rows: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
     share = F.create_map(*[F.lit(x) for n in names for x in (n, int(min(1.0, sample / counts[n]) * 1_000_000))])
+    # chosen by what the text is, then each distinct text once: copies are no reason for a larger or a lopsided sample
     picked = rows.where(F.col("declared").isin(names) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("declared")]))
+    picked = picked.select("declared", "text").dropDuplicates()
 
     def count(batches):
         for batch in batches:

@@ -1,10 +1,15 @@
 """Personal data in texts, plain or disguised, with offsets in the source.
 
 Plain identifiers are found by four patterns. Disguised ones are found on a normalised text: transducers rewrite
-look-alike characters, digits spelled as words (English, French, German, Spanish), bracketed or spelled ``at`` and
-``dot``; every rewritten stretch remembers where it stood, and a span of the normalised text is mapped back to the
-source characters that it came from. A mapped span is added when it holds a rewritten stretch and covers a character
-that no plain span covers; plain spans always stay.
+look-alike characters, digits spelled as words (English, French, German, Spanish; in English also numbers up to 99 and
+``double`` or ``triple`` before a digit), bracketed, spelled or underscored ``at`` and ``dot``, and addresses with a blank
+after each character; every rewritten stretch remembers where it stood, and a span of the normalised text is mapped back to
+the source characters that it came from. A mapped span is added when it holds a rewritten stretch and covers a character
+that no plain span covers; plain spans always stay. Where at and dot are plain words, the last label must be a country's
+(two letters) or one of the common ones below, so that prose is left alone.
+
+Credentials (access keys, tokens, private key blocks, values given to a name such as password) are found beside these, in
+a list of their own.
 
 Offsets are code points, the end exclusive. A null text counts as empty. Rows are independent.
 """
@@ -84,7 +89,21 @@ SPELLED = {
     "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
+# English numbers above nine, and words that repeat the digit after them.
+TEENS = {"ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19}
+TENS = {"twenty": 2, "thirty": 3, "forty": 4, "fifty": 5, "sixty": 6, "seventy": 7, "eighty": 8, "ninety": 9}
+TIMES = {"double": 2, "triple": 3}
 AT, DOT = r"at|arroba|arobase|chez", r"dot|punkt|point|punto"
+# Common last labels of more than two letters.
+LABELS = "com|org|net|edu|gov|mil|int|info|biz|name|pro|app|dev|cloud|online|site|shop|tech|blog|mail|example|test"
+# Forms of credentials.
+KEYS = {
+    "access_key": (("AKIA", "ASIA"), r"(?<![0-9A-Za-z])A[KS]IA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "token": (("ghp_", "gho_", "ghs_", "xoxb-", "xoxp-", "sk_live_"), r"(?<![0-9A-Za-z])(?:gh[pos]_[0-9A-Za-z]{36}|xox[bp]-[0-9A-Za-z-]{10,}|sk_live_[0-9A-Za-z]{16,})"),
+    "private_key": (("PRIVATE KEY-----",), r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----(?:[^-]|-(?!----END))*(?:-----END (?:[A-Z]+ )?PRIVATE KEY-----)?"),
+}
+NAMED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}\Z", re.I)
+VALUE = re.compile(r"[=:][ \t]{0,4}([\"']?)([^\s\"',;]{8,})\1")
 
 
 def look_alikes() -> dict[str, str]:
@@ -100,23 +119,69 @@ def look_alikes() -> dict[str, str]:
     return table
 
 
+def digits_of(words: list[str]) -> str:
+    """The digits that a row of number words and digits says; a dot for a dot."""
+    out, k = [], 0
+    while k < len(words):
+        w = words[k].lower()
+        follows = SPELLED.get(words[k + 1].lower(), 0) if k + 1 < len(words) else 0
+        if w.isdigit():
+            out.append(w)
+        elif w in TIMES:
+            k += 1
+            if k < len(words):
+                out.append(digits_of(words[k : k + 1]) * TIMES[w])
+        elif w in TENS and follows:
+            out.append(f"{TENS[w]}{follows}")
+            k += 1
+        else:
+            out.append(str(SPELLED[w]) if w in SPELLED else str(TEENS[w]) if w in TEENS else f"{TENS[w]}0" if w in TENS else ".")
+        k += 1
+    return "".join(out)
+
+
+def secrets(text: str) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of each credential, none overlapping another."""
+    found = []
+    for kind, (marks, pattern) in KEYS.items():
+        if any(x in text for x in marks):
+            found += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text)]
+    for sign in "=:":
+        at = text.find(sign)
+        while at >= 0:
+            value = NAMED.search(text, max(0, at - 24), at) and VALUE.match(text, at)
+            if value:
+                found.append((value.start(2), "named", value.end(2)))
+            at = text.find(sign, at + 1)
+    kept: list[tuple[int, str, int]] = []
+    for x in sorted(found):
+        if not kept or x[0] >= kept[-1][2]:
+            kept.append(x)
+    return kept
+
+
 class Transducers:
     """The rewriting rules, compiled once for each worker."""
 
     def __init__(self):
         self.table = look_alikes()
         self.odd = self.table.keys()
-        word = "|".join(sorted(SPELLED, key=len, reverse=True))
+        word = "|".join(sorted([*SPELLED, *TEENS, *TENS, *TIMES], key=len, reverse=True))
         some = rf"(?:{word}|[0-9]+)"
         gap = r"(?:[ \t,-]{1,3})"
         self.spelled = re.compile(rf"(?:{word})(?!\w)(?:{gap}(?:(?:{DOT}){gap})?{some}(?!\w)){{3,}}+")
-        self.plus = re.compile(r"(?:(?<!\w)plus[ \t]+|\+[ \t]*)\Z", re.I)
         self.token = re.compile(rf"{word}|[0-9]+|{DOT}", re.I)
         self.bracketed = re.compile(rf"[\[({{<]\s*(?:({AT}|@)|{DOT}|\.)\s*[\])}}>]", re.I)
         self.domain = re.compile(rf"[A-Za-z0-9-]++(?:(?:[ ]+(?:{DOT})[ ]+|\.|\s*[\[({{<]\s*(?:{DOT}|\.)\s*[\])}}>]\s*)[A-Za-z0-9-]++)+", re.I)
         self.dots = re.compile(rf"[ ]+(?:{DOT})[ ]+", re.I)
         self.dot_before = re.compile(rf"[ ](?:{DOT})[ ]\Z", re.I)
         self.bare_at = re.compile(rf"[ ](?:{AT})[ ]", re.I)
+        self.label = re.compile(rf"(?:[a-z]{{2}}|{LABELS})(?![A-Za-z0-9-])", re.I)
+        self.joined_at = re.compile(r"[_-]at[_-]", re.I)
+        self.joined = re.compile(r"[A-Za-z0-9]+(?:(?:[_-]dot[_-]|[.-])[A-Za-z0-9]+)*", re.I)
+        self.joined_dot = re.compile(r"[_-]dot[_-]", re.I)
+        self.spaced = re.compile(r"(?<!\S)[A-Za-z0-9](?: [A-Za-z0-9._%+-])* @(?: [A-Za-z0-9-])+ \.(?: [A-Za-z0-9.-])* [A-Za-z0-9-](?!\S)")
+        self.known = frozenset([*SPELLED, *TEENS, *TENS])
 
     def edits(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, replacement) of each rewritten stretch, in order, none overlapping another."""
@@ -134,7 +199,7 @@ class Transducers:
         low = text.lower()
         if len(low) != len(text):  # a few capitals become two characters
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        spelled = () if SPELLED.keys().isdisjoint(low.replace(",", " ").replace("-", " ").split()) else self.spelled.finditer(low)
+        spelled = () if self.known.isdisjoint(low.replace(",", " ").replace("-", " ").split()) else self.spelled.finditer(low)
         for m in spelled:
             s = m.start()
             if s and text[s - 1].isalnum():
@@ -142,9 +207,18 @@ class Transducers:
             words = self.token.findall(m[0])
             if all(w.isdigit() for w in words):
                 continue
-            digits = "".join(w if w.isdigit() else str(SPELLED[w.lower()]) if w.lower() in SPELLED else "." for w in words)
-            sign = self.plus.search(text, max(0, s - 8), s)
-            found.append((sign.start() if sign else s, m.end(), ("+" if sign else "") + digits))
+            first = self.sign_before(text, s)
+            found.append((s if first is None else first, m.end(), ("" if first is None else "+") + digits_of(words)))
+        if " @ " in text:
+            found += [(m.start(), m.end(), m[0].replace(" ", "")) for m in self.spaced.finditer(text)]
+        for m in self.joined_at.finditer(text):
+            d, start = self.joined.match(text, m.end()), run_before(text, m.start(), 0)
+            dots = [x for x in self.joined_dot.finditer(text, m.end(), d.end())] if d else []
+            # the last label begins after the last written or spelled dot
+            last = max([x.end() for x in dots] + [text.rfind(".", m.end(), d.end()) + 1]) if d else 0
+            if last > m.end() and start < m.start() and self.label.fullmatch(text, last, d.end()):
+                found += [(x.start(), x.end(), ".") for x in self.joined_dot.finditer(text, start, m.start())]
+                found += [(m.start(), m.end(), "@")] + [(x.start(), x.end(), ".") for x in dots]
         for m in self.bare_at.finditer(text):
             d = self.domain.match(text, m.end())
             if not d:
@@ -161,7 +235,8 @@ class Transducers:
                 more.append((b.start(), b.end(), "."))
                 start = before
             # a plain "at" before a plain domain is prose, unless the name before it is built like an address
-            if len(more) > 1 or any(c in "0123456789._%+-" for c in local.strip(".-")) or not d[0].replace(".", "").replace("-", "").isalnum():
+            dotted = any(c == "." for _, _, c in more) or not d[0].replace(".", "").replace("-", "").isalnum()
+            if any(c in "0123456789._%+-" for c in local.strip(".-")) or dotted and self.ends_in_label(text, d):
                 found += more
         found.sort(key=lambda x: (x[0], -x[1]))
         kept, end = [], 0
@@ -171,6 +246,21 @@ class Transducers:
                 end = e[1]
         return kept
 
+    def sign_before(self, text: str, at: int) -> int | None:
+        """Where a plus sign, written or spelled, begins whose number begins at at."""
+        gap = at
+        while gap and text[gap - 1] in " \t":
+            gap -= 1
+        if gap and text[gap - 1] == "+":
+            return gap - 1
+        spelled = gap < at and text[max(0, gap - 4) : gap].lower() == "plus" and not text[max(0, gap - 5) : gap - 4].isalnum()
+        return gap - 4 if spelled else None
+
+    def ends_in_label(self, text: str, domain: re.Match) -> bool:
+        """Whether a domain's last label, or the last that a spelled or bracketed dot leads to, can be one."""
+        parts = re.split(r"[^A-Za-z0-9-]+", domain[0])
+        return bool(self.label.fullmatch(parts[-1]))
+
     def disguised(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         edits = self.edits(text)
         if not edits:
@@ -221,12 +311,13 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     return base, sorted(base + RULES[0].disguised(text, base))
 
 
-def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """text with each stretch of overlapping spans replaced by the name of its first kind."""
+def redact(text: str, spans: list[tuple[int, int, int]], hidden: list[tuple[int, str, int]] = []) -> str:
+    """text with each stretch of overlapping spans replaced by the name of its first kind, SECRET for a credential."""
+    spans = sorted([*spans, *((s, len(KINDS), e) for s, _, e in hidden)])
     out, done = [], 0
     for s, kind, e in spans:
         if s >= done:
-            out += [text[done:s], f"<{KINDS[kind].upper()}>"]
+            out += [text[done:s], f"<{(*KINDS, 'secret')[kind].upper()}>"]
         done = max(done, e)
     return "".join([*out, text[done:]])
 
@@ -235,20 +326,21 @@ SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def detect(df: DataFrame, text: str = "text", out: str = "pii", redacted: bool = False) -> DataFrame:
-    """df and a struct column out: base and spans (arrays of kind, start, end), and with redacted the text with every
-    span replaced by its kind (null for a null text). Every other column stays."""
+    """df and a struct column out: base, spans and secrets (arrays of kind, start, end), and with redacted the text with
+    every span and secret replaced by its kind (null for a null text). Every other column stays."""
 
-    @arrow_udf(f"struct<base:{SPAN},spans:{SPAN}" + (",redacted:string>" if redacted else ">"))
+    @arrow_udf(f"struct<base:{SPAN},spans:{SPAN},secrets:{SPAN}" + (",redacted:string>" if redacted else ">"))
     def spans_of(texts: pa.Array) -> pa.Array:
-        cols = {"base": [], "spans": []}
+        cols = {"base": [], "spans": [], "secrets": []}
         clean = []
         for t in texts:
             t = t.as_py()
-            both = find(t or "")
+            both, hidden = find(t or ""), secrets(t or "")
             for name, spans in zip(cols, both):
                 cols[name].append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans])
+            cols["secrets"].append([{"kind": k, "start": s, "end": e} for s, k, e in hidden])
             if redacted:
-                clean.append(t if not both[1] else redact(t, both[1]))
+                clean.append(redact(t, both[1], hidden) if both[1] or hidden else t)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         arrays = [pa.array(c, kind) for c in cols.values()] + ([pa.array(clean, pa.string())] if redacted else [])
         return pa.StructArray.from_arrays(arrays, names=[*cols, *(["redacted"] if redacted else [])])

@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plain and disguised personal data in every text; the counts and base_sha256 are those of the plain spans."""
+    """Plain and disguised personal data in every text; the counts and base_sha256 are those of the plain spans, n_secret
+    counts credentials, which spans does not list, and n_private both."""
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"), out="pii")
 
     def listed(spans: str):
@@ -24,8 +25,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("pii.base", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
 
-    added = (F.size("pii.spans") - F.size("pii.base")).cast("bigint")
-    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"), added.alias("n_added"))
+    added, secret = (F.size("pii.spans") - F.size("pii.base")).cast("bigint"), F.size("pii.secrets").cast("bigint")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(listed("pii.base"), 256).alias("base_sha256"), listed("pii.spans").alias("spans"), added.alias("n_added"), secret.alias("n_secret"), (F.size("pii.spans") + secret).alias("n_private"))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
