@@ -122,6 +122,40 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def at_path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark sees them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = at_path(spark, path)
+    fs.delete(at, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None where there is no such file."""
+    at, fs = at_path(spark, path)
+    if not fs.exists(at):
+        return None
+    with_stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
+    finally:
+        with_stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside the old one, then puts it in that one's place."""
+    at, fs = at_path(spark, path)
+    new, _ = at_path(spark, f"{path}.new")
+    stream = fs.create(new, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(at, False)
+    fs.rename(new, at)
+
+
 class Scratch:
     """Tables between the steps of a job, written as Parquet to the folder that the cluster shares (spark.checkpoint.dir).
 
@@ -157,8 +191,7 @@ class Scratch:
         self.delete(self.root)
 
     def delete(self, path: str) -> None:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, path)
 
 
 OPEN: list[Scratch] = []

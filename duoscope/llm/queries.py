@@ -30,10 +30,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of 400-byte strings that stand elsewhere too."""
-    left = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without the bytes of 400-byte strings that stand elsewhere too; has_passage: whether some 200-byte
+    string of it does, which some 40 words take."""
+    left = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passage=200)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
-    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "has_passage")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

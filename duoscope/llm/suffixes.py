@@ -8,31 +8,36 @@ serves as well as the alphabetical one, since only equality of k bytes and more
 
 Family. The rows are taken in batches. A batch gets its own array and is merge-scanned against the arrays of all levels:
 a k-gram that repeats, in the batch or between it and a level, marks a match. Then the batch becomes a level, and two
-levels of one rank merge into one of the next, so n batches leave at most log2(n) + 1 levels.
+levels of one rank merge into one of the next, so n batches leave at most log2(n) + 1 levels. Levels are tables in a
+folder with a list of them, so a later session can open the family and insert a batch without building it again; a
+list names only whole levels, and an insertion that fails leaves the list before it in force.
 
 Decision. An anchor whose whole context repeats has all its strings repeated. For the other marked anchors the contexts
 of one k-gram are brought together, one for each distinct context, and every string in them is compared by
 fingerprint; all strings of an anchor overlap in it, so what they cover is one span. A k-gram with very many different
 contexts (more than `hot`) is not gathered: its strings are counted by an aggregation over fingerprints.
 
-Fingerprints have 64 bits, and strings are compared only within one k-gram's fingerprint, so a false match takes equality
-of two of them. Texts are UTF-8 bytes, null is empty; matches never cross rows. Repeated rows are occurrences of their own.
+Fingerprints have 64 bits, are sums over mixed 8-byte pieces, and strings are compared only within one k-gram's
+fingerprint, so a false match takes equality of two of them. Texts are UTF-8 bytes, null is empty; matches never cross rows. Repeated rows are occurrences of their own.
 Shorter rows than length are never touched. Rows are told apart by id and text; other columns are left out.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import GOLD, Scratch, col, mix, slices, spread, utf8
+from .common import GOLD, Scratch, col, delete, mix, read_text, slices, spread, utf8, write_text
 
 BASE = np.uint64(0x5851F42D4C957F2D)
-#: A random 64-bit value for each byte.
-BYTES = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLD)
+#: Bytes that are one symbol of a fingerprint; sums over single bytes are alike for some texts of two letters.
+SYMBOL = 8
 
 
 class Powers:
@@ -54,14 +59,15 @@ class Powers:
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     up, _ = Powers.of(len(buf))
     sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTES[buf] * up[: len(buf)], out=sums[1:])
+    eight = np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(SYMBOL, np.uint8)]), strides=(1,))
+    np.cumsum(mix(eight + GOLD) * up[: len(buf)], out=sums[1:])
     return sums
 
 
 def prints(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Fingerprints of the stretches start:end; equal stretches have equal ones wherever they stand."""
+    """Fingerprints of the stretches start:end, of SYMBOL bytes or more; equal ones have equal ones wherever they stand."""
     _, down = Powers.of(len(sums) - 1)
-    return mix((sums[end] - sums[start]) * down[start])
+    return mix((sums[end - (SYMBOL - 1)] - sums[start]) * down[start])
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray, k: int, length: int):
@@ -103,8 +109,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray, k: int, length: int):
     return row, place, lo, hi, grams[place], context
 
 
-#: Rows, of some 100 bytes, of a table that is sent to all executors; a larger one is joined by a shuffle.
-SMALL = 500_000
+#: Rows and list items, of some 50 bytes each, of a table that is sent to all executors; a larger one is joined by a shuffle.
+SMALL = 400_000
 
 
 def anchor_rows(batches, k: int, length: int):
@@ -199,53 +205,105 @@ def compare_rows(batches, length: int):
 
 
 class Family:
-    """Levels of suffix arrays by rank; at most one of each."""
-
-    def __init__(self, scratch: Scratch):
-        self.scratch, self.levels, self.matches = scratch, {}, []
-
-    def insert(self, batch: DataFrame) -> None:
-        """Adds anchors (gram, context): sorts them, scans them against every level, and merges levels of one rank."""
-        array = batch.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"))
-        array = self.scratch.keep(array.sortWithinPartitions("gram", "context"), "array")
+    """Levels of suffix arrays by rank, at most one of each, in a folder that outlives the session."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        text = read_text(spark, f"{self.root}/levels.json")
+        self.levels: dict[int, str] = {int(k): v for k, v in json.loads(text).items()} if text else {}
+
+    def level(self, rank: int) -> DataFrame:
+        return self.spark.read.schema(ARRAY).parquet(f"{self.root}/{self.levels[rank]}")
+
+    def write(self, array: DataFrame) -> str:
+        name = f"level-{uuid.uuid4().hex}"
+        array.repartition("gram").sortWithinPartitions("gram", "context").write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return name
+
+    def insert(self, batch: DataFrame) -> DataFrame:
+        """Adds anchors (gram, context): sorts them, scans them against every level, merges levels of one rank, and gives
+        the grams (written out) that repeat in the batch or stand in it and in a level."""
+        name = self.write(batch.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n")))
+        array = self.spark.read.schema(ARRAY).parquet(f"{self.root}/{name}")
         grams = array.groupBy("gram").agg(F.sum("n").alias("n"))
-        found = [grams.where("n > 1").select("gram")] + [grams.select("gram").join(level.select("gram"), "gram", "left_semi") for level in self.levels.values()]
-        matches = found[0]
-        for more in found[1:]:
-            matches = matches.union(more)
-        self.matches.append(self.scratch.keep(matches, "matches"))
-        rank = 0
-        while rank in self.levels:
-            array = array.union(self.levels.pop(rank)).groupBy("gram", "context").agg(F.sum("n").alias("n"))
-            array = self.scratch.keep(array.sortWithinPartitions("gram", "context"), "array")
+        matches = grams.where("n > 1").select("gram")
+        for rank in self.levels:
+            matches = matches.union(grams.select("gram").join(self.level(rank).select("gram"), "gram", "left_semi"))
+        found = f"{self.root}/matches-{uuid.uuid4().hex}"
+        matches.distinct().write.option("compression", "zstd").parquet(found)
+        levels, rank, merged_in = dict(self.levels), 0, []
+        while rank in levels:
+            merged_in += [name, levels.pop(rank)]
+            both = self.spark.read.schema(ARRAY).parquet(*[f"{self.root}/{x}" for x in merged_in[-2:]])
+            name = self.write(both.groupBy("gram", "context").agg(F.sum("n").alias("n")))
             rank += 1
-        self.levels[rank] = array
+        levels[rank] = name
+        write_text(self.spark, f"{self.root}/levels.json", json.dumps(levels))
+        self.levels = levels
+        for old in merged_in:
+            delete(self.spark, f"{self.root}/{old}")
+        return self.spark.read.schema("gram bigint").parquet(found)
+
+
+ARRAY = "gram bigint, context bigint, n bigint"
+
+
+def spread_small(df: DataFrame, items: str | None = None) -> DataFrame:
+    """df, to be sent to all executors where its rows and the items of its lists are few."""
+    n = df.agg(F.count(F.lit(1)) + (F.coalesce(F.sum(F.size(items)), F.lit(0)) if items else F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= SMALL else df
+
 
+ANCHORS = "doc bigint, key bigint, gram bigint, context bigint, place int, lo int, hi int"
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """df, to be sent to all executors where it is small."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+
+def anchors_of(rows: DataFrame, k: int, length: int) -> DataFrame:
+    return rows.mapInArrow(lambda it: anchor_rows(it, k, length), ANCHORS)
 
 
 def repeated_spans(rows: DataFrame, k: int = 128, length: int = 400, batches: int = 4, hot: int = 20_000) -> DataFrame:
     """doc, key and spans (start and end in bytes, sorted, apart) of each row (doc, key, text) with a repeated string."""
     scratch = Scratch(rows.sparkSession, "suffixes")
-    found = scratch.keep(rows.mapInArrow(lambda it: anchor_rows(it, k, length), "doc bigint, key bigint, gram bigint, context bigint, place int, lo int, hi int"), "anchors")
-    family = Family(scratch)
+    found = scratch.keep(anchors_of(rows, k, length), "anchors")
+    family, matches = Family(rows.sparkSession, f"{scratch.root}/family"), []
     for b in range(batches):
-        family.insert(found.where(F.pmod("key", F.lit(batches)) == b).select("gram", "context"))
-    marked = family.matches[0]
-    for more in family.matches[1:]:
+        matches.append(family.insert(found.where(F.pmod("key", F.lit(batches)) == b).select("gram", "context")))
+    marked = matches[0]
+    for more in matches[1:]:
         marked = marked.union(more)
     marked = scratch.keep(marked.distinct(), "marked")
     near = scratch.keep(found.join(spread_small(marked), "gram", "left_semi"), "near")
+    delete(rows.sparkSession, f"{scratch.root}/family")
+    scratch.forget("anchors", 0)
+    return compared(rows, near, scratch, length, hot)
+
+
+def repeating_rows(rows: DataFrame, done: DataFrame, k: int = 64, length: int = 200, hot: int = 20_000) -> DataFrame:
+    """doc, key and spans of the rows outside done (doc, key) in which a string of length bytes stands that stands
+    elsewhere too, in any row.
+
+    The grams of all rows are counted, but only those that stand in a row outside done are looked at further.
+    """
+    scratch = Scratch(rows.sparkSession, "passages")
+    twice = anchors_of(rows, k, length).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    twice = scratch.keep(twice, "twice")
+    there = spread_small(done.withColumnsRenamed({"doc": "d", "key": "q"}))
+    others = rows.join(there, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q")), "left_anti")
+    wanted = scratch.keep(anchors_of(others, k, length).select("gram").distinct().join(twice, "gram", "left_semi"), "wanted")
+    near = scratch.keep(anchors_of(rows, k, length).join(spread_small(wanted), "gram", "left_semi"), "near")
+    spans = compared(rows, near, scratch, length, hot)
+    return spans.join(there, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q")), "left_anti")
+
+
+def compared(rows: DataFrame, near: DataFrame, scratch: Scratch, length: int, hot: int) -> DataFrame:
+    """The spans of rows, given all anchors whose gram repeats: by whole contexts, then by the strings of the others."""
     one = F.struct("doc", "key", "lo", "hi")
     contexts = scratch.keep(near.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("one")), "contexts")
     whole = near.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi").select("doc", "key", F.col("lo").alias("start"), (F.col("hi") + length).alias("end"))
     groups = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("gram", (F.col("m") > hot).alias("hot"))
     asked = contexts.join(groups, "gram").select("one.doc", "one.key", F.struct("gram", "n", "hot", "one.lo", "one.hi").alias("x")).groupBy("doc", "key").agg(F.collect_list("x").alias("asked"))
     asked = scratch.keep(asked, "asked")
-    texts = rows.join(spread_small(asked.withColumnsRenamed({"doc": "d", "key": "q"})), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q")))
+    texts = rows.join(spread_small(asked.withColumnsRenamed({"doc": "d", "key": "q"}), "asked"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q")))
     # rows that are the same in id and text ask the same; one of them answers for all
     parts = texts.select("doc", "key", "text", "asked").mapInArrow(lambda it: context_rows(it, length), "gram bigint, n bigint, hot boolean, doc bigint, key bigint, lo int, hi int, bytes binary")
     parts = scratch.keep(parts.dropDuplicates(["doc", "key", "gram", "lo"]), "parts")
@@ -308,9 +366,24 @@ def kept_bytes(text: Column, spans: Column) -> Column:
     return kept(text, spans)
 
 
-def remove_repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 128, length: int = 400, batches: int = 4, hot: int = 20_000) -> DataFrame:
-    """One row for each row of df: its id, spans (removed, in bytes) and kept (binary, what is left)."""
+def remove_repeats(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = 128, length: int = 400, batches: int = 4, hot: int = 20_000, passage: int | None = None,
+) -> DataFrame:
+    """One row for each row of df: its id, n_bytes, spans (removed, in bytes) and kept (binary, what is left).
+
+    With passage, also has_passage: whether a string of so many bytes (fewer than length) stands elsewhere too, in this
+    row or another; it is decided on the input and removes nothing.
+    """
     rows = df.select(col(doc).cast("bigint").alias("doc"), F.coalesce(col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text")).select("doc", "key", "text")
-    spans = repeated_spans(rows, k, length, batches, hot).withColumnsRenamed({"doc": "d", "key": "q"})
-    both = rows.join(spread_small(spans), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q")), "left")
-    return both.select(F.col("doc").alias(doc), F.octet_length("text").cast("bigint").alias("n_bytes"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.col("text")).select(doc, "n_bytes", "spans", kept_bytes(F.col("text"), F.col("spans")).alias("kept"))
+    spans = repeated_spans(rows, k, length, batches, hot)
+    extra = []
+    if passage is not None:
+        shorter = repeating_rows(rows, spans.select("doc", "key"), max(SYMBOL, k * passage // length), passage, hot)
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        spans = spans.unionByName(shorter.select("doc", "key", none.alias("spans")))
+        extra = [F.col("d").isNotNull() | F.col("q").isNotNull()]
+    spans = spans.withColumnsRenamed({"doc": "d", "key": "q"})
+    both = rows.join(spread_small(spans, "spans"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("q")), "left")
+    extra = [c.alias("has_passage") for c in extra]
+    both = both.select(F.col("doc").alias(doc), F.octet_length("text").cast("bigint").alias("n_bytes"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), F.col("text"), *extra)
+    return both.select(doc, "n_bytes", "spans", kept_bytes(F.col("text"), F.col("spans")).alias("kept"), *["has_passage"] * len(extra))

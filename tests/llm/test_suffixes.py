@@ -59,3 +59,44 @@ def test_digest_columns(spark, tmp_path):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in op2_suffix_dedup(spark, str(tmp_path)).collect()}
     digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("x", "y", "short")}
     assert got == {1: (501, 500, 1, digest["x"]), 2: (501, 500, 1, digest["y"]), 3: (5, 0, 0, digest["short"])}
+
+
+def test_has_passage_equals_brute_force(spark):
+    docs = documents(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = suffixes.remove_repeats(df, k=24, length=80, batches=2, passage=40).collect()
+    want = sorted((doc, n, gone > 0) for doc, n, gone, _, _ in brute(docs, 40) if doc is not None)
+    assert sorted((r.doc_id, r.n_bytes, r.has_passage) for r in rows if r.doc_id is not None) == want
+    assert {(r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans)) for r in rows} == {x[:3] for x in brute(docs, 80)}
+
+
+def test_a_batch_goes_into_stored_levels(spark, tmp_path):
+    """Each insertion opens the family anew; its matches are the grams that the batches so far hold twice."""
+    rng, seen, root = random.Random(4), Counter(), f"{tmp_path}/family"
+    for n in range(1, 6):
+        batch = [(rng.randint(0, 40), rng.randint(0, 3)) for _ in range(12)]
+        before, new = set(seen), Counter(g for g, _ in batch)
+        family = suffixes.Family(spark, root)
+        got = {r.gram for r in family.insert(spark.createDataFrame(batch, "gram long, context long")).collect()}
+        assert got == {g for g, c in new.items() if c > 1 or g in before}
+        seen.update(new)
+        assert sorted(suffixes.Family(spark, root).levels) == [i for i in range(4) if n >> i & 1]
+    levels = suffixes.Family(spark, root)
+    held = Counter()
+    for rank in levels.levels:
+        rows = levels.level(rank).collect()
+        held.update({r.gram: 0 for r in rows})
+        for r in rows:
+            held[r.gram] += r.n
+    assert held == seen
+
+
+def test_fingerprints_tell_thue_morse_strings_apart():
+    import numpy as np
+
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    for size in (400, 512, 1024, 4096):
+        a = np.array([97 + b for b in bits[:size]], np.uint8)
+        b = np.array([98 - b for b in bits[:size]], np.uint8)
+        x, y = (int(suffixes.prints(suffixes.prefix_sums(z), np.array([0]), np.array([size]))[0]) for z in (a, b))
+        assert bin(x ^ y).count("1") > 10
