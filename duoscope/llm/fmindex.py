@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import col, lower_ascii, same_rows, slices, tmp_name, utf8, word_hashes, words
+from .common import col, lower_ascii, same_rows, slices, spread, tmp_name, utf8, word_hashes, words
 
 STEP = 8
 LOWER = lower_ascii()
@@ -29,7 +29,7 @@ LOWER = lower_ascii()
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 #: Bytes of benchmark text in one block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 2 << 20
 
 
 class Phrases:
@@ -42,20 +42,18 @@ class Phrases:
         self.vocabulary, number = np.unique(word_hashes(buf, starts, ends), return_inverse=True)
         first = np.searchsorted(row, np.arange(len(items)))
         count = np.bincount(row, minlength=len(items))
-        rows, owner = [], []
-        for i in range(len(items)):
-            w = number[first[i] : first[i] + count[i]] + 1
-            n = min(window, len(w))
-            for k in range(len(w) - n + 1 if n else 0):
-                rows.append(np.pad(w[k : k + n], (0, window - n)))
-                owner.append(i)
-        table = np.array(rows, np.int64).reshape(-1, window)
+        size = np.minimum(count, window)
+        many = np.where(count > 0, count - size + 1, 0)
+        place = spread(first, many)[:, None] + np.arange(window)
+        inside = np.arange(window) < np.repeat(size, many)[:, None]
+        table = np.where(inside, number[np.where(inside, place, 0)] + 1, 0) if len(place) else np.zeros((0, window), np.int64)
+        owner = np.repeat(np.arange(len(items)), many)
         self.rows, group = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
         group = group.ravel()
         self.sizes = (self.rows > 0).sum(axis=1)
         # the items of each distinct window, one after the other
         order = np.argsort(group, kind="stable")
-        self.owner = np.array(owner, np.int64)[order]
+        self.owner = owner[order]
         self.owner_at = np.searchsorted(group[order], np.arange(len(self.rows) + 1))
         self.items = items
 
@@ -223,7 +221,8 @@ def hits_column(spark, items: list[str], texts: list[str], window: int, text: Co
         ids = pa.array(p.items, pa.string()).take(pa.array(found["item"], pa.int64()))
         return pa.StructArray.from_arrays([pa.array(found["n_words"], pa.int64()), pa.ListArray.from_arrays(pa.array(span_at, pa.int32()), spans), pa.ListArray.from_arrays(pa.array(item_at, pa.int32()), ids)], names=["n_words", "spans", "items"])
 
-    return hits(text)
+    # evaluated once, also where a filter reads it
+    return hits.asNondeterministic()(text)
 
 
 def blocks(benchmark: DataFrame, item: str, text: str):

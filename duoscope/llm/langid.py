@@ -116,7 +116,8 @@ def likelihood_column(spark, grid: np.ndarray, text: Column, strength: int) -> C
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(table), pa.int32()), pa.array(sums.ravel(), pa.float64()))
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), lists], names=["n", "loglik"])
 
-    return score(text)
+    # evaluated once, also where a filter reads it
+    return score.asNondeterministic()(text)
 
 
 def argmax(values: Column, names: list[str]) -> Column:
