@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable
 
@@ -16,8 +17,24 @@ M2 = np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+FRUGAL: list[bool] = []
+
+
+def give_back() -> None:
+    """Has the memory of freed arrays go back to the system: a Python worker lives on, idle, after its task, and what the
+    allocators keep would add up over the steps of a job. The C library's own limit rises with use; here it is fixed."""
+    if not FRUGAL:
+        FRUGAL.append(True)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):  # not in every C library
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    pa.default_memory_pool().release_unused()
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string or binary array, and the offset of each row in them (one more than rows); null is empty."""
+    give_back()
     kind = pa.large_binary() if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else pa.large_string()
     col = col.cast(kind)
     if col.null_count:

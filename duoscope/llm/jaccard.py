@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import GOLD, Scratch, col, lower_ascii, mix, slices, spread, utf8, word_hashes, words
+from .common import GOLD, Scratch, col, give_back, lower_ascii, mix, slices, spread, utf8, word_hashes, words
 from .components import components
 
 LOWER = lower_ascii()
@@ -134,6 +134,7 @@ def lists_of(batches, columns: list[str]):
     """The rows of a partition sorted by token, as numpy columns, never with part of a token's list."""
     held = None
     for batch in batches:
+        give_back()
         cols = [numbers(batch.column(batch.schema.get_field_index(c))) for c in columns]
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import arrow_udf
 
-from .common import col, same_rows
+from .common import col, give_back, same_rows
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -331,6 +331,7 @@ def detect(df: DataFrame, text: str = "text", out: str = "pii", redacted: bool =
 
     @arrow_udf(f"struct<base:{SPAN},spans:{SPAN},secrets:{SPAN}" + (",redacted:string>" if redacted else ">"))
     def spans_of(texts: pa.Array) -> pa.Array:
+        give_back()
         cols = {"base": [], "spans": [], "secrets": []}
         clean = []
         for t in texts:
