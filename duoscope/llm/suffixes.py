@@ -110,18 +110,23 @@ def anchors(buf: np.ndarray, offs: np.ndarray, k: int, length: int):
 
 
 #: Rows and list items, of some 50 bytes each, of a table that is sent to all executors; a larger one is joined by a shuffle.
-SMALL = 400_000
+SMALL = 1_000_000
+#: Bytes of text taken at a time: what numpy makes of them fits a core's cache.
+SLICE = 1 << 16
 
 
 def anchor_rows(batches, k: int, length: int):
     for batch in batches:
         buf, offs = utf8(batch.column(2))
-        for a, b in slices(offs):
+        found = []
+        for a, b in slices(offs, SLICE):
             row, place, lo, hi, gram, context = anchors(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a], k, length)
             base = (offs[a:b] - offs[a])[row]
-            at = pa.array(row + a, pa.int64())
-            ints = [pa.array(x - base, pa.int32()) for x in (place, lo, hi)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), *ints], names=["doc", "key", "gram", "context", "place", "lo", "hi"])
+            found.append((row + a, gram, context, place - base, lo - base, hi - base))
+        if found:
+            row, gram, context, *ints = (np.concatenate(x) for x in zip(*found))
+            at = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), *(pa.array(x, pa.int32()) for x in ints)], names=["doc", "key", "gram", "context", "place", "lo", "hi"])
 
 
 def context_rows(batches, length: int):
@@ -153,7 +158,7 @@ def windows_of(col: pa.Array, lo: np.ndarray, hi: np.ndarray, length: int) -> tu
     buf, offs = utf8(col)
     count = (hi - lo + 1).astype(np.int64)
     found = []
-    for a, b in slices(offs):
+    for a, b in slices(offs, SLICE):
         sums = prefix_sums(buf[offs[a] : offs[b]])
         at = spread(offs[a:b] - offs[a], count[a:b])
         found.append(prints(sums, at, at + length))
