@@ -103,3 +103,21 @@ def indel_ratio(a: Column, b: Column) -> Column:
     common = F.element_at(F.aggregate(chars(b), zero, row), -1)
     total = F.char_length(a) + F.char_length(b)
     return F.when(total == 0, 100.0).otherwise(200.0 * common / total)
+
+
+def request_url(base: str, parameters: dict[str, Column]) -> Column:
+    """base with the parameters that are not null, encoded as in a form."""
+    pairs = [F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string"))) for k, v in parameters.items()]
+    return F.concat(F.lit(f"{base}?"), F.array_join(F.array_compact(F.array(*pairs)), "&"))
+
+
+def override(base: Column, over: Column) -> Column:
+    """A map with the entries of another put over its own; a null map has none."""
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    base, over = F.coalesce(base, empty), F.coalesce(over, empty)
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
+
+
+def age_days(stamped: Column, today: Column) -> Column:
+    """Days since an ISO date; null where it is none."""
+    return F.datediff(today, stamped.try_cast("date"))

@@ -144,3 +144,21 @@ def resolve(queries: DataFrame, aliases: DataFrame, combinations: DataFrame, tar
 def any_of(conditions: list[tuple[Column, str]]) -> Column:
     """The name of the first condition that holds, else null."""
     return F.coalesce(*[F.when(c, name) for c, name in conditions])
+
+
+def unii_bridge(entries: DataFrame, links: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Names of entries (key, unii, names: array) as aliases of the canonical name that their UNII leads to.
+
+    Columns alias, canonical, outcome: added, conflict (the alias is known and points elsewhere), known (to the same), or
+    unlinked (one row an entry without a link, its key as alias). A known alias always wins; of two entries that give one
+    new alias, that with the smaller key is added and the other is known or a conflict.
+    """
+    linked = entries.join(links.select(F.col("unii").alias("u"), "canonical"), F.trim("unii") == F.col("u"), "left").drop("u")
+    named = linked.where("canonical IS NOT NULL").select("key", "canonical", F.explode("names").alias("alias")).withColumn("alias", F.lower(F.trim("alias"))).where("alias <> ''")
+    first = named.groupBy("alias").agg(F.min_by("canonical", F.struct("key", "canonical")).alias("winner"), F.min(F.struct("key", "canonical")).alias("one"))
+    known = aliases.select(F.col("alias").alias("k"), F.col("canonical").alias("had"))
+    rows = named.distinct().join(first, "alias").join(known, F.col("alias") == F.col("k"), "left")
+    is_first = (F.col("one.key") == F.col("key")) & (F.col("one.canonical") == F.col("canonical"))
+    outcome = F.when(F.col("had").isNotNull(), F.when(F.col("had") == F.col("canonical"), "known").otherwise("conflict")).when(is_first, "added")
+    rows = rows.select("alias", "canonical", outcome.when(F.col("winner") == F.col("canonical"), "known").otherwise("conflict").alias("outcome"))
+    return rows.unionByName(linked.where("canonical IS NULL").select(F.col("key").cast("string").alias("alias"), F.lit(None).cast("string").alias("canonical"), F.lit("unlinked").alias("outcome")))

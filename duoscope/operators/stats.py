@@ -159,3 +159,29 @@ def verdict_shares(df: DataFrame, verdict: str, valid: list[str]) -> DataFrame:
 def union_all(parts: list[DataFrame]) -> DataFrame:
     """All rows of tables whose columns may be missing here and there (null then)."""
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def mode(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """The commonest value of each group and its count; of equally common ones the least. Nulls do not count."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(value).alias("v"))).alias("b"))
+    return best.select(*by, F.col("b.v").alias(value), (-F.col("b.m")).alias("n"))
+
+
+def unblind(answers: DataFrame, key: DataFrame, verdicts: list[str]) -> DataFrame:
+    """Each answer (id, human) with its judge's verdict from the key (id, judge), and what it counts as: blank (no answer),
+    invalid (no such verdict, or an id that the key lacks) or scored."""
+    said = F.lower(F.trim(F.coalesce("human", F.lit(""))))
+    rows = answers.withColumn("human", said).join(key, "id", "left")
+    kind = F.when(F.col("human") == "", "blank").when(~F.col("human").isin(verdicts) | F.col("judge").isNull(), "invalid").otherwise("scored")
+    return rows.select("id", "human", "judge", kind.alias("kind"))
+
+
+def run_summary(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Rates of runs (drafts, first_passed, source) of each group: first drafts that passed, failed ones that a retry
+    mended, and those that fell back. Runs without a draft are counted but have no part in the rates."""
+    eligible = F.col("drafts") > 0
+    failed = eligible & ~F.col("first_passed")
+    n = {"cases": F.count(F.lit(1)), "eligible": F.count_if(eligible), "p": F.count_if(eligible & F.col("first_passed")), "f": F.count_if(failed), "r": F.count_if(failed & (F.col("source") == "retry")), "b": F.count_if(eligible & (F.col("source") == "fallback"))}
+    done = runs.groupBy(*by).agg(*[c.alias(k) for k, c in n.items()])
+    return done.select(*by, "cases", "eligible", rate(F.col("p"), F.col("eligible")).alias("first_pass_rate"), rate(F.col("r"), F.col("f")).alias("recovery_rate"), rate(F.col("b"), F.col("eligible")).alias("fallback_rate"))
