@@ -7,7 +7,8 @@ few MB, in a manifest; files of failed or repeated attempts are in no manifest a
 Reading: a partition is a stretch of a file between two listed offsets, or a whole file where there is no manifest.
 Of each record the headers are inflated first. Predicates on the record type, ids, address and digest are pushed down
 and decided on the headers; a record that fails them is skipped by its stored length, its payload never inflated.
-With the option payload=none no payload is.
+With the option payload=none no payload is. Plain .warc files are read by the lengths in their headers; a gzip member that
+holds more than one record is an error. In a folder with manifests, files that no manifest lists are not read.
 
 Paths may be of any file system that pyarrow.fs knows (file, hdfs, s3, gs).
 """
@@ -113,7 +114,9 @@ class Member:
             if not self.more(HEAD):
                 raise ValueError(f"no WARC record at offset {self.at}")
         self.body_at = end + 4
-        return headers_of(self.text[:end])
+        head = headers_of(self.text[:end])
+        self.length = int(head["content-length"])
+        return head
 
     def whole(self) -> bytes:
         self.more(0)
@@ -122,13 +125,51 @@ class Member:
     def end(self) -> int:
         if self.size:
             return self.at + self.size
+        total = len(self.text)
         while not self.inflate.eof:
             self.text = b""
             if not self.more(1 << 20) or (not self.pending and not self.inflate.eof):
                 raise ValueError(f"the gzip member at offset {self.at} ends early")
+            total += len(self.text)
+        if total > self.body_at + self.length + 4:
+            raise ValueError(f"the gzip member at offset {self.at} holds more than one record")
         return len(self.data) - len(self.inflate.unused_data)
 
 
+class Plain:
+    """As Member, for a record that is not compressed."""
+
+    def __init__(self, data: memoryview, at: int):
+        self.data, self.at, self.text, self.body_at = data, at, b"", 0
+
+    def head(self) -> dict[str, str]:
+        size = HEAD
+        while (end := bytes(self.data[self.at : self.at + size]).find(b"\r\n\r\n")) < 0:
+            if self.at + size >= len(self.data):
+                raise ValueError(f"no WARC record at offset {self.at}")
+            size *= 2
+        self.body_at = end + 4
+        self.text = bytes(self.data[self.at : self.at + self.body_at])
+        head = headers_of(self.text[:end])
+        self.length = int(head["content-length"])
+        return head
+
+    def more(self, n: int) -> bool:
+        """The first n bytes of the body, or all with 0; false if they are there."""
+        whole = self.body_at + self.length
+        if len(self.text) >= whole:
+            return False
+        self.text = bytes(self.data[self.at : self.at + (min(whole, len(self.text) + n) if n else whole)])
+        return True
+
+    def whole(self) -> bytes:
+        self.more(0)
+        return self.text[self.body_at :]
+
+    def end(self) -> int:
+        return self.at + self.body_at + self.length + 4
+
+
 def passes(row: dict[str, str | None], tests: list[tuple[str, str, object]]) -> bool:
     for column, kind, value in tests:
         have = row[column]
@@ -202,7 +243,7 @@ class WarcReader(DataSourceReader):
             data = memoryview(f.read(part.end - part.start))
         rows, held, at = [], 0, 0
         while at < len(data):
-            m = Member(data, at)
+            m = (Member if bytes(data[at : at + 2]) == b"\x1f\x8b" else Plain)(data, at)
             head = m.head()
             row = row_of(head)
             if passes(row, self.tests):
@@ -307,14 +348,14 @@ def as_records(pages: DataFrame, page: str = "page_id", url: str = "url", html:
 
     Of pages whose payloads (UTF-8 html; null: empty) are equal and of least bytes or more, that with the largest id is
     the response and the others revisit it; shorter payloads are all responses. Rows that share the largest id are all
-    responses; a page without an id revisits where it can. Groups are found on digests and lengths, pre-aggregated; the
-    join back is on the digest, and a common page is a skewed key of that join, which Spark splits.
+    responses; a page without an id revisits where it can. Groups are found on SHA-256 and lengths, pre-aggregated; the
+    join back is on these, and a common page is a skewed key of that join, which Spark splits.
     """
     raw = F.encode(F.coalesce(col(html), F.lit("")), "utf-8")
     rows = pages.select(col(page).alias("p"), col(url).alias("target_uri"), raw.alias("payload"))
-    rows = rows.select("p", "target_uri", F.sha1("payload").alias("d"), F.octet_length("payload").cast("bigint").alias("n"), "payload")
-    groups = rows.where(F.col("n") >= least).groupBy("d", "n").agg(F.max("p").alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1 AND last IS NOT NULL").select("d", "n", "last")
-    seen = rows.join(groups, ["d", "n"], "left").withColumn("again", F.col("last").isNotNull() & (F.col("p").isNull() | (F.col("p") < F.col("last"))))
+    rows = rows.select("p", "target_uri", F.sha1("payload").alias("d"), F.sha2("payload", 256).alias("e"), F.octet_length("payload").cast("bigint").alias("n"), "payload")
+    groups = rows.where(F.col("n") >= least).groupBy("e", "n").agg(F.max("p").alias("last"), F.count(F.lit(1)).alias("k")).where("k > 1 AND last IS NOT NULL").select("e", "n", "last")
+    seen = rows.join(groups, ["e", "n"], "left").withColumn("again", F.col("last").isNotNull() & (F.col("p").isNull() | (F.col("p") < F.col("last"))))
 
     def urn(c):
         return F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))

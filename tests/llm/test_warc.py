@@ -69,3 +69,20 @@ def test_empty_table(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.write_archives(warc.as_records(df), path)
     assert warc.read_archives(spark, path).collect() == []
+
+
+def test_plain_files_and_members_of_several_records(spark, tmp_path):
+    import pathlib
+
+    pages = spark.createDataFrame([(1, "u", "x" * 3000), (2, None, "é"), (3, "w", "x" * 3000), (4, "v", None)], "page_id long, url string, html string")
+    warc.write_archives(warc.as_records(pages), f"{tmp_path}/packed")
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in sorted(pathlib.Path(f"{tmp_path}/packed").rglob("*.warc.gz")))
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "plain/all.warc").write_bytes(raw)
+    want, got = (sorted(map(repr, warc.read_archives(spark, f"{tmp_path}/{d}").collect())) for d in ("packed", "plain"))
+    assert got == want and len(got) == 4
+    assert warc.read_archives(spark, f"{tmp_path}/plain", payload=False).where("record_type = 'revisit'").count() == 1
+    (tmp_path / "joined").mkdir()
+    (tmp_path / "joined/all.warc.gz").write_bytes(gzip.compress(raw))
+    with pytest.raises(Exception, match="more than one record"):
+        warc.read_archives(spark, f"{tmp_path}/joined").collect()
