@@ -80,15 +80,43 @@ def split_input(c: Column) -> Column:
     return F.when(F.size(lines) > 1, lines).otherwise(parts)
 
 
-def indel_ratio(a: Column, b: Column) -> Column:
-    """200 * longest common subsequence / (length a + length b), 100 for two empty texts.
+def chars(c: Column) -> Column:
+    """The characters of a text (code points, not UTF-16 units); none of an empty one."""
+    n = F.char_length(c)
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(1))))
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once a row, also where use needs it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Longest text whose places fit into the bits of a long, with room for a carry.
+WORD = 62
 
-    One row of the table of common lengths is folded along a for each character of b; code points, not UTF-16 units.
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two texts, the first of at most WORD characters.
+
+    One bit a place of a: v starts with all bits set, and a bit goes for each place that the subsequence has used. With m
+    the places of a character of b in a and u = v & m, the next v is (v + u) | (v - u), so a character costs one step.
     """
-    def chars(c):
-        n = F.char_length(c)
-        return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(c, i, F.lit(1))))
+    places = lambda xs: F.map_from_entries(F.transform(F.array_distinct(xs), lambda x: F.struct(x, F.aggregate(F.transform(xs, lambda y, i: F.when(x == y, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda s, y: s + y))))
+    full = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.char_length(a)) - 1
+
+    def step(at):
+        def one(v, y):
+            u = v.bitwiseAND(F.coalesce(F.try_element_at(at, y), F.lit(0).cast("bigint")))
+            return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+
+        return one
 
+    left = let(let(chars(a), places), lambda at: F.aggregate(chars(b), full, step(at)))
+    return F.char_length(a) - F.bit_count(left)
+
+
+def common_length_folded(a: Column, b: Column) -> Column:
+    """The same for texts of any length: a row of the table of common lengths is folded along a for each character of b."""
     left = chars(a)
     zero = F.transform(F.sequence(F.lit(0), F.char_length(a)), lambda _: F.lit(0))
 
@@ -100,11 +128,27 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
         return F.aggregate(left, F.array(F.lit(0)), cell)
 
-    common = F.element_at(F.aggregate(chars(b), zero, row), -1)
+    return F.element_at(F.aggregate(chars(b), zero, row), -1)
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """200 * longest common subsequence / (length a + length b), 100 for two empty texts; code points are compared."""
+    short = F.char_length(a) <= WORD
+    common = F.when(short, common_length(F.when(short, a).otherwise(""), b)).otherwise(common_length_folded(a, b))
     total = F.char_length(a) + F.char_length(b)
     return F.when(total == 0, 100.0).otherwise(200.0 * common / total)
 
 
+def grams(c: Column, q: int) -> Column:
+    """Parts of q characters of a text, each with the number of its occurrence; with q = 2 the ends count as characters.
+
+    Two texts have as many of these in common as their multisets of parts.
+    """
+    padded = c if q == 1 else F.concat(F.lit("\x02"), c, F.lit("\x03"))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(padded) - (q - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(q)))
+    return let(parts, lambda xs: F.transform(xs, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(xs, 1, i + 1), lambda y: y == x)).cast("string"))))
+
+
 def request_url(base: str, parameters: dict[str, Column]) -> Column:
     """base with the parameters that are not null, encoded as in a form."""
     pairs = [F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string"))) for k, v in parameters.items()]

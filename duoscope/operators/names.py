@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, indel_ratio
+from ..functions.text import clean, grams, indel_ratio
 
 #: Rows of a dimension that is sent to all executors; a larger one is joined by a shuffle.
 SMALL = 200_000
@@ -91,17 +91,40 @@ def family(queries: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
     return queries.where((F.char_length("query") >= least) & ~F.col("query").contains(" ")).join(spread, "query")
 
 
-def fuzzy_candidates(queries: DataFrame, names: DataFrame, floor: float = 75.0) -> DataFrame:
-    """Pairs of query and name (both distinct) with an indel ratio of floor or more.
+def rare_first(df: DataFrame, key: str, q: int, share: float, seen: DataFrame) -> DataFrame:
+    """key, its length _n, its parts _all by how rare they are in seen (part, n), and those of them that must meet, _head.
 
-    The ratio bounds the lengths: 2 min / (sum) >= floor / 100. Names are joined by length on equality, one row for
-    each length of a query that the bound allows; no pair outside the bound is made.
+    A text of n characters and any partner that the bound allows have at least `least` parts in common, so one of them is
+    among the first size - least + 1 of each, in any order that both sides follow.
+    """
+    n, total = F.char_length(key), F.char_length(key) * (1 + share)
+    need = F.ceil(total * (share / (1 + share)) - 1e-9) if q == 1 else F.ceil(total * (3 * share / (1 + share) - 1) - 1e-9) + 1
+    parts = df.select(key, F.explode(grams(F.col(key), q)).alias("part")).join(seen, "part", "left")
+    sorted_parts = F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "part"))), lambda x: x["part"])
+    return parts.groupBy(key).agg(sorted_parts.alias("_all")).select(key, n.alias("_n"), "_all", F.slice("_all", 1, F.greatest(F.size("_all") - F.greatest(need, F.lit(1)) + 1, F.lit(1)).cast("int")).alias("_head"))
+
+
+def fuzzy_candidates(queries: DataFrame, names: DataFrame, floor: float = 75.0, salts: int = 8) -> DataFrame:
+    """Pairs of query and name (both distinct) with an indel ratio of floor or more; empty and null texts have none.
+
+    The ratio asks for `need` common characters of m and n in all, so at most m + n - 2 need go or come. Each of them
+    breaks two pairs of neighbours of the text it is in, and one of the other: with the ends counted as characters 3 need
+    - m - n + 1 pairs stay, one at least from a floor of 200 / 3 on (below it single characters are used, of which need
+    stay). Texts meet on their rarest parts only, each pair on the first part they share; lengths and the number of common
+    parts are tested before anything is scored. Frequent parts are salted, so none is one task.
     """
-    n = F.char_length("name")
     share = floor / (200.0 - floor)
-    lengths = F.sequence(F.ceil(n * share).cast("int"), F.floor(n / share).cast("int"))
-    spread = names.where(n > 0).select("name", F.explode(lengths).alias("_n"))
-    both = queries.withColumn("_n", F.char_length("query")).join(spread, "_n").drop("_n")
+    q = 2 if floor * 3 >= 200 else 1
+    names, queries = names.select("name").where("name <> ''"), queries.select("query").where("query <> ''")
+    seen = dimension(names.select(F.explode(grams(F.col("name"), q)).alias("part")).groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    x, y = (rare_first(df, key, q, share, seen).withColumnsRenamed({c: f"{c}_{key}" for c in ("_n", "_all", "_head")}) for df, key in ((queries, "query"), (names, "name")))
+    x = x.withColumn("_part", F.explode("_head_query")).withColumn("_salt", F.pmod(F.xxhash64("query"), F.lit(salts)).cast("int"))
+    y = y.withColumn("_part", F.explode("_head_name")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    total = F.col("_n_query") + F.col("_n_name")
+    need = F.ceil(total * (floor / 200.0) - 1e-9)
+    near = (F.least("_n_query", "_n_name") >= need) & (F.array_intersect("_head_query", "_head_name")[0] == F.col("_part"))
+    enough = F.size(F.array_intersect("_all_query", "_all_name")) >= (need if q == 1 else 3 * need - total + 1)
+    both = x.join(y, ["_part", "_salt"]).where(near & enough).select("query", "name")
     return both.withColumn("score", indel_ratio(F.col("query"), F.col("name"))).where(F.col("score") >= floor)
 
 

@@ -70,6 +70,26 @@ def test_names(spark):
     assert got == {"aspirin": ("exact", "aspirin"), "celebrx": ("fuzzy", "celebrex"), "insulin": ("family", None), "hydroxalazine": ("ambiguous", None), "qqqq": ("unresolved", None), "duo": ("combination", None), "": ("unresolved", None)}
 
 
+def test_fuzzy_candidates_equal_brute_force(spark):
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            corner = 0
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    rng = random.Random(1)
+    made = sorted({"".join(rng.choice("ab\U0001f600") for _ in range(rng.randint(1, 9))) for _ in range(80)} | {"".join(rng.choice("abcdefg ") for _ in range(rng.randint(50, 90))) for _ in range(6)})
+    asked = sorted({w[:i] + c + w[i + 1 :] for w in made for i, c in [(rng.randrange(len(w)), rng.choice(["", "a", "xy"]))]} | {""})
+    queries, known = spark.createDataFrame([(w,) for w in [*asked, None]], "query string"), spark.createDataFrame([(w,) for w in made], "name string")
+    for floor in (75.0, 50.0):
+        got = {(r.query, r.name): r.score for r in names.fuzzy_candidates(queries, known, floor).collect()}
+        want = {(a, b): 200 * common(a, b) / (len(a) + len(b)) for a in asked for b in made if a}
+        assert got == {k: v for k, v in want.items() if v >= floor}
+    assert names.fuzzy_candidates(queries, known.limit(0)).count() == 0
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "ts.csv").write_text("drug_1_rxnorn_id,drug_1_concept_name,drug_2_rxnorm_id,drug_2_concept_name,condition_meddra_id,condition_concept_name,A,PRR,mean_reporting_frequency\n" + "\n".join(
         ["1,Aa,2,Bb,9,Rash,6,3.0,0.1", "2,Bb,1,Aa,9,Rash,7,4.0,0.1", "1,Aa,2,Bb,8,Pain,9,1.0,", "1,Aa,2,Bb,7,Ache,2,5.0,", "1,Aa,2,Bb,6,Death,9,5.0,", "5,Zz,2,Bb,9,Rash,9,5.0,", "1,Aa,1,Aa,9,Rash,9,5.0,", "1,Aa,2,Bb,4,Itch,x,bad,"]))
