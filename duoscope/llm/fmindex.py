@@ -9,8 +9,8 @@ backwards, a word a step; each range of rows is walked to sampled positions, and
 A phrase is a window of consecutive words of a benchmark text, or the whole of a shorter one. The phrases go to the tasks
 in blocks of bounded size; with more than one block the spans of all blocks are merged for each document row.
 
-Null texts have no words. Repeated benchmark texts each count as items; items without words occur nowhere; an item
-without an id is left out.
+Null texts have no words. Repeated benchmark texts each count as items; items without words occur nowhere; the words of
+an item without an id are found as those of any other, but no list of items names it.
 """
 
 from __future__ import annotations
@@ -228,7 +228,7 @@ def hits_column(spark, items: list[str], texts: list[str], window: int, text: Co
 def blocks(benchmark: DataFrame, item: str, text: str):
     """Benchmark rows in blocks of bounded size, one block after another; their order decides nothing."""
     ids, texts, size = [], [], 0
-    for r in benchmark.select(col(item).cast("string"), col(text)).where(col(item).isNotNull()).toLocalIterator():
+    for r in benchmark.select(col(item).cast("string"), col(text)).toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
         size += len(r[1] or "")
@@ -251,7 +251,7 @@ def merge_spans(lists: Column) -> Column:
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, out: str = "hits") -> DataFrame:
-    """df and a struct column out: n_words, spans (start and end in UTF-8 bytes, first and last word), items (sorted ids, as strings).
+    """df and a struct column out: n_words, spans (start and end in UTF-8 bytes, first and last word), items (sorted ids, as strings, none null).
 
     Ends are exclusive. n_words counts all words of the row, spans cover every word inside an occurrence of a phrase, items are those
     with an occurring phrase. Every other column stays; an empty benchmark gives no spans.
@@ -267,7 +267,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
         spans = F.col(f"{names[0]}.spans")
     else:
         spans = merge_spans(F.array(*[F.col(f"{n}.spans") for n in names]))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))
+    items = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array(*[F.col(f"{n}.items") for n in names])))))
     return same_rows(done, out, lambda: F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))).drop(*names)
 
 
