@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.names import dimension
+from ..operators.pairs import of_names
+
 Z = 1.959964
 
 
@@ -64,24 +67,18 @@ def assess(df: DataFrame, reports: int = 3, least_prr: float = 2.0, least_chi2:
 def counts(reports: DataFrame, events: DataFrame) -> DataFrame:
     """The counts that assess() takes, for every pair of names and event that some report has.
 
-    reports: distinct (report, name); events: distinct (report, event). The pairs of a report meet in a self-join on the
-    report, so a report of k names costs k * k rows; requests have a few names. Margins are small tables by name and
-    event.
+    reports: (report, name); events: (report, event); repeated rows and nulls count for nothing. Each report becomes one
+    row of its names and events, and one aggregation with partial sums counts pairs, names and events, each with and
+    without an event (null: all reports). A report of k names costs k * k rows; requests have a few names. The margins are
+    broadcast where their counted size allows it.
     """
-    pairs = reports.alias("x").join(reports.alias("y"), (F.col("x.report") == F.col("y.report")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.report").alias("report"), F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-    n_abe = pairs.join(events, "report").groupBy("a", "b", "event").agg(F.count(F.lit(1)).alias("n_abe"))
-    n_ab = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
-    n = reports.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    n_e = events.groupBy("event").agg(F.countDistinct("report").alias("n_e"))
-    n_ne = reports.join(events, "report").groupBy("name", "event").agg(F.count(F.lit(1)).alias("n"))
-    total = reports.agg(F.countDistinct("report").alias("total"))
-    side = lambda df, key, to: df.withColumnsRenamed({"name": key, "n": to})
-    return (
-        n_abe.join(n_ab, ["a", "b"])
-        .join(side(n, "a", "n_a"), "a")
-        .join(side(n, "b", "n_b"), "b")
-        .join(n_e, "event")
-        .join(side(n_ne, "a", "n_ae"), ["a", "event"])
-        .join(side(n_ne, "b", "n_be"), ["b", "event"])
-        .crossJoin(F.broadcast(total))  # one row
-    )
+    named = reports.where("report IS NOT NULL AND name IS NOT NULL").groupBy("report").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    had = events.where("report IS NOT NULL AND event IS NOT NULL").groupBy("report").agg(F.collect_set("event").alias("events"))
+    rows = named.join(had, "report", "left").withColumn("events", F.coalesce("events", F.array().cast("array<string>"))).persist()
+    of = lambda df, key: df.select(*key, F.explode(F.concat(F.array(F.lit(None).cast("string")), "events")).alias("event")).groupBy(*key, "event").agg(F.count(F.lit(1)).alias("n"))
+    pairs = of(of_names(rows.drop("report")), ["a", "b"]).withColumn("n_ab", F.max(F.when(F.col("event").isNull(), F.col("n"))).over(Window.partitionBy("a", "b"))).where("event IS NOT NULL")
+    sides = of(rows.select("events", F.explode("names").alias("name")), ["name"]).withColumn("all", F.max(F.when(F.col("event").isNull(), F.col("n"))).over(Window.partitionBy("name"))).where("event IS NOT NULL").persist()
+    n_e = had.select(F.explode("events").alias("event")).groupBy("event").agg(F.count(F.lit(1)).alias("n_e"))
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    side = lambda key: dimension(sides.select(F.col("name").alias(key), "event", F.col("n").alias(f"n_{key}e"), F.col("all").alias(f"n_{key}")))
+    return pairs.withColumnRenamed("n", "n_abe").join(dimension(n_e), "event").join(side("a"), ["a", "event"]).join(side("b"), ["b", "event"]).crossJoin(F.broadcast(total))  # one row

@@ -18,15 +18,24 @@ def orient(df: DataFrame, a: str, b: str, companions: tuple[tuple[str, str], ...
     return df.where(F.col(a) != F.col(b)).withColumns(moved)
 
 
+def of_names(df: DataFrame, names: str = "names") -> DataFrame:
+    """df with a row for each pair a < b of a sorted array of distinct names, in place of the array.
+
+    Each name is put beside the names after it, so a row never holds more than the array it came from.
+    """
+    rest = [c for c in df.columns if c != names]
+    firsts = df.select(*rest, names, F.posexplode(names).alias("_i", "a")).where(F.col("_i") + 1 < F.size(names))
+    return firsts.select(*rest, "a", F.explode(F.slice(names, F.col("_i") + 2, F.size(names))).alias("b"))
+
+
 def plan(names: DataFrame) -> DataFrame:
     """All pairs (request, a, b) of each request's distinct names. names: (request, name).
 
-    The names meet in a self-join on the request: a request of k names makes k (k - 1) / 2 rows, which is its answer.
+    The names of a request are gathered once, and a request of k names makes k (k - 1) / 2 rows, which is its answer.
     Requests are short (12 names in the service); oversized() lists those that are not.
     """
-    names = names.select("request", "name").where("name IS NOT NULL").distinct()
-    x, y = names.alias("x"), names.alias("y")
-    return x.join(y, (F.col("x.request") == F.col("y.request")) & (F.col("x.name") < F.col("y.name"))).select("x.request", F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    sets = names.where("request IS NOT NULL AND name IS NOT NULL").groupBy("request").agg(F.sort_array(F.collect_set("name")).alias("names"))
+    return of_names(sets)
 
 
 def oversized(names: DataFrame, most: int = 12) -> DataFrame:
@@ -75,6 +84,17 @@ def select_records(found: DataFrame, statistical: Column, order: list[Column], k
     return ranked.withColumn("hidden", F.greatest(n - shown, F.lit(0))).where(~F.col("_s") | (F.col("position") <= shown)).drop("_s")
 
 
+def review(pairs: DataFrame, records: DataFrame, statistical: Column, order: list[Column], shown: int = 3) -> DataFrame:
+    """Planned pairs with the records that select_records() shows; a pair without records is one row with nulls in their place.
+
+    last marks the row after which a pair's hidden records are to be mentioned. One shuffle by request serves the windows
+    here and whatever is grouped by request afterwards.
+    """
+    found = pairs.distinct().join(records, ["a", "b"], "left").repartition("request")
+    done = select_records(found, F.coalesce(statistical, F.lit(False)), order, shown=shown)
+    return done.withColumn("last", F.coalesce(statistical & (F.col("hidden") > 0) & (F.col("position") == shown), F.lit(False)))
+
+
 def partition(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """Every planned pair and whether any record is about it; each pair is in one part exactly."""
     known = records.select("a", "b").distinct().withColumn("_k", F.lit(True))

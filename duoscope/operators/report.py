@@ -1,7 +1,7 @@
 """Reports as rows: summaries, the grid of pairs, entries as they were read, and text joined from ordered lines.
 
-A report's lines are rows (request, section, a, b, place, line); text comes last, by one grouping by request. A request
-has a few names, so a report is a few hundred lines at most.
+What is shown of a request comes in one grouping of pairs.review() by request (gather()); counts, text and JSON are made
+from that row. A request has a few names, so a report is a few hundred items at most.
 """
 
 from __future__ import annotations
@@ -25,28 +25,40 @@ def record_id(a: str = "a", b: str = "b", event: str = "event") -> Column:
     return F.substring(F.sha1(F.concat_ws("|", a, b, event)), 1, 10)
 
 
-def summary(names: DataFrame, shown: DataFrame, partition: DataFrame) -> DataFrame:
-    """Counts of each request. names: (request, name); shown: as pairs.select_records() gives it, with source and severity."""
-    per_pair = shown.groupBy("request", "a", "b").agg(
-        *[F.count_if((F.col("source") == "CURATED") & (F.col("severity") == g)).alias(g.lower()) for g in ("Major", "Moderate", "Minor", "Unknown")], F.count_if(F.col("source") == "SIGNAL").alias("signals"), F.max("hidden").alias("hidden")
-    )
-    counts = ("major", "moderate", "minor", "unknown", "signals", "hidden")
-    n = per_pair.groupBy("request").agg(*[F.sum(c).cast("bigint").alias(c) for c in counts])
-    k = names.groupBy("request").agg(F.countDistinct("name").alias("names"))
-    p = partition.groupBy("request").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(~F.col("has_records")).alias("no_data"))
-    zero = F.lit(0).cast("bigint")
-    return k.join(p, "request", "left").join(n, "request", "left").select("request", "names", *[F.coalesce(c, zero).alias(c) for c in ("pairs", *counts, "no_data")])
+def gather(names: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """request, names (how many) and items in the order of the report. names: (request, name); reviewed: as pairs.review()
+    gives it, with source, severity, event and reports. A request without pairs has null items."""
+    section = F.when(F.col("source").isNull(), 6).when(F.col("source") == "CURATED", severity_rank(F.col("severity")) + 1).otherwise(5)
+    place = F.when(F.col("source").isNotNull(), F.col("position").cast("int")).otherwise(0)
+    item = F.struct(section.alias("section"), "a", "b", place.alias("place"), "source", "severity", "event", "reports", F.col("hidden").cast("bigint").alias("hidden"), "last", record_id().alias("record_id"))
+    items = reviewed.groupBy("request").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    n = names.groupBy("request").agg(F.countDistinct("name").alias("names"))
+    return n.join(items, "request", "left")
 
 
-def grid(names: DataFrame, shown: DataFrame, partition: DataFrame) -> DataFrame:
+def tally(items: str = "items") -> dict[str, Column]:
+    """Counts of a gathered row: pairs, items of each grade, signals, hidden records, pairs without data."""
+    count = lambda section: F.coalesce(F.size(F.filter(items, lambda i: i["section"] == section)), F.lit(0)).cast("bigint")
+    graded = {g.lower(): count(k) for k, g in enumerate(("Major", "Moderate", "Minor", "Unknown"), 1)}
+    pairs = F.coalesce(F.size(F.array_distinct(F.transform(items, lambda i: F.struct(i["a"], i["b"])))), F.lit(0)).cast("bigint")
+    hidden = F.coalesce(F.aggregate(F.filter(items, lambda i: i["last"]), F.lit(0).cast("bigint"), lambda n, i: n + i["hidden"]), F.lit(0).cast("bigint"))
+    return {"pairs": pairs, **graded, "signals": count(5), "hidden": hidden, "no_data": count(6)}
+
+
+def summary(gathered: DataFrame) -> DataFrame:
+    """Counts of each request."""
+    return gathered.select("request", "names", *[c.alias(n) for n, c in tally().items()])
+
+
+def grid(names: DataFrame, reviewed: DataFrame) -> DataFrame:
     """request, row > col (places of the pair's names), a, b and status: the most severe grade of the pair, "signals only"
     or "no curated data". names: (request, name, place)."""
-    rank = F.when(F.col("source") == "CURATED", severity_rank(F.col("severity"))).otherwise(4)
-    best = shown.groupBy("request", "a", "b").agg(F.min(rank).alias("rank"))
+    rank = F.when(F.col("source") == "CURATED", severity_rank(F.col("severity"))).when(F.col("source").isNotNull(), 4)
+    best = reviewed.groupBy("request", "a", "b").agg(F.min(rank).alias("rank"))
     status = F.coalesce(F.try_element_at(F.array(*map(F.lit, ("Major", "Moderate", "Minor", "not graded", "signals only"))), F.col("rank") + 1), F.lit("no curated data"))
-    place = lambda side: names.select("request", F.col("name").alias(side), F.col("place").alias(f"{side}_at"))
-    both = partition.join(best, ["request", "a", "b"], "left").join(place("a"), ["request", "a"]).join(place("b"), ["request", "b"])
-    return both.select("request", F.greatest("a_at", "b_at").alias("row"), F.least("a_at", "b_at").alias("col"), "a", "b", status.alias("status"))
+    places = names.groupBy("request").agg(F.map_from_entries(F.collect_set(F.struct("name", "place"))).alias("_at"))
+    both = best.join(places, "request").withColumns({"_x": F.try_element_at("_at", F.col("a")), "_y": F.try_element_at("_at", F.col("b"))}).where("_x IS NOT NULL AND _y IS NOT NULL")
+    return both.select("request", F.greatest("_x", "_y").alias("row"), F.least("_x", "_y").alias("col"), "a", "b", status.alias("status"))
 
 
 def entries(resolved: DataFrame) -> DataFrame:
@@ -64,31 +76,30 @@ def entries(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("status", status).withColumns({"line": line, "first": known & (F.row_number().over(same.orderBy("place")) == 1), "entered": F.when(known, F.count(F.lit(1)).over(same))})
 
 
-def lines(counts: DataFrame, shown: DataFrame, partition: DataFrame) -> DataFrame:
-    """All lines of all reports: (request, section, a, b, place, line)."""
-    empty, none = F.lit(""), F.lit(-1)
-    c = F.col
-    graded = F.concat_ws(", ", *[F.concat(F.lit(g + " "), c(g.lower()).cast("string")) for g in ("Major", "Moderate", "Minor")])
-    text = F.concat(plural(c("names"), "name"), F.lit(" in "), plural(c("pairs"), "pair"), F.lit(": "), graded, F.lit(", "), plural(c("signals"), "signal"), F.lit(", "), c("hidden").cast("string"), F.lit(" hidden, "), c("no_data").cast("string"), F.lit(" without data."))
-    top = counts.select("request", F.lit(0).alias("section"), empty.alias("a"), empty.alias("b"), F.lit(0).alias("place"), text.alias("line"))
-    pair = F.concat(F.lit("- **"), c("a"), F.lit(" + "), c("b"), F.lit("**: "))
-    cite = F.concat(F.lit(" ["), c("source"), F.lit(":"), record_id(), F.lit("]"))
-    curated = c("source") == "CURATED"
-    body = F.when(curated, F.concat(F.lit("severity "), F.when(c("severity") == "Unknown", "not graded").otherwise(c("severity")), F.lit("; "), c("event"))).otherwise(F.concat(c("event"), F.lit(": "), c("reports").cast("string"), F.lit(" co-reports")))
-    items = shown.select("request", F.when(curated, severity_rank(c("severity")) + 1).otherwise(5).alias("section"), "a", "b", c("position").cast("int").alias("place"), F.concat(pair, body, cite).alias("line"))
-    more = shown.where("hidden > 0").select("request", F.lit(5).alias("section"), "a", "b", F.lit(2**31 - 1).alias("place"), F.concat(pair, F.lit("+"), c("hidden").cast("string"), F.lit(" more not shown")).alias("line")).distinct()
-    gaps = partition.where("NOT has_records").select("request", F.lit(6).alias("section"), "a", "b", F.lit(0).alias("place"), F.concat(F.lit("- "), c("a"), F.lit(" + "), c("b")).alias("line"))
-    made = top.union(items).union(more).union(gaps)
-    heading = F.coalesce(*[F.when(c("section") == k, v) for k, v in HEADINGS.items()])
-    heads = made.select("request", "section").distinct().select("request", "section", empty.alias("a"), empty.alias("b"), none.alias("place"), heading.alias("line"))
-    title = counts.select("request", F.lit(-1).alias("section"), empty.alias("a"), empty.alias("b"), none.alias("place"), F.lit(TITLE).alias("line"))
-    return made.union(heads).union(title)
-
-
-def render(made: DataFrame) -> DataFrame:
-    """request and text, its lines in order."""
-    ordered = F.sort_array(F.collect_list(F.struct("section", "a", "b", "place", "line")))
-    return made.groupBy("request").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
+def count_line() -> Column:
+    """The counts of a gathered row as one sentence."""
+    n = tally()
+    graded = F.concat_ws(", ", *[F.concat(F.lit(g + " "), n[g.lower()].cast("string")) for g in ("Major", "Moderate", "Minor")])
+    return F.concat(plural(F.col("names"), "name"), F.lit(" in "), plural(n["pairs"], "pair"), F.lit(": "), graded, F.lit(", "), plural(n["signals"], "signal"), F.lit(", "), n["hidden"].cast("string"), F.lit(" hidden, "), n["no_data"].cast("string"), F.lit(" without data."))
+
+
+def item_lines(i: Column) -> Column:
+    """The line of an item, and after the last shown record of a pair that of the hidden ones."""
+    pair = F.concat(F.lit("- **"), i["a"], F.lit(" + "), i["b"], F.lit("**: "))
+    body = F.when(i["source"] == "CURATED", F.concat(F.lit("severity "), F.when(i["severity"] == "Unknown", "not graded").otherwise(i["severity"]), F.lit("; "), i["event"])).otherwise(F.concat(i["event"], F.lit(": "), i["reports"].cast("string"), F.lit(" co-reports")))
+    cite = F.concat(F.lit(" ["), i["source"], F.lit(":"), i["record_id"], F.lit("]"))
+    line = F.when(i["source"].isNull(), F.concat(F.lit("- "), i["a"], F.lit(" + "), i["b"])).otherwise(F.concat(pair, body, cite))
+    more = F.when(i["last"], F.concat(pair, F.lit("+"), i["hidden"].cast("string"), F.lit(" more not shown")))
+    return F.array_compact(F.array(line, more))
+
+
+def render(gathered: DataFrame) -> DataFrame:
+    """request and text of a gathered report."""
+    heading = lambda s: F.coalesce(*[F.when(s == k, v) for k, v in HEADINGS.items()])
+    opens = lambda i, k: (k == 0) | (F.try_element_at("items", F.greatest(k, F.lit(1)))["section"] != i["section"])
+    body = F.flatten(F.transform("items", lambda i, k: F.concat(F.when(opens(i, k), F.array(heading(i["section"]))).otherwise(F.array().cast("array<string>")), item_lines(i))))
+    top = F.array(F.lit(TITLE), F.lit(HEADINGS[0]), count_line())
+    return gathered.select("request", F.array_join(F.concat(top, F.coalesce(body, F.array().cast("array<string>"))), "\n").alias("text"))
 
 
 def finalize(text: Column, footer: str = DISCLAIMER) -> Column:
@@ -102,12 +113,10 @@ def strip_section(text: Column, heading: str) -> Column:
     return F.regexp_replace(text, r"(?m)^\Q" + heading + r"\E[ \t]*\n(?:(?!## ).*(?:\n|\z))*?(?=^## |\z)", "")
 
 
-def structure(counts: DataFrame, shown: DataFrame, partition: DataFrame) -> DataFrame:
-    """request and the report as one JSON document: summary, items with citations in order, pairs without data."""
-    item = F.struct("a", "b", "position", "source", "severity", "event", "reports", record_id().alias("record_id"))
-    items = shown.groupBy("request").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    gaps = partition.where("NOT has_records").groupBy("request").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("no_data"))
-    both = counts.select("request", F.struct(*[c for c in counts.columns if c != "request"]).alias("summary")).join(items, "request", "left").join(gaps, "request", "left")
-    return both.select("request", F.to_json(F.struct(F.lit(2).alias("version"), "summary", "items", "no_data")).alias("report"))
-
-
+def structure(gathered: DataFrame) -> DataFrame:
+    """request and the report as one JSON document: counts, items with citations in order, pairs without data."""
+    kept = ("a", "b", "place", "source", "severity", "event", "reports", "record_id")
+    items = F.transform(F.filter("items", lambda i: i["source"].isNotNull()), lambda i: F.struct(*[i[c].alias(c) for c in kept]))
+    gaps = F.transform(F.filter("items", lambda i: i["source"].isNull()), lambda i: F.struct(i["a"].alias("a"), i["b"].alias("b")))
+    counts = F.struct("names", *[c.alias(n) for n, c in tally().items()])
+    return gathered.select("request", F.to_json(F.struct(F.lit(2).alias("version"), counts.alias("summary"), items.alias("items"), gaps.alias("no_data"))).alias("report"))

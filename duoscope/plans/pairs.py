@@ -36,11 +36,11 @@ r AS (SELECT *, exp(log_ror) AS ror, exp(log_ror - 1.959964 * se) AS ror_low, ex
 
 
 def reports(t: Tables):
-    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("report"), F.lower("p_name").alias("name")).distinct()
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("report"), F.lower("p_name").alias("name"))
 
 
 def events_of(t: Tables):
-    return t.lineitem.select(F.col("l_orderkey").alias("report"), F.concat("l_returnflag", "l_linestatus").alias("event")).distinct()
+    return t.lineitem.select(F.col("l_orderkey").alias("report"), F.concat("l_returnflag", "l_linestatus").alias("event"))
 
 
 @query(COUNTS + "SELECT a, b, event, n11, n10, n01, n00 FROM t")

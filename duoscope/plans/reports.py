@@ -37,17 +37,17 @@ texts AS (SELECT request, string_agg(line, chr(10) ORDER BY section, a, b, place
 """
 
 
-def parts_of_report(t: Tables):
-    """Names, shown records, the partition of the pairs, and the counts of each request."""
-    names, plan, known = named(t).where("status = 'O'"), planned(t), records(t)
-    shown = pairs.select_records(pairs.lookup(plan, known), F.col("source") == "SIGNAL", [F.desc("reports"), F.col("event")], shown=2)
-    parts = pairs.partition(plan, known)
-    return names, shown, parts, report.summary(names, shown, parts)
+def reviewed(t: Tables):
+    """Every pair of every request with the records shown of it."""
+    return pairs.review(planned(t), records(t), F.col("source") == "SIGNAL", [F.desc("reports"), F.col("event")], shown=2)
+
+
+def asked_names(t: Tables):
+    return named(t).where("status = 'O'")
 
 
 def texts(t: Tables):
-    _, shown, parts, counts = parts_of_report(t)
-    return report.render(report.lines(counts, shown, parts))
+    return report.render(report.gather(asked_names(t), reviewed(t)))
 
 
 @query(f"""
@@ -57,9 +57,8 @@ SELECT p.request, greatest(x.place, y.place) AS "row", least(x.place, y.place) A
 FROM parts_of p LEFT JOIN best USING (request, a, b) JOIN places x ON x.request = p.request AND x.name = p.a JOIN places y ON y.request = p.request AND y.name = p.b
 """)
 def pair_grid(t):
-    names, shown, parts, _ = parts_of_report(t)
-    places = names.withColumn("place", (F.row_number().over(Window.partitionBy("request").orderBy(F.desc("name"))) - 1).cast("bigint"))
-    return report.grid(places, shown, parts)
+    places = asked_names(t).withColumn("place", (F.row_number().over(Window.partitionBy("request").orderBy(F.desc("name"))) - 1).cast("bigint"))
+    return report.grid(places, reviewed(t))
 
 
 @query(f"WITH {TEXT} SELECT request, text FROM texts")
@@ -67,6 +66,21 @@ def render_report(t):
     return texts(t)
 
 
+@query(f"WITH {TEXT} SELECT request, names, pairs, major, moderate, minor, CAST(0 AS BIGINT) AS unknown, signals, CAST(hidden AS BIGINT) AS hidden, no_data FROM counts")
+def report_counts(t):
+    return report.summary(report.gather(asked_names(t), reviewed(t)))
+
+
+@query(f"""
+WITH {SHOWN}, i AS (SELECT request, a, b, event, source, severity, reports, position, CASE WHEN source = 'SIGNAL' THEN 5 WHEN severity = 'Major' THEN 1 WHEN severity = 'Moderate' THEN 2 ELSE 3 END AS section FROM shown),
+js AS (SELECT request, string_agg('{{"a":"' || a || '","b":"' || b || '","place":' || position || ',"source":"' || source || '","severity":"' || severity || '","event":"' || event || '","reports":' || reports || ',"record_id":"' || substr(sha1(a || '|' || b || '|' || event), 1, 10) || '"}}', ',' ORDER BY section, a, b, position) AS items FROM i GROUP BY request)
+SELECT request, '[' || items || ']' AS items FROM js
+""")
+def report_structure(t):
+    made = report.structure(report.gather(asked_names(t), reviewed(t)))
+    return made.select("request", F.get_json_object("report", "$.items").alias("items")).where("items <> '[]'")
+
+
 @query(f"""
 WITH {TEXT}, l AS (SELECT request, unnest(string_split(text, chr(10))) AS line FROM texts), c AS (SELECT request, unnest(regexp_extract_all(line, '\\[([^\\[\\]]+)\\]', 1)) AS c FROM l)
 SELECT request, string_split(c, ':')[1] AS source, count(*) AS n, min(string_split(c, ':')[2]) AS least FROM c GROUP BY ALL
@@ -100,14 +114,16 @@ def phantom_citations(t):
 def evidence(t: Tables):
     """Reports with the evidence they should be checked against; those of urgent orders had a grade changed, of high ones a
     citation, and of medium ones the footer is missing."""
-    names, shown, parts, _ = parts_of_report(t)
+    names, found = asked_names(t).persist(), reviewed(t).persist()
+    shown = found.where("source IS NOT NULL")
+    parts = found.groupBy("request", "a", "b").agg(F.max(F.col("source").isNotNull()).alias("has_records"))
     ids = report.record_id()
     kind = F.when(F.col("source") == "CURATED", "interaction").otherwise("signal")
     recs = shown.select(F.col("request").alias("report"), "source", ids.alias("record_id"), kind.alias("kind"), "a", "b", "event", "severity", F.lit(None).cast("double").alias("prr"), "reports", F.lit(None).cast("string").alias("mechanism"))
     of = lambda df: df.withColumnRenamed("request", "report")
     fault = F.when(F.col("o_orderpriority") == "1-URGENT", F.replace("text", F.lit("severity Major"), F.lit("severity Minor"))).when(F.col("o_orderpriority") == "2-HIGH", F.replace("text", F.lit("[CURATED:"), F.lit("[CURATED:x"))).otherwise(F.col("text"))
     done = F.when(F.col("o_orderpriority") == "3-MEDIUM", F.col("text")).otherwise(report.finalize(F.col("text")))
-    made = of(texts(t)).join(t.orders.select(F.col("o_orderkey").alias("report"), "o_orderpriority"), "report").withColumn("text", fault).withColumn("text", done)
+    made = of(report.render(report.gather(names, found))).join(t.orders.select(F.col("o_orderkey").alias("report"), "o_orderpriority"), "report").withColumn("text", fault).withColumn("text", done)
     alias = of(names).select("report", F.col("name").alias("alias"), "name")
     return checker.bundle(made, recs, alias, of(parts.where("has_records")), of(parts.where("NOT has_records")), of(names).select("report", F.lit(None).cast("string").alias("query")).where("false"), of(shown.where("hidden > 0")).select("report", "a", "b", F.col("hidden").alias("n")).distinct()).persist()
 
