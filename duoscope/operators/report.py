@@ -120,3 +120,35 @@ def structure(gathered: DataFrame) -> DataFrame:
     gaps = F.transform(F.filter("items", lambda i: i["source"].isNull()), lambda i: F.struct(i["a"].alias("a"), i["b"].alias("b")))
     counts = F.struct("names", *[c.alias(n) for n, c in tally().items()])
     return gathered.select("request", F.to_json(F.struct(F.lit(2).alias("version"), counts.alias("summary"), items.alias("items"), gaps.alias("no_data"))).alias("report"))
+
+
+def evidence_block(gathered: DataFrame, effects: DataFrame) -> DataFrame:
+    """request and the evidence as plain text for a prompt: curated records, signals, side effects, pairs without data.
+
+    effects: (request, name, effects), the last a text; a request without any, or without pairs, leaves those parts out.
+    """
+    heads = {"curated": "=== CURATED RECORDS ===", "signals": "=== SIGNALS (NOT GRADED) ===", "effects": "=== SIDE EFFECTS ===", "gaps": "=== PAIRS WITHOUT DATA ==="}
+    none = F.array().cast("array<string>")
+    pair = lambda i: F.concat(i["a"], F.lit(" + "), i["b"])
+    cite = lambda i: F.concat(F.lit("- ["), i["source"], F.lit(":"), i["record_id"], F.lit("] "), pair(i))
+    graded = lambda i: F.array(F.concat(cite(i), F.lit(": severity="), F.when(i["severity"] == "Unknown", "not graded").otherwise(i["severity"]), F.lit(", event="), i["event"]))
+    hidden = lambda i: F.when(i["last"], F.concat(F.lit("- "), pair(i), F.lit(": "), i["hidden"].cast("string"), F.lit(" more not shown")))
+    signal = lambda i: F.array_compact(F.array(F.concat(cite(i), F.lit(": event="), i["event"], F.lit(", co-reports="), i["reports"].cast("string")), hidden(i)))
+    of = lambda test, line: F.coalesce(F.flatten(F.transform(F.filter("items", test), line)), none)
+    said = effects.groupBy("request").agg(F.sort_array(F.collect_list(F.concat(F.lit("- "), "name", F.lit(": "), "effects"))).alias("_effects"))
+    parts = {
+        "curated": of(lambda i: i["section"] < 5, graded),
+        "signals": of(lambda i: i["section"] == 5, signal),
+        "effects": F.coalesce("_effects", none),
+        "gaps": of(lambda i: i["section"] == 6, lambda i: F.array(F.concat(F.lit("- "), pair(i)))),
+    }
+    text = F.array_join(F.concat(*[F.when((F.size(x) > 0) | F.lit(k == "curated"), F.concat(F.array(F.lit(heads[k])), F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("(none)"))))).otherwise(none) for k, x in parts.items()]), "\n")
+    return gathered.join(said, "request", "left").select("request", text.alias("text"))
+
+
+def signal_block(assessed: DataFrame) -> DataFrame:
+    """For each pair of assessed counts (signals.assess()) the lines of its surfaced events, most reports first, and how many
+    events were suppressed; a pair has as many lines as events were surfaced."""
+    line = F.concat("event", F.lit(": "), plural(F.col("n_abe"), "report"))
+    kept = F.collect_list(F.when(F.col("surfaced"), F.struct((-F.col("n_abe")).alias("k"), "event", line.alias("line"))))
+    return assessed.groupBy("a", "b").agg(F.array_join(F.transform(F.sort_array(kept), lambda x: x["line"]), "; ").alias("lines"), F.count_if("surfaced").alias("surfaced"), F.count_if(~F.col("surfaced")).alias("suppressed"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rate
+from ..functions.text import rate, severity_rank
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, labels: list[str]) -> DataFrame:
@@ -185,3 +185,33 @@ def run_summary(runs: DataFrame, by: list[str]) -> DataFrame:
     n = {"cases": F.count(F.lit(1)), "eligible": F.count_if(eligible), "p": F.count_if(eligible & F.col("first_passed")), "f": F.count_if(failed), "r": F.count_if(failed & (F.col("source") == "retry")), "b": F.count_if(eligible & (F.col("source") == "fallback"))}
     done = runs.groupBy(*by).agg(*[c.alias(k) for k, c in n.items()])
     return done.select(*by, "cases", "eligible", rate(F.col("p"), F.col("eligible")).alias("first_pass_rate"), rate(F.col("r"), F.col("f")).alias("recovery_rate"), rate(F.col("b"), F.col("eligible")).alias("fallback_rate"))
+
+
+OUTCOMES = ("DETECTED", "LISTED_UNGRADED", "NO_DATA", "SILENT", "UNRESOLVED")
+
+
+def reference_outcomes(rows: DataFrame, records: DataFrame, curated: Column) -> DataFrame:
+    """rows (a, b, known, declared, ...) with what was found about each pair, and its most severe curated grade.
+
+    UNRESOLVED: a name is not known, or both are the same; DETECTED: a curated record with a grade; LISTED_UNGRADED: other
+    records only; NO_DATA: none, and the report says so (declared); SILENT: none, and it does not. Null flags are false.
+    """
+    rank = F.when(curated & F.col("severity").isin("Major", "Moderate", "Minor"), severity_rank(F.col("severity")))
+    best = records.groupBy("a", "b").agg(F.min(rank).alias("_rank"))
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    found = rows.withColumns({"_a": low, "_b": high}).join(best.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "_rank", F.lit(True).alias("_any")), ["_a", "_b"], "left")
+    known = F.coalesce(F.col("known"), F.lit(False)) & F.coalesce(F.col("a") != F.col("b"), F.lit(False))
+    outcome = F.when(~known, "UNRESOLVED").when(F.col("_rank").isNotNull(), "DETECTED").when(F.col("_any"), "LISTED_UNGRADED").when(F.col("declared"), "NO_DATA").otherwise("SILENT")
+    grade = F.when(known, F.try_element_at(F.array(*map(F.lit, ("Major", "Moderate", "Minor"))), F.col("_rank") + 1))
+    return found.withColumns({"outcome": outcome, "grade": grade}).drop("_a", "_b", "_rank", "_any")
+
+
+def reference_rates(found: DataFrame) -> DataFrame:
+    """One row over reference_outcomes() with expected and min_severity: how many pairs that interact were detected, or
+    listed at least, and how many of the detected have a grade below the least that the reference states."""
+    positive = F.col("expected") == "interaction"
+    hit = positive & (F.col("outcome") == "DETECTED")
+    under = hit & F.col("min_severity").isin("Major", "Moderate", "Minor") & (severity_rank(F.col("grade")) > severity_rank(F.col("min_severity")))
+    n = {"positives": positive, "controls": F.col("expected") == "none", "detected": hit, "listed": positive & (F.col("outcome") == "LISTED_UNGRADED"), "under_triaged": under, "silent": F.col("outcome") == "SILENT"}
+    sums = found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in n.items()])
+    return sums.withColumns({"recall_graded": rate(F.col("detected"), F.col("positives")), "recall_listed": rate(F.col("detected") + F.col("listed"), F.col("positives")), "under_triage_rate": rate(F.col("under_triaged"), F.col("detected"))})

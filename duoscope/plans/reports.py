@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..operators import checker, pairs, report
+from ..functions.signals import assess, counts
+from ..operators import checker, pairs, report, stats
 from ..sources import provenance
 from ..streaming import limiter
-from .pairs import RECORDS, named, planned, records
+from .pairs import ASSESSED, RECORDS, events_of, named, planned, records, reports
 from .registry import Tables, query
 
 SHOWN = f"""
@@ -81,6 +82,68 @@ def report_structure(t):
     return made.select("request", F.get_json_object("report", "$.items").alias("items")).where("items <> '[]'")
 
 
+@query(f"""
+WITH {SHOWN}, e AS (SELECT lower(p_name || ' ' || p_type) AS name, s_name AS effect, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+said AS (SELECT name, string_agg(effect, ', ' ORDER BY n DESC, effect) AS effects FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, effect) AS k FROM e) WHERE k <= 5 GROUP BY name),
+l AS (SELECT request, 1 AS part, CASE WHEN severity = 'Major' THEN 1 WHEN severity = 'Moderate' THEN 2 ELSE 3 END AS section, a, b, position AS place, 0 AS x, '- [CURATED:' || substr(sha1(a || '|' || b || '|' || event), 1, 10) || '] ' || a || ' + ' || b || ': severity=' || severity || ', event=' || event AS line FROM shown WHERE source = 'CURATED'
+  UNION ALL SELECT request, 2, 5, a, b, position, 0, '- [SIGNAL:' || substr(sha1(a || '|' || b || '|' || event), 1, 10) || '] ' || a || ' + ' || b || ': event=' || event || ', co-reports=' || reports FROM shown WHERE source = 'SIGNAL'
+  UNION ALL SELECT DISTINCT request, 2, 5, a, b, 2, 1, '- ' || a || ' + ' || b || ': ' || hidden || ' more not shown' FROM shown WHERE hidden > 0
+  UNION ALL SELECT request, 3, 0, '', '', 0, 0, '- ' || name || ': ' || effects FROM named JOIN said USING (name) WHERE status = 'O'
+  UNION ALL SELECT request, 4, 6, a, b, 0, 0, '- ' || a || ' + ' || b FROM parts_of WHERE NOT has_records),
+r AS (SELECT DISTINCT request FROM named WHERE status = 'O'),
+h AS (SELECT * FROM l UNION ALL SELECT DISTINCT request, part, -1, '', '', 0, 0, ['', '=== SIGNALS (NOT GRADED) ===', '=== SIDE EFFECTS ===', '=== PAIRS WITHOUT DATA ==='][part] FROM l WHERE part > 1
+  UNION ALL SELECT request, 1, -2, '', '', 0, 0, '=== CURATED RECORDS ===' FROM r UNION ALL SELECT request, 1, -1, '', '', 0, 0, '(none)' FROM r WHERE request NOT IN (SELECT request FROM l WHERE part = 1))
+SELECT request, string_agg(line, chr(10) ORDER BY part, section, a, b, place, x, line) AS text FROM h GROUP BY request
+""")
+def evidence_block(t):
+    """Records, signals, the five commonest side effects of each name, and gaps: all that is retrieved for a request."""
+    names = asked_names(t)
+    parts = t.part.select("p_partkey", F.lower(F.concat("p_name", F.lit(" "), "p_type")).alias("name"))
+    effects = t.lineitem.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("name", F.col("s_name").alias("effect")).agg(F.count(F.lit(1)).alias("n"))
+    top = pairs.top_rows(effects, ["name"], [F.desc("n"), F.col("effect")], 5)
+    said = top.groupBy("name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "effect"))), lambda x: x["effect"]), ", ").alias("effects"))
+    return report.evidence_block(report.gather(names, reviewed(t)), names.select("request", "name").join(said, "name"))
+
+
+@query(ASSESSED + """
+SELECT a, b, coalesce(string_agg(event || ': ' || n_abe || CASE WHEN n_abe = 1 THEN ' report' ELSE ' reports' END, '; ' ORDER BY n_abe DESC, event) FILTER (WHERE reasons = ''), '') AS lines,
+  count(*) FILTER (WHERE reasons = '') AS surfaced, count(*) FILTER (WHERE reasons <> '') AS suppressed FROM r GROUP BY a, b
+""")
+def signal_block(t):
+    return report.signal_block(assess(counts(reports(t), events_of(t))))
+
+
+REFERENCE = f"""
+{SHOWN}, ref AS (SELECT DISTINCT a, b, CASE WHEN length(a) % 3 = 0 THEN 'none' ELSE 'interaction' END AS expected, ['Major', 'Moderate', 'Minor'][length(b) % 3 + 1] AS min_severity, length(a) % 7 <> 0 AS known, length(b) % 5 <> 0 AS declared FROM planned),
+k AS (SELECT a, b, min(CASE WHEN source = 'CURATED' THEN CASE severity WHEN 'Major' THEN 0 WHEN 'Moderate' THEN 1 WHEN 'Minor' THEN 2 END END) AS rank FROM records GROUP BY a, b),
+o AS (SELECT ref.*, ['Major', 'Moderate', 'Minor'][rank + 1] AS grade, CASE WHEN NOT known THEN 'UNRESOLVED' WHEN rank IS NOT NULL THEN 'DETECTED' WHEN k.a IS NOT NULL THEN 'LISTED_UNGRADED' WHEN declared THEN 'NO_DATA' ELSE 'SILENT' END AS outcome FROM ref LEFT JOIN k ON ref.a = k.a AND ref.b = k.b)
+"""
+
+
+def reference(t: Tables):
+    """Planned pairs as a reference set: what is expected, known and declared follows from the lengths of the names."""
+    x, y = F.char_length("a"), F.char_length("b")
+    made = planned(t).select("a", "b").distinct().withColumns({"expected": F.when(x % 3 == 0, "none").otherwise("interaction"), "min_severity": F.element_at(F.array(*map(F.lit, ("Major", "Moderate", "Minor"))), y % 3 + 1), "known": x % 7 != 0, "declared": y % 5 != 0})
+    return stats.reference_outcomes(made, records(t), F.col("source") == "CURATED")
+
+
+@query(f"""
+WITH {REFERENCE}, g AS (SELECT unnest(['DETECTED', 'LISTED_UNGRADED', 'NO_DATA', 'SILENT', 'UNRESOLVED']) AS outcome), e AS (SELECT unnest(['interaction', 'none', 'all']) AS grade)
+SELECT outcome, grade, (SELECT count(*) FROM o WHERE o.outcome = g.outcome AND (e.grade = 'all' OR o.expected = e.grade)) AS n FROM g, e
+""")
+def reference_outcomes(t):
+    return stats.outcome_grid(reference(t), "outcome", "expected", list(stats.OUTCOMES), ["interaction", "none"])
+
+
+@query(f"""
+WITH {REFERENCE}, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE expected = 'interaction') AS positives, count(*) FILTER (WHERE expected = 'none') AS controls, count(*) FILTER (WHERE expected = 'interaction' AND outcome = 'DETECTED') AS detected,
+  count(*) FILTER (WHERE expected = 'interaction' AND outcome = 'LISTED_UNGRADED') AS listed, count(*) FILTER (WHERE expected = 'interaction' AND outcome = 'DETECTED' AND list_position(['Major', 'Moderate', 'Minor'], grade) > list_position(['Major', 'Moderate', 'Minor'], min_severity)) AS under_triaged, count(*) FILTER (WHERE outcome = 'SILENT') AS silent FROM o)
+SELECT *, round(detected / nullif(positives, 0)::DOUBLE, 4) AS recall_graded, round((detected + listed) / nullif(positives, 0)::DOUBLE, 4) AS recall_listed, round(under_triaged / nullif(detected, 0)::DOUBLE, 4) AS under_triage_rate FROM s
+""")
+def reference_rates(t):
+    return stats.reference_rates(reference(t))
+
+
 @query(f"""
 WITH {TEXT}, l AS (SELECT request, unnest(string_split(text, chr(10))) AS line FROM texts), c AS (SELECT request, unnest(regexp_extract_all(line, '\\[([^\\[\\]]+)\\]', 1)) AS c FROM l)
 SELECT request, string_split(c, ':')[1] AS source, count(*) AS n, min(string_split(c, ':')[2]) AS least FROM c GROUP BY ALL
