@@ -141,10 +141,12 @@ def curated(raw: DataFrame) -> DataFrame:
 
 def side_effects(raw: DataFrame, known: DataFrame) -> DataFrame:
     """Preferred terms of raw side effects, one row for each compound and term. raw: the six columns of the published
-    file as stitch, _, _, kind, cui, term; known: (stitch, drug_name), the last of equal ids by name counting."""
+    file with stitch, kind, cui and term among them; known: (stitch, drug_name). Of equal ids the last row counts where
+    known has a column place that tells which is last, else the largest name."""
     terms = raw.where("kind = 'PT'").select("stitch", clean(F.col("term")).alias("side_effect_name"), F.col("cui").alias("umls_cui"))
     one = pairs.best_rows(terms, ["stitch", "side_effect_name"], [F.col("umls_cui")])
-    named = known.groupBy("stitch").agg(F.max(clean(F.col("drug_name"))).alias("drug_name"))
+    called = clean(F.col("drug_name"))
+    named = known.groupBy("stitch").agg((F.max_by(called, F.col("place")) if "place" in known.columns else F.max(called)).alias("drug_name"))
     return content_ids(one.join(named, "stitch", "left").withColumn("source", F.lit("SIDER")), "SIDER")
 
 
