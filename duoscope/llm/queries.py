@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, chunks, fmindex, jaccard, langid, pii, suffixes, tiff, warc
+from . import bpe, chat, chunks, fmindex, jaccard, langid, pii, sharding, suffixes, tiff, vectorcodes, warc, whitening
 from .common import Scratch
 
 
@@ -122,7 +124,37 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "enc.n_tokens", F.sha2("enc.ids", 256).alias("ids_sha256"), F.sha2("enc.decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_jaccard_join, op4_chunk_dedup, op5_warc, op6_chat_format, op7_language_id, op8_tiff_media, op9_decontamination, op10_byte_bpe, page_language_id)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as 16 numbers of codebook entries, and how far it is from what they stand for."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    scratch = Scratch(spark, "op11")
+    coded, books = vectorcodes.fit(rows, "vec_id", "embedding", ["vec_id", "label"], scratch=scratch)
+    coded = scratch.keep(coded, "coded")  # read for the sums and for the rows
+    digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
+    return vectorcodes.group_errors(coded, "label").select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding in the coordinates of the four leading components of the distinct ones."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    basis, listed, left = whitening.fit(rows, "embedding", "vec_id")
+    if basis is None or not len(basis.values):
+        return spark.createDataFrame([], "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double")
+    error = whitening.identity_error(basis, listed)
+    share = F.array(*[F.lit(float(v / basis.trace)) for v in basis.values])
+    white = whitening.whitened(left, basis, "embedding", ["vec_id"]).select("vec_id", "white.deviation", F.posexplode("white.coordinates").alias("place", "whitened"))
+    return white.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(basis.n).cast("bigint").alias("n"), "deviation", "whitened", F.get(share, F.col("place")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, in the order of their ids."""
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("bigint").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"))
+    done = sharding.shard_by_size(docs, F.col("size"), F.col("doc_id"), shards=16)
+    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_suffix_dedup, op3_jaccard_join, op4_chunk_dedup, op5_warc, op6_chat_format, op7_language_id, op8_tiff_media, op9_decontamination, op10_byte_bpe, op11_vector_codes, op12_whitening, op13_sharding, page_language_id)}
 
 SQL: dict[str, str] = {
     "op3_jaccard_join": r"""
