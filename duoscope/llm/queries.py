@@ -203,5 +203,31 @@ its AS (SELECT r, count(i) AS n_items, string_agg(i, ',' ORDER BY i) AS items FR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+""",
+    "op11_vector_codes": """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(embedding) % 16 = 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r FROM e QUALIFY len(v) = first_value(len(v)) OVER (ORDER BY vec_id NULLS LAST, len(v))),
+x AS (SELECT r, vec_id, label, p, list_transform(v[p * w + 1:p * w + w], lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM (SELECT *, len(v) // 16 AS w, unnest(range(16)) AS p FROM r)),
+b0 AS (SELECT p, CAST(r - 1 AS INT) AS e, x AS c FROM x WHERE r <= 64),
+a0 AS (SELECT r, p, any_value(x) AS x, min(d * 64 + e) % 64 AS e FROM (SELECT r, x.p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) AS d FROM x JOIN b0 USING (p)) GROUP BY r, p),
+m0 AS (SELECT p, e, list(m ORDER BY k) AS m FROM (SELECT p, e, k, CAST(sum(x[k]) - ((sum(x[k]) % count(*)) + count(*)) % count(*) AS HUGEINT) // count(*) AS m FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS k FROM a0) GROUP BY p, e, k) GROUP BY p, e),
+b1 AS (SELECT p, e, coalesce(m, c) AS c FROM b0 LEFT JOIN m0 USING (p, e)),
+a1 AS (SELECT r, p, any_value(x) AS x, min(d * 64 + e) % 64 AS e FROM (SELECT r, x.p, x, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) AS d FROM x JOIN b1 USING (p)) GROUP BY r, p),
+m1 AS (SELECT p, e, list(m ORDER BY k) AS m FROM (SELECT p, e, k, CAST(sum(x[k]) - ((sum(x[k]) % count(*)) + count(*)) % count(*) AS HUGEINT) // count(*) AS m FROM (SELECT p, e, x, unnest(range(1, len(x) + 1)) AS k FROM a1) GROUP BY p, e, k) GROUP BY p, e),
+b2 AS (SELECT p, e, coalesce(m, c) AS c FROM b1 LEFT JOIN m1 USING (p, e)),
+a2 AS (SELECT r, p, min(d * 64 + e) AS de FROM (SELECT r, x.p, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) AS d FROM x JOIN b2 USING (p)) GROUP BY r, p),
+f AS (SELECT r, string_agg(printf('%02x', CAST(de % 64 AS INT)), '' ORDER BY p) AS code, CAST(sum(de // 64) AS BIGINT) AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN f USING (r), h
+""",
+    "op13_sharding": """
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([CAST(i AS UBIGINT)], CAST(range(8) AS UBIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) AS c FROM range(256) g(i))),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, size, CAST(xor(list_reduce(list_concat([CAST(4294967295 AS UBIGINT)], list_transform(range(0, size - 1), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS UBIGINT))), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), CAST(4294967295 AS UBIGINT)) AS BIGINT) AS text_crc32 FROM d, t),
+b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, CAST(16 * before // total AS INT) AS shard FROM b)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
 """,
 }
