@@ -10,8 +10,9 @@ Each digest keeps its first occurrence: the first one in the document with the s
 removed where they and what they were carried on by make up a run of at least `run` bytes; shorter runs are chance and
 stay. Bytes beside a seed are removed where an occurrence that comes before in the same order has them.
 
-Rows that share an id count as one document that keeps the chunks it is the first to have; rows without an id are
-the first only of what no row with an id has. Null texts are empty. Offsets are UTF-8 bytes and can lie
+Each row has a result of its own. Rows that share an id all keep the chunks that their id is the first to have, whichever
+of them holds these; rows without an id are the first only of what no row with an id has. Rows alike in id and text
+share one result, which text_key() leads to. Null texts are empty. Offsets are UTF-8 bytes and can lie
 inside a character; cut_text() widens the kept part to whole characters.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import Scratch, col, mix, slices, utf8
+from .common import Scratch, col, mix, same_rows, slices, tmp_name, utf8
 
 GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
@@ -131,7 +132,7 @@ def beside_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), *[pa.int64()] * 4])], names=names)
 
 
-CARRIED = "row bigint, start bigint, after boolean, whole bigint, later bigint, source bigint"
+CARRIED = "doc bigint, row bigint, start bigint, after boolean, whole bigint, later bigint, source bigint"
 
 
 def carried_rows(batches):
@@ -164,13 +165,13 @@ def carried_rows(batches):
                 whole = min(common, room)
                 sooner = np.flatnonzero((docs[: whole + 1] < mine) | ((docs[: whole + 1] == mine) & (mine < top) & (starts[: whole + 1] < start)))
                 later = int(sooner[-1]) if len(sooner) else 0
-                out.append((row, start, after, whole, later, int(docs[later]) if later else None))
+                out.append((doc, row, start, after, whole, later, int(docs[later]) if later else None))
             n = len(beside) + 1
             less = (mine < docs[:n]) | ((mine == docs[:n]) & (start < starts[:n])) | (docs[:n] == top)
             docs[:n][less], starts[:n][less] = mine, start
             held = beside
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3])], names=[f.split()[0] for f in CARRIED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*[pa.int64()] * 3, pa.bool_(), *[pa.int64()] * 3])], names=[f.split()[0] for f in CARRIED.split(", ")])
 
 
 RUNS = "struct<n_repeated:bigint,n_removed:bigint,longest_run:bigint,removed:array<struct<start:bigint,end:bigint>>,sources:array<bigint>>"
@@ -205,42 +206,61 @@ def runs(parts: pa.Array, least: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("n_repeated", pa.int64()), ("n_removed", pa.int64()), ("longest_run", pa.int64()), ("removed", pa.list_(span)), ("sources", pa.list_(pa.int64()))]))
 
 
+def text_key(doc: Column, text: Column) -> Column:
+    """With the id, the key of a row's result."""
+    return F.xxhash64(doc.cast("bigint"), text)
+
+
+def same_row(a: str, b: str) -> Column:
+    """Rows alike in id (or both without) and key: a key alone is too short to tell all rows of a large corpus apart."""
+    return F.col(f"{a}.doc").eqNullSafe(F.col(f"{b}.doc")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
+
+
 def carried(slim: DataFrame, seeds: DataFrame, scratch: Scratch) -> DataFrame:
-    """row and start of the seeds that are carried on, and for each side how far, how far when later, and the source."""
+    """doc, row and start of the seeds that are carried on, and for each side how far, how far when later, and the source."""
     # room: bytes to the next seed of the row; only seeds that are next to bytes of no seed somewhere have their sides compared
-    w = Window.partitionBy("row").orderBy("start", "size")
+    w = Window.partitionBy("doc", "row").orderBy("start", "size")
     end = F.col("start") + F.col("size")
     sides = seeds.select("*", (F.col("start") - F.coalesce(F.lag(end).over(w), F.lit(0))).alias("back"), (F.coalesce(F.lead("start").over(w), end + REACH) - end).alias("on"))
-    sides = sides.select("row", "start", "size", "d1", "d2", F.explode(F.array(F.struct(F.lit(False).alias("after"), F.col("back").alias("room")), F.struct(F.lit(True).alias("after"), F.col("on").alias("room")))).alias("s")).select("*", "s.after", "s.room").drop("s")
+    sides = sides.select("doc", "row", "start", "size", "d1", "d2", F.explode(F.array(F.struct(F.lit(False).alias("after"), F.col("back").alias("room")), F.struct(F.lit(True).alias("after"), F.col("on").alias("room")))).alias("s")).select("*", "s.after", "s.room").drop("s")
     sides = scratch.keep(sides, "sides")
     wanted = sides.where("room > 0").select("d1", "d2", "after").distinct()
-    lists = sides.join(wanted, ["d1", "d2", "after"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("d1", "d2", "after", "start", "size", "room")).alias("seeds"))
-    beside = slim.join(lists, "row").select("doc", "row", "text", "seeds").mapInArrow(beside_rows, BESIDE)
+    lists = sides.join(wanted, ["d1", "d2", "after"], "left_semi").groupBy("doc", "row").agg(F.collect_list(F.struct("d1", "d2", "after", "start", "size", "room")).alias("seeds"))
+    beside = slim.alias("s").join(lists.alias("l"), same_row("s", "l")).select("s.doc", "s.row", "text", "seeds").mapInArrow(beside_rows, BESIDE)
     beside = scratch.keep(beside, "beside")
     dealt, key = beside.repartition("d1", "d2", "after"), ("d1", "d2", "after", "beside")
     both = [dealt.sortWithinPartitions(*order).mapInArrow(carried_rows, CARRIED) for order in (key, [F.desc(c) for c in key])]
     best = {}
     for name, side in (("before", ~F.col("after")), ("after", F.col("after"))):
         best |= {name: F.max(F.when(side, F.col("whole"))), name + "_later": F.max(F.when(side, F.col("later"))), name + "_source": F.max_by("source", F.when(side & (F.col("later") > 0), F.col("later")))}
-    return both[0].union(both[1]).groupBy("row", "start").agg(*[c.alias(n) for n, c in best.items()])
+    return both[0].union(both[1]).groupBy("doc", "row", "start").agg(*[c.alias(n) for n, c in best.items()])
 
 
 def repeats(df: DataFrame, doc: str = "doc_id", text: str = "text", least: int = 32, most: int = 128, run: int = 128) -> DataFrame:
-    """One row for each document with a repeated chunk: doc, n_repeated and n_removed (bytes in long enough runs), the
+    """One result for each row with a repeated chunk: doc, text_key, n_repeated and n_removed (bytes in long enough runs), the
     longest run, the removed spans, and the sources (ids of the documents that keep what is removed here)."""
     scratch = Scratch(df.sparkSession, "chunks")
-    slim = df.select(col(doc).cast("bigint").alias("doc"), F.xxhash64(col(doc).cast("bigint"), col(text)).alias("row"), col(text).alias("text"))
+    slim = df.select(col(doc).cast("bigint").alias("doc"), text_key(col(doc), col(text)).alias("row"), col(text).alias("text"))
     chunks = slim.mapInArrow(lambda it: chunk_rows(it, least, most), "doc bigint, row bigint, start bigint, size int, d1 bigint, d2 bigint, again boolean")
     chunks = scratch.keep(chunks, "chunks")
     shared = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where("n > 1").drop("n")
     seeds = scratch.keep(chunks.join(shared, ["d1", "d2"]), "seeds")
     scratch.forget("chunks", 0)
     on = carried(slim, seeds, scratch)
-    kept = F.when(F.col("first").isNull(), ~F.col("again")).otherwise((F.col("doc") == F.col("first")) & ~F.col("again"))
+    kept = F.when(F.col("first").isNull(), ~F.col("again")).otherwise((F.col("s.doc") == F.col("first")) & ~F.col("again"))
     far = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("before", "before_later", "after", "after_later")]
-    part = F.struct("start", "size", "first", F.coalesce(kept, F.lit(False)).alias("kept"), *far, "before_source", "after_source")
-    by = seeds.where(F.col("doc").isNotNull()).join(on, ["row", "start"], "left").groupBy("doc").agg(F.collect_list(part).alias("p"))
-    return by.select("doc", arrow_udf(runs, RUNS)("p", F.lit(run)).alias("r")).select(F.col("doc").alias(doc), "r.*")
+    part = F.struct("s.start", "s.size", "first", F.coalesce(kept, F.lit(False)).alias("kept"), *far, "before_source", "after_source")
+    by = seeds.alias("s").join(on.alias("o"), same_row("s", "o") & (F.col("s.start") == F.col("o.start")), "left").groupBy("s.doc", "s.row").agg(F.collect_list(part).alias("p"))
+    return by.select("doc", "row", arrow_udf(runs, RUNS)("p", F.lit(run)).alias("r")).select(F.col("doc").alias(doc), F.col("row").alias("text_key"), "r.*")
+
+
+def results(df: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Each row of df with its result of repeats() in a column `found`, null where nothing of it is repeated."""
+    name, mine = tmp_name(df, "_found"), tmp_name(df, "_mine")
+    there = found.select(F.struct(*found.columns).alias(name))
+    rows = df.withColumn(mine, text_key(col(doc), col(text)))
+    same = rows[mine].eqNullSafe(F.col(name)["text_key"]) & col(doc).cast("bigint").eqNullSafe(F.col(name)[doc])
+    return same_rows(rows.join(there, same, "left").drop(mine), "found", lambda: F.col(name)).drop(name)
 
 
 def cut_text(text: Column, removed: Column) -> Column:

@@ -62,15 +62,20 @@ def small(table: DataFrame, size: int) -> DataFrame:
     return F.broadcast(table) if table.count() * max(10, size) <= HOSTS * 10 else table
 
 
+def share_of(sample: int, count: int) -> int:
+    """The bound below which hashes of 62 bits fall for some sample of count rows; whole numbers, so it is right at any count."""
+    return min(1 << 62, max(1, (sample << 62) // count))
+
+
 def model(rows: DataFrame, sample: int) -> tuple[list[str], np.ndarray]:
     """The languages, in order, and the log-probability of each bucket in each of them."""
     counts = {r[0]: r[1] for r in rows.where(F.col("declared").isNotNull()).groupBy("declared").count().collect()}
     names = sorted(counts)
     if not names:
         return [], np.zeros((0, BUCKETS), np.float32)
-    share = F.create_map(*[F.lit(x) for n in names for x in (n, int(min(1.0, sample / counts[n]) * 1_000_000))])
+    share = F.create_map(*[F.lit(x) for n in names for x in (n, share_of(sample, counts[n]))])
     # chosen by what the text is, then each distinct text once: copies are no reason for a larger or a lopsided sample
-    picked = rows.where(F.col("declared").isin(names) & (F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("declared")]))
+    picked = rows.where(F.col("declared").isin(names) & (F.shiftrightunsigned(F.xxhash64("text"), 2) < share[F.col("declared")]))
     picked = picked.select("declared", "text").dropDuplicates()
 
     def count(batches):

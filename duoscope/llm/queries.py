@@ -47,11 +47,14 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that stand in repeated chunks, and the documents that keep them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = chunks.repeats(docs)
-    sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"))
-    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_repeated", "n_removed", "longest_run")}
-    none = F.array().cast("array<bigint>")
-    return sizes.join(found, "doc_id", "left").select("doc_id", "n_bytes", *zero.values(), (F.coalesce("n_removed", F.lit(0)) > 0).alias("is_repeat"), F.coalesce("sources", none).alias("sources"))
+    rows = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint"))
+    # texts do not travel with the result: each row's key is worked out where the text is read
+    keyed = rows.select("doc_id", chunks.text_key(F.col("doc_id"), F.col("text")).alias("key"), "n_bytes")
+    found = chunks.repeats(docs).withColumnRenamed("doc_id", "doc")
+    none, zero = F.array().cast("array<bigint>"), F.lit(0).cast("bigint")
+    done = keyed.join(found, keyed.doc_id.eqNullSafe(found.doc) & (keyed.key == found.text_key), "left")
+    counts = [F.coalesce(c, zero).alias(c) for c in ("n_repeated", "n_removed", "longest_run")]
+    return done.select("doc_id", "n_bytes", *counts, (F.coalesce("n_removed", zero) > 0).alias("is_repeat"), F.coalesce("sources", none).alias("sources"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

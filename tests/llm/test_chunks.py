@@ -48,7 +48,7 @@ def test_repeated_rows_without_id_and_empty_table(spark):
     rng = random.Random(5)
     text = prose(rng, 80)
     df = spark.createDataFrame([(None, text), (7, text)], "doc_id long, text string")
-    assert {r.doc_id: r.n_removed for r in chunks.repeats(df).collect()} == {7: 0}
+    assert {r.doc_id: r.n_removed for r in chunks.repeats(df).collect()} == {7: 0, None: len(text)}
     assert chunks.repeats(df.limit(0)).collect() == []
 
 
@@ -73,4 +73,34 @@ def test_a_seed_is_carried_on_like_the_occurrence_that_goes_furthest(spark):
     # the smallest id shares only the middle of the passage with the others
     docs = [(1, "#" + passage[110:260] + "#" + prose(rng, 20)), (2, prose(rng, 30) + "2" + passage + "3"), (3, prose(rng, 20) + "4" + passage + "5"), (None, "6" + passage + "7")]
     got = {r.doc_id: r for r in chunks.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[None].n_removed == len(passage)
     assert got[2].n_repeated == got[3].n_repeated == got[3].n_removed == len(passage)
+
+
+def test_rows_that_share_an_id_keep_what_is_theirs_alone(spark):
+    rng = random.Random(9)
+    shared, unique, other = prose(rng, 100), prose(rng, 100), prose(rng, 90)
+    rows = [(1, shared), (5, shared), (5, unique), (5, None), (5, other), (None, other), (None, unique[:0]), (6, other), (6, other)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, row int")
+    left = chunks.results(df, chunks.repeats(df))
+    got = sorted(((r.doc_id, r.text, r.t) for r in left.select("doc_id", "text", chunks.cut_text(left.text, left.found.removed).alias("t")).collect()), key=str)
+    want = sorted([(1, shared, shared), (5, shared, ""), (5, unique, unique), (5, None, None), (5, other, other), (None, other, ""), (None, "", ""), (6, other, ""), (6, other, "")], key=str)
+    assert got == want
+
+
+def removed_by_hand(texts, least=128):
+    """Bytes of each text, in order of ids, in runs of at least so many that an earlier text holds: what whole copies come to."""
+    return {i: len(t) if any(t == u for _, u in texts[:k]) else 0 for k, (i, t) in enumerate(texts)}
+
+
+def test_query_columns_and_long_texts(spark, tmp_path):
+    rng = random.Random(10)
+    base = [prose(rng, n) for n in (30, 300, 9000)]
+    texts = [(i, base[i % 3]) for i in range(9)] + [(20, prose(rng, 50))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    from duoscope.llm import queries
+
+    got = {r.doc_id: r for r in queries.op4_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r.n_removed for i, r in got.items()} == removed_by_hand(texts)
+    assert all(got[i].n_bytes == len(t) and got[i].is_repeat == (got[i].n_removed > 0) for i, t in texts)
+    assert got[20].n_repeated == 0 and got[20].sources == [] and got[8].sources == [2] and got[0].n_repeated == len(base[0])

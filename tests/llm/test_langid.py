@@ -74,3 +74,9 @@ def test_the_count_of_every_suffix_is_used(spark):
     df = spark.createDataFrame(rows, "id int, text string, lang string, suffix string")
     got = langid.identify(df, F.col("text"), declared=F.col("lang"), suffix=F.col("suffix")).where("id = 2").collect()[0]
     assert got.language.lang == "bb"
+
+
+def test_a_share_is_right_at_any_count():
+    for count in (1, 1999, 2000, 2001, 3 * 10**9, 10**13):
+        share = langid.share_of(2000, count)
+        assert 0 < share <= 1 << 62 and abs(share / (1 << 62) * count - min(count, 2000)) < 1
