@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -184,7 +185,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.spark, self.root = spark, f"{base.rstrip('/')}/duoscope/{what}-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.owner = 0, threading.get_ident()
         self.kept: dict[str, list[str]] = {}
         OPEN.append(self)
 

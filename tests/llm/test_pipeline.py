@@ -52,3 +52,17 @@ def test_empty_corpus(spark, tables):
     docs = spark.read.parquet(f"{tables[0]}/documents.parquet").limit(0)
     for _, work in corpus_pipeline.STAGES:
         assert work(spark, docs, tables[0]).collect() == []
+
+
+def test_runs_after_release_and_at_the_same_time(spark, tables):
+    from threading import Thread
+
+    from duoscope.llm import common
+
+    first = sorted((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, tables[0]).collect())
+    common.release()
+    got = []
+    threads = [Thread(target=lambda: got.append(sorted((r.doc_id, bytes(r.ids)) for r in corpus_pipeline.run(spark, tables[0]).collect()))) for _ in range(2)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert got == [first, first]
