@@ -5,6 +5,7 @@ A stage is called when the result of the one before it has been written, so it f
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,19 +14,20 @@ from pyspark.sql import functions as F
 
 from duoscope.llm import bpe, common, fmindex, jaccard, langid, pii
 
-#: Scratch tables of the stage before.
-HELD: list[common.Scratch] = []
+#: Scratch tables of the stage before, by the thread that ran it: runs at the same time don't touch each other's.
+HELD: dict[int, list[common.Scratch]] = {}
 
 
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while HELD:
-            done = HELD.pop()
-            done.drop()
-            common.OPEN.remove(done)
-        before = len(common.OPEN)
+        me = threading.get_ident()
+        for done in HELD.pop(me, []):
+            if done in common.OPEN:  # else release() has deleted it
+                common.OPEN.remove(done)
+                done.drop()
+        before = list(common.OPEN)
         result = work(spark, docs, sf_dir)
-        HELD.extend(common.OPEN[before:])
+        HELD[me] = [s for s in common.OPEN if s.owner == me and s not in before]
         return result
 
     run_stage.__doc__, run_stage.__name__ = work.__doc__, work.__name__
