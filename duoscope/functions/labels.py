@@ -16,6 +16,10 @@ MONITOR = (
     r"|\bclosely\b|\btitrat\w*|\bseparate\w*|\bask a doctor\b|\bask a pharmacist\b|\breserve\b|\binterrupt\w*|\bdiscontinu\w*|\bsuspend\w*|\bhours (?:before|after)\b"
 )
 
+# The sections that are read, in order, with their titles, and what ends a clause.
+SECTIONS = {"boxed_warning": "Boxed Warning", "contraindications": "Contraindications", "warnings_and_cautions": "Warnings and Precautions", "warnings": "Warnings", "precautions": "Precautions", "drug_interactions": "Drug Interactions"}
+BOUNDARY = r"[.;•]\s|\(\s*\d+(?:\.\d+)*\s*\)|\[see [^\]]*\]"
+
 
 def label_class(section: Column, sentence: Column) -> Column:
     """The class of a sentence that names the other product."""
@@ -38,5 +42,5 @@ def snippet(sentence: Column, alias: Column, width: int = 170) -> Column:
     at = F.instr(F.lower(sentence), alias) - 1
     low = F.greatest(F.lit(0), at - width // 2)
     high = F.least(F.char_length(sentence), at + F.char_length(alias) + width // 2)
-    inner = F.trim(F.substring(sentence, low + 1, high - low))
+    inner = F.regexp_replace(F.substring(sentence, low + 1, high - low), r"^\s+|\s+$", "")
     return F.concat(F.when(low > 0, "…").otherwise(""), inner, F.when(high < F.char_length(sentence), "…").otherwise(""))

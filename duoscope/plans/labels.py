@@ -1,4 +1,8 @@
-"""Queries on label evidence, alias bridges, runs and audits. Orders stand for sections of labels, customers for products."""
+"""Queries on label evidence, alias bridges, runs and audits.
+
+Documents stand for product labels: each is the label of one part, and names two others, in wording that follows from its
+key, in the middle of its own text. Parts have two aliases, the longer of which holds the shorter one.
+"""
 
 from __future__ import annotations
 
@@ -8,39 +12,87 @@ from ..functions import labels as lb
 from ..functions.text import age_days, clean, override, rate, request_url
 from ..operators import labels as op
 from ..operators import names, stats
-from .claims import quoted
 from .registry import Tables, query
 
+#: What a label says around a name; some of it belongs to another clause.
 SAYS = (
-    "Coadministration with WARFARIN is contraindicated because of bleeding.", "Avoid warfarin; it should not be used with this product in any patient with a history of bleeding, and if it is used at all the reasons must be recorded.",
-    "Monitor INR closely when warfarin is given, adjust the dose.", "Exposure to warfarin was similar in both groups of the study, which enrolled adults only and lasted for twelve weeks with visits every second week.", "Reduce the dosage by 50 percent with warfarin.",
+    ("Avoid ", " in all patients"), ("Exposure to ", " was similar in both groups"), ("Monitor closely when ", " is given"), ("Use with ", " is contraindicated"),
+    ("Reduce the dose by half; ", " was seen once. Avoid light"), ("Intervention: avoid use. Examples: ", " and others"), ("Adjust the dosage (7.2) ", " [see Warnings, avoid] monitor"),
 )
-N = len(SAYS)
-
-
-def sections(t: Tables):
-    k = F.col("o_orderkey")
-    text = F.element_at(F.array(*map(F.lit, SAYS)), (F.pmod(F.floor(k / 3), F.lit(N)) + 1).cast("int"))
-    rows = t.orders.select("*", F.when(k % 11 == 0, "contraindications").otherwise("warnings").alias("section"), text.alias("sentence"))
-    return rows.withColumn("class", lb.label_class(F.col("section"), F.col("sentence")))
-
-
-SECTIONS = f"""sections AS (SELECT *, CASE WHEN section = 'contraindications' OR contains(lower(sentence), 'contraindicat') THEN 'contraindicated' WHEN regexp_matches(lower(sentence), {quoted(lb.AVOID)}) THEN 'avoid_or_not_recommended'
-  WHEN regexp_matches(lower(sentence), {quoted(lb.MONITOR)}) THEN 'monitor_or_adjust' ELSE 'mentioned_without_guidance' END AS class
-  FROM (SELECT o.*, CASE WHEN o_orderkey % 11 = 0 THEN 'contraindications' ELSE 'warnings' END AS section, s[CAST((o_orderkey // 3) % {N} AS INT) + 1] AS sentence FROM orders o, (SELECT [{', '.join(map(quoted, SAYS))}] AS s)))"""
-
-
-@query(f"""
-WITH {SECTIONS}, p AS (SELECT o_orderkey, class, sentence, instr(lower(sentence), 'warfarin') - 1 AS i, length(sentence) AS n FROM sections)
-SELECT o_orderkey, class, CASE WHEN i > 30 THEN '…' ELSE '' END || trim(sentence[greatest(0, i - 30) + 1:least(n, i + 38)]) || CASE WHEN i + 38 < n THEN '…' ELSE '' END AS snippet FROM p
-""")
+PARTS = 200
+
+
+def labelled(t: Tables):
+    """doc_id, drug, the two names it mentions (one, two), and its sections as a map."""
+    d = F.col("doc_id")
+    name = {n: t.part.select(F.col("p_partkey").alias(f"k_{n}"), F.col("p_name").alias(n), F.lower("p_brand").alias(f"brand_{n}")) for n in ("drug", "one", "two")}
+    keys = {"drug": F.pmod(d, F.lit(PARTS)), "one": F.pmod(d * 7 + 3, F.lit(PARTS)), "two": F.pmod(d * 11 + 5, F.lit(PARTS))}
+    rows = t.documents.select("doc_id", "text")
+    for n, key in keys.items():
+        rows = rows.join(F.broadcast(name[n].where(F.col(f"k_{n}") < PARTS)), key == F.col(f"k_{n}"))
+    form = lambda n, k: F.when(k % 3 == 0, F.initcap(n)).when(k % 3 == 1, F.concat(n, F.lit(" "), f"brand_{n}")).otherwise(F.concat(F.lit("non-"), n))
+    around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in SAYS])
+    told = lambda n, k: F.concat(F.lit(" "), F.get(around, F.pmod(k, F.lit(len(SAYS))).cast("int"))["x"], form(n, k), F.get(around, F.pmod(k, F.lit(len(SAYS))).cast("int"))["y"], F.lit(". "))
+    half = (F.char_length("text") / 2).cast("int")
+    section = lambda k: F.get(F.array(*map(F.lit, lb.SECTIONS)), F.pmod(k, F.lit(len(lb.SECTIONS))).cast("int"))
+    first = F.concat(F.substring("text", F.lit(1), half), told("one", d), F.expr("substring(text, int(char_length(text) / 2) + 1)"))
+    second = F.concat(F.substring("text", F.lit(1), half), told("one", d + 1), told("two", F.floor(d / 3)))
+    return rows.select("doc_id", "drug", "one", "two", F.create_map(section(d), first, section(d + 2), second).alias("sections"))
+
+
+def aliases(t: Tables):
+    both = F.array(F.col("p_name"), F.concat("p_name", F.lit(" "), F.lower("p_brand")))
+    return t.part.select(F.explode(both).alias("alias"), F.col("p_name").alias("name"))
+
+
+def matched(t: Tables):
+    sections = op.section_rows(labelled(t), ["doc_id", "drug"])
+    return op.find_matches(sections, aliases(t), ["doc_id", "drug", "section", "place"])
+
+
+# The oracle's own patterns: wording of each class, and what ends a clause.
+AVOID = r"\b(avoid\w*|not recommended|should not be (used|taken|given|administered|co-?administered|combined)|do not (use|take|administer|co-?administer|combine|prescribe)|must not)\b"
+MONITOR = (
+    r"\b((monitor|adjust|limit|caution|consider|titrat|separate|interrupt|discontinu|suspend)\w*|reduc\w* (the )?(dose|dosage)|(decreas|reduc)\w* by \d|dose (reduction|adjustment)|lower (the )?(dose|dosage)|do not exceed\b"
+    r"|closely\b|ask a doctor\b|ask a pharmacist\b|reserve\b|hours (before|after)\b)"
+)
+END = r"(?:[.;•]\s|\(\s*\d+(?:\.\d+)*\s*\)|\[see [^\]]*\])"
+KEYS = ("boxed_warning", "contraindications", "warnings_and_cautions", "warnings", "precautions", "drug_interactions")
+CLASS_LIST = "['contraindicated', 'avoid_or_not_recommended', 'monitor_or_adjust', 'mentioned_without_guidance', 'not_mentioned']"
+SIDES = ", ".join(f"{{'x': '{x}', 'y': '{y}'}}" for x, y in SAYS)
+FORM = "CASE WHEN {k} % 3 = 0 THEN list_aggregate(list_transform(string_split({n}, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') WHEN {k} % 3 = 1 THEN {n} || ' ' || brand_{n} ELSE 'non-' || {n} END"
+TOLD = f"' ' || s[{{k}} % {len(SAYS)} + 1].x || {FORM} || s[{{k}} % {len(SAYS)} + 1].y || '. '"
+LABELLED = f"""s AS (SELECT [{SIDES}] AS s),
+labelled AS (SELECT doc_id, d.p_name AS drug, o.p_name AS one, w.p_name AS two, lower(o.p_brand) AS brand_one, lower(w.p_brand) AS brand_two, text, length(text) // 2 AS half
+  FROM documents JOIN part d ON d.p_partkey = doc_id % {PARTS} JOIN part o ON o.p_partkey = (doc_id * 7 + 3) % {PARTS} JOIN part w ON w.p_partkey = (doc_id * 11 + 5) % {PARTS}),
+sections AS (SELECT doc_id, drug, one, two, CAST(doc_id % 6 AS INT) AS place, text[:half] || {TOLD.format(k='doc_id', n='one')} || text[half + 1:] AS text FROM labelled, s
+  UNION ALL SELECT doc_id, drug, one, two, CAST((doc_id + 2) % 6 AS INT), text[:half] || {TOLD.format(k='(doc_id + 1)', n='one')} || {TOLD.format(k='(doc_id // 3)', n='two')} FROM labelled, s)"""
+MATCHED = f"""{LABELLED},
+names AS (SELECT DISTINCT p_name AS name FROM part), al AS (SELECT DISTINCT p_name AS name, unnest([p_name, p_name || ' ' || lower(p_brand)]) AS alias FROM part),
+cand AS (SELECT doc_id, drug, place, text, lower(text) AS low, name, string_split(lower(text), name) AS pieces FROM sections JOIN names ON contains(lower(text), name)),
+pos AS (SELECT * EXCLUDE (pieces, i), CAST(list_sum(list_transform(pieces[:i], lambda p: length(p))) + (i - 1) * length(name) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(pieces))) AS i FROM cand)),
+hit AS (SELECT doc_id, drug, place, text, name, start, max_by(alias, length(alias)) AS alias FROM pos JOIN al USING (name)
+  WHERE low[start + 1:start + length(alias)] = alias AND NOT regexp_matches(low[start:start], '[a-z0-9-]') AND NOT regexp_matches(low[start + length(alias) + 1:start + length(alias) + 1], '[a-z0-9-]') GROUP BY ALL),
+cut AS (SELECT *, regexp_replace(text[greatest(start - 250, 0) + 1:start], '(?is)^.*{END}', '') || text[start + 1:start + length(alias)] || regexp_replace(text[start + length(alias) + 1:start + length(alias) + 250], '(?is){END}.*$', '') AS said,
+  text[greatest(start - 3000, 0) + 1:start] AS back FROM hit),
+tab AS (SELECT *, regexp_replace(said, '^\\s+|\\s+$', '', 'g') AS bare, regexp_extract(lower(back), '(?s)^(.*)examples', 1) AS head, regexp_extract(lower(back), '(?s)^.*examples(.*)$', 1) AS since FROM cut),
+ctx AS (SELECT *, CASE WHEN contains(lower(back), 'examples') AND NOT contains(since, 'clinical impact') AND contains(head, 'intervention')
+  THEN regexp_replace(back[length(regexp_extract(head, '(?s)^(.*)intervention', 1)) + 1:length(head)], '^\\s+|\\s+$', '', 'g') || ' … ' || bare ELSE bare END AS c FROM tab),
+cls AS (SELECT *, CASE WHEN place = 1 OR contains(lower(c), 'contraindicat') THEN 1 WHEN regexp_matches(lower(c), '{AVOID}') THEN 2 WHEN regexp_matches(lower(c), '{MONITOR}') THEN 3 ELSE 4 END AS k FROM ctx),
+best AS (SELECT doc_id, drug, place, name, alias, c, k, instr(lower(c), alias) - 1 AS i, length(c) AS n FROM cls QUALIFY row_number() OVER (PARTITION BY doc_id, place, name ORDER BY k, start) = 1),
+matches AS (SELECT doc_id, drug, place, {list(KEYS)}[place + 1] AS section, name, alias, {CLASS_LIST}[k] AS class, k,
+  CASE WHEN i > 120 THEN '…' ELSE '' END || regexp_replace(c[greatest(0, i - 120) + 1:least(n, i + length(alias) + 120)], '^\\s+|\\s+$', '', 'g') || CASE WHEN i + length(alias) + 120 < n THEN '…' ELSE '' END AS snippet FROM best)"""
+
+
+@query(f"WITH {MATCHED} SELECT doc_id, section, name, alias, class, snippet FROM matches")
 def label_classes(t):
-    return sections(t).select("o_orderkey", "class", lb.snippet(F.col("sentence"), F.lit("warfarin"), 60).alias("snippet"))
+    """What each section of each label says about each name in it: alias, class and snippet."""
+    return matched(t).select("doc_id", "section", "name", "alias", "class", "snippet")
 
 
-@query(f"WITH {SECTIONS} SELECT o_custkey, arg_min(class, list_position({list(lb.CLASSES)}, class)) AS class FROM sections GROUP BY o_custkey")
+@query(f"WITH {MATCHED} SELECT doc_id, {CLASS_LIST}[min(k)] AS class FROM matches GROUP BY doc_id")
 def strongest_class(t):
-    return op.strongest(sections(t), ["o_custkey"], "class")
+    return op.strongest(matched(t), ["doc_id"], "class")
 
 
 @query("""
@@ -51,19 +103,53 @@ def label_choice(t):
     return op.choose_label(rows, ["o_custkey"], "application", "effective", "o_orderkey")
 
 
-GRADED = "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Major' WHEN o_orderpriority = '3-MEDIUM' THEN 'Moderate' WHEN o_orderpriority = '5-LOW' THEN 'Minor' END"
+PAIRED = f"""pairs AS (SELECT least(drug, x) AS a, greatest(drug, x) AS b, min(CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE 'interaction' END) AS expected FROM (SELECT doc_id, drug, unnest([one, two]) AS x FROM labelled) WHERE drug <> x GROUP BY 1, 2),
+chosen AS (SELECT drug, doc_id FROM labelled WHERE doc_id % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY drug ORDER BY doc_id % 3 = 0 DESC, lpad(CAST(doc_id * 7919 % 100000000 AS VARCHAR), 8, '0') DESC, doc_id) = 1),
+own AS (SELECT m.* FROM matches m JOIN chosen USING (doc_id)),
+dirs AS (SELECT a, b, 0 AS side, a AS drug, b AS name FROM pairs UNION ALL SELECT a, b, 1, b, a FROM pairs),
+top AS (SELECT a, b, class, k, drug AS said_by, section, alias, snippet, count(*) OVER (PARTITION BY a, b) AS matches FROM dirs JOIN own USING (drug, name) QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY k, side, place) = 1),
+ev AS (SELECT pairs.*, coalesce(class, 'not_mentioned') AS class, coalesce(k, 5) AS k, said_by, section, alias, snippet, coalesce(matches, 0) AS matches, a IN (SELECT drug FROM chosen) AS label_a, b IN (SELECT drug FROM chosen) AS label_b FROM pairs LEFT JOIN top USING (a, b)),
+written AS (SELECT *, ['contraindicated', 'avoid / not recommended', 'monitor / adjust', 'mentioned without guidance', 'not mentioned'][k] AS w, 'no single-ingredient label found for ' || concat_ws(', ', CASE WHEN NOT label_a THEN a END, CASE WHEN NOT label_b THEN b END) AS lacking, label_a AND label_b AS found_both FROM ev)"""
+
+
+def decided(t: Tables):
+    """Pairs that a label mentions, with the evidence of the labels chosen for both names. Every fourth document stands for a
+    control, and every ninth has two ingredients."""
+    d = F.col("doc_id")
+    all_of = labelled(t)
+    x = F.explode(F.array("one", "two")).alias("x")
+    pairs = all_of.select("doc_id", "drug", x).where("drug <> x").groupBy(F.least("drug", "x").alias("a"), F.greatest("drug", "x").alias("b")).agg(F.min(F.when(d % 4 == 0, "none").otherwise("interaction")).alias("expected"))
+    found = all_of.select("drug", d.alias("place"), F.concat(F.lit("L"), d).alias("set_id"), F.lit("1").alias("version"), F.lpad((d * 7919 % 100_000_000).cast("string"), 8, "0").alias("effective"), F.when(d % 3 == 0, "NDA1").otherwise("ANDA1").alias("application"), F.lit("").alias("brand"), F.when(d % 9 == 0, F.array(F.upper("drug"), F.lit("X"))).otherwise(F.array(F.upper("drug"))).alias("generics"), "sections")
+    labels = op.choose_labels(found, aliases(t))
+    matches = op.find_matches(op.section_rows(labels, ["drug", "set_id"]), aliases(t), ["drug", "set_id", "section", "place"])
+    told = op.pair_evidence(pairs, labels, matches)
+    return told.withColumn("decided", op.decide(F.col("expected"), F.col("class"), F.col("a"), F.col("b"), F.col("label_a"), F.col("label_b")))
+
+
+@query(f"""
+WITH {MATCHED}, {PAIRED}
+SELECT a, b, expected, class, said_by, section, alias, snippet, CAST(matches AS BIGINT) AS matches, label_a, label_b,
+  CASE WHEN expected = 'interaction' THEN CASE WHEN k <= 3 THEN 'interaction' ELSE 'unclear' END WHEN found_both AND k = 5 THEN 'none_weak' ELSE 'unclear' END AS reference,
+  CASE WHEN expected = 'interaction' THEN CASE WHEN k <= 3 THEN 'label: ' || w WHEN k = 4 THEN 'named in a label, but without guidance the heuristic recognises' WHEN NOT found_both THEN lacking ELSE 'neither label names the other drug (it may be covered only by a class)' END
+    WHEN NOT found_both THEN lacking WHEN k = 5 THEN 'not mentioned in either label (weak evidence of no interaction)' ELSE 'negative control, but a label says: ' || w END AS reason FROM written
+""")
+def label_evidence(t):
+    """What the labels of both names settle about a pair, with the wording it rests on."""
+    return decided(t).select("a", "b", "expected", "class", F.col("best.drug").alias("said_by"), "best.section", "best.alias", "best.snippet", "matches", "label_a", "label_b", "decided.reference", "decided.reason")
+
+
+GRADED = "CASE length(a || b) % 4 WHEN 0 THEN 'Major' WHEN 1 THEN 'Moderate' WHEN 2 THEN 'Minor' END"
 
 
 @query(f"""
-WITH {SECTIONS}, g AS (SELECT CASE class WHEN 'avoid_or_not_recommended' THEN 'avoid / not recommended' WHEN 'monitor_or_adjust' THEN 'monitor / adjust' WHEN 'mentioned_without_guidance' THEN 'mentioned without guidance' ELSE class END AS class, {GRADED} AS grade,
-  CASE WHEN class IN ('contraindicated', 'avoid_or_not_recommended') THEN 'Major' WHEN class = 'monitor_or_adjust' THEN 'Moderate' END AS stands FROM sections),
+WITH {MATCHED}, {PAIRED}, g AS (SELECT w AS class, {GRADED} AS grade, CASE WHEN k <= 2 THEN 'Major' WHEN k = 3 THEN 'Moderate' END AS stands FROM written),
 a AS (SELECT round(count(*) FILTER (stands = grade) / count(*)::DOUBLE, 4) AS agreement, count(*) FILTER (list_position(['Minor', 'Moderate', 'Major'], grade) < list_position(['Minor', 'Moderate', 'Major'], stands)) AS lower_than_label FROM g WHERE stands IS NOT NULL AND grade IS NOT NULL)
 SELECT class, coalesce(grade, 'no graded record') AS grade, count(*) AS n, any_value(agreement) AS agreement, any_value(lower_than_label) AS lower_than_label FROM g, a GROUP BY ALL
 """)
 def label_agreement(t):
-    p = F.col("o_orderpriority")
-    grade = F.when(p.isin("1-URGENT", "2-HIGH"), "Major").when(p == "3-MEDIUM", "Moderate").when(p == "5-LOW", "Minor")
-    return op.class_grid(sections(t).withColumn("grade", grade), "class", "grade")
+    """Classes of the pairs against grades, which follow from the lengths of the names."""
+    k = F.char_length(F.concat("a", "b")) % 4
+    return op.class_grid(decided(t).withColumn("grade", F.when(k == 0, "Major").when(k == 1, "Moderate").when(k == 2, "Minor")), "class", "grade")
 
 
 @query("""

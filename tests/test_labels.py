@@ -66,3 +66,64 @@ def test_addresses_maps_and_ages(spark):
     df = spark.createDataFrame([("a b&c", {"x": "1", "y": "2"}, {"y": "3"}, "2024-01-31"), (None, None, None, "soon")], "q string, m map<string,string>, o map<string,string>, d string")
     got = df.select(request_url("u", {"search": F.col("q"), "n": F.lit(1)}), override(F.col("m"), F.col("o")), age_days(F.col("d"), F.lit("2024-03-01").cast("date"))).collect()
     assert [tuple(r) for r in got] == [("u?search=a+b%26c&n=1", {"x": "1", "y": "3"}, 30), ("u?n=1", {}, None)]
+
+
+def test_clauses_end_at_the_nearest_boundary():
+    text = "First. Avoid x; give Drug with care. Then more"
+    at = text.index("Drug")
+    assert labels.clause(text, at, at + 4) == "give Drug with care"
+    for said, want in [("see (7.2) use Drug [SEE here. there] now", "use Drug"), ("Drug", "Drug"), ("a" * 300 + " Drug " + "b" * 300, "a" * 249 + " Drug " + "b" * 249)]:
+        at = said.index("Drug")
+        assert labels.clause(said, at, at + 4) == want
+    table = "Clinical Impact: x. Intervention: Reduce dose. Examples: one, Drug, two. End"
+    at = table.index("Drug")
+    assert labels.clause(table, at, at + 4) == "Intervention: Reduce dose. … Examples: one, Drug, two"
+    table = "Intervention: Reduce dose. Examples: one. Clinical impact: more; Drug. End"
+    at = table.index("Drug")
+    assert labels.clause(table, at, at + 4) == "Drug"
+
+
+def test_mentions_equal_a_pattern_for_each_name(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    own = {"n1": ["alpha", "alpha beta", "beta-x", "abc"], "n2": ["beta", "alphab"], "n3": ["gamma", "alpha"]}
+    parts = ["alpha", "beta", "beta-x", "gamma", "abc", "alphab", ",", ".", "-", "x1"]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", " ", "", "-"]) for _ in range(rng.randint(0, 40))) for _ in range(80)] + [None, "", "ALPHA Beta"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    known = spark.createDataFrame([(a, n) for n, x in own.items() for a in x] + [("short", None)], "alias string, name string")
+    want = set()
+    for i, t in enumerate(texts):
+        for n, x in own.items():
+            long = sorted((a for a in x if len(a) >= 4), key=len, reverse=True)
+            for m in re.finditer(r"(?<![a-z0-9-])(" + "|".join(map(re.escape, long)) + r")(?![a-z0-9-])", (t or "").lower()):
+                want.add((i, n, m.group(1), m.start(), m.end()))
+    for block in (1, 1000):
+        got = {tuple(r)[:5] for r in labels.mentions(df, known, ["id"], block=block).collect()}
+        assert got == want and len(want) > 100
+
+
+def test_labels_are_chosen_searched_and_settle_pairs(spark):
+    said = [
+        ("d", 0, "s0", "1", "2025", "ANDA1", "", ["D"], {"warnings": "Avoid eeee."}), ("d", 1, "s1", "1", "2020", "NDA1", "", [" d "], {"warnings": "Seen with eeee. Monitor.", "drug_interactions": "Monitor eeee; avoid eeee!"}),
+        ("d", 2, "s2", "1", "2020", "NDA2", "", ["d"], {"warnings": "x"}), ("d", 3, "s3", "1", "2030", "NDA3", "", ["d", "e"], {"warnings": "x"}), ("d", 4, "s4", "1", "2030", "NDA3", "", ["d"], {"other": "x"}),
+        ("eeee", 0, "t0", "1", None, None, None, ["e-salt"], {"contraindications": "With ffff."}), ("gggg", 0, "u0", "1", None, None, None, ["unknown"], {"warnings": "x"}), ("ffff", 0, "v", "1", None, None, None, ["ffff"], {"warnings": ""}), ("hhhh", 0, "w", "1", None, None, None, ["hhhh"], {"warnings": "Nothing, but eeee."}),
+    ]
+    found = spark.createDataFrame(said, "drug string, place int, set_id string, version string, effective string, application string, brand string, generics array<string>, sections map<string,string>")
+    vocabulary = spark.createDataFrame([("d", "d"), ("e-salt", "eeee"), ("eeee", "eeee"), ("ffff", "ffff"), ("hhhh", "hhhh")], "alias string, name string")
+    chosen = labels.choose_labels(found, vocabulary)
+    assert rows(chosen.select("drug", "set_id")) == [("d", "s1"), ("eeee", "t0"), ("hhhh", "w")]
+    matches = labels.find_matches(labels.section_rows(chosen, ["drug"]), vocabulary, ["drug", "section", "place"])
+    pairs = spark.createDataFrame([("d", "eeee", "interaction"), ("d", "ffff", "none"), ("eeee", "ffff", "none"), ("d", "hhhh", "none"), ("d", "hhhh", "interaction"), ("eeee", "hhhh", "interaction"), ("ffff", "gggg", "interaction")], "a string, b string, expected string")
+    told = labels.pair_evidence(pairs, chosen, matches)
+    got = told.select("a", "b", "expected", "class", labels.decide(*[F.col(c) for c in ("expected", "class", "a", "b", "label_a", "label_b")]).alias("d")).select("a", "b", "class", "d.*")
+    assert rows(got) == sorted([
+        ("d", "eeee", "avoid_or_not_recommended", "interaction", "label: avoid / not recommended"), ("d", "ffff", "not_mentioned", "unclear", "no single-ingredient label found for ffff"),
+        ("eeee", "ffff", "contraindicated", "unclear", "no single-ingredient label found for ffff"), ("d", "hhhh", "not_mentioned", "none_weak", "not mentioned in either label (weak evidence of no interaction)"),
+        ("d", "hhhh", "not_mentioned", "unclear", "neither label names the other drug (it may be covered only by a class)"), ("eeee", "hhhh", "mentioned_without_guidance", "unclear", "named in a label, but without guidance the heuristic recognises"),
+        ("ffff", "gggg", "not_mentioned", "unclear", "no single-ingredient label found for ffff, gggg"),
+    ], key=repr)
+    assert rows(told.where("b = 'eeee'").select("best.section", "best.alias", "best.snippet", "matches")) == [("drug_interactions", "eeee", "avoid eeee!", 2)]
+    empty = labels.find_matches(labels.section_rows(chosen.limit(0), ["drug"]), vocabulary.limit(0), ["drug", "section", "place"])
+    assert rows(empty) == []
