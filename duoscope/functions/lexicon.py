@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -179,17 +180,20 @@ def spans_of(text: str, pattern: re.Pattern) -> list[str]:
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def _events(texts: pd.Series, more: pd.Series) -> pd.Series:
+def _events(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     known = [x for row in EVENTS for x in row]
     made: dict[tuple, re.Pattern] = {}
-    out = []
-    for text, own in zip(texts, more):
-        key = tuple(own)
-        if key not in made:
-            terms = sorted({*known, *key} - {*GENERIC_EVENTS, ""}, key=len, reverse=True)
-            made = {key: re.compile("(?<![a-z0-9])(?:" + "|".join(map(re.escape, terms)) + ")(?![a-z0-9])")}
-        out.append(spans_of(text, made[key]))
-    return pd.Series(out)
+    for texts, more in parts:
+        out = []
+        for text, own in zip(texts, more):
+            key = tuple(own)
+            if key not in made:
+                if len(made) > 4096:
+                    made.clear()
+                terms = sorted({*known, *key} - {*GENERIC_EVENTS, ""}, key=len, reverse=True)
+                made[key] = re.compile("(?<![a-z0-9])(?:" + "|".join(map(re.escape, terms)) + ")(?![a-z0-9])")
+            out.append(spans_of(text, made[key]))
+        yield pd.Series(out, dtype=object)
 
 
 def events(t: Column, more: Column) -> Column:
@@ -206,10 +210,10 @@ def groups_of(t: Column) -> Column:
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
-def event_supported(event: Column, support: Column) -> Column:
-    """Whether folded support names the event or, for each lexicon event in it, one that means the same."""
+def event_supported(event: Column, support: Column, had: Column | None = None) -> Column:
+    """Whether folded support names the event or, for each lexicon event in it, one that means the same. had: groups_of(support)."""
     inner = groups_of(event)
-    return has_term(support, event) | ((F.size(inner) > 0) & (F.size(F.array_except(inner, groups_of(support))) == 0))
+    return has_term(support, event) | ((F.size(inner) > 0) & (F.size(F.array_except(inner, groups_of(support) if had is None else had)) == 0))
 
 
 def tiers(t: Column) -> Column:

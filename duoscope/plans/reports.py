@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.signals import assess, counts
-from ..operators import checker, pairs, report, stats
+from ..operators import checker, faults, pairs, report, stats
 from ..sources import provenance
+from ..sources.scratch import kept
 from ..streaming import limiter
 from .pairs import ASSESSED, RECORDS, events_of, named, planned, records, reports
 from .registry import Tables, query
@@ -174,35 +175,84 @@ def phantom_citations(t):
     return cited.join(known, "citation", "left_anti").select("request", "citation")
 
 
-def evidence(t: Tables):
-    """Reports with the evidence they should be checked against; those of urgent orders had a grade changed, of high ones a
-    citation, and of medium ones the footer is missing."""
-    names, found = asked_names(t).persist(), reviewed(t).persist()
+FAULT = f"{list(faults.FAULTS)}[request % {len(faults.FAULTS)} + 1]"
+#: What the planted faults must lead to, told from the tables alone: the checker reads nothing but the text.
+FAULTY = f"""{SHOWN}, f AS (SELECT request, {FAULT} AS fault FROM (SELECT DISTINCT request FROM named WHERE status = 'O')),
+cur AS (SELECT DISTINCT request FROM shown WHERE source = 'CURATED'), sig AS (SELECT request, count(DISTINCT a || '+' || b) AS pairs FROM shown WHERE source = 'SIGNAL' GROUP BY 1),
+gap AS (SELECT DISTINCT request FROM parts_of WHERE NOT has_records), more AS (SELECT DISTINCT request FROM shown WHERE hidden > 0),
+item AS (SELECT *, CASE WHEN source = 'SIGNAL' THEN 5 WHEN severity = 'Major' THEN 1 WHEN severity = 'Moderate' THEN 2 ELSE 3 END AS section FROM shown),
+site AS (SELECT request, fault, a, b FROM item JOIN f USING (request) WHERE fault = 'omitted_pair' OR (fault = 'omitted_major' AND section = 1) QUALIFY row_number() OVER (PARTITION BY request ORDER BY section, a, b, position) = 1),
+gone AS (SELECT item.*, fault, fault = 'omitted_pair' OR section = 1 AS dropped FROM item JOIN site USING (request, a, b)),
+per AS (SELECT request, fault, bool_and(dropped) AS empty, bool_or(section = 1) AS major, max(hidden) AS hidden, count(*) FILTER (WHERE dropped) AS lines FROM gone GROUP BY ALL),
+hits AS (
+  SELECT request, fault, code FROM f JOIN (VALUES ('mechanism', 'UNSUPPORTED_MECHANISM'), ('severity', 'SEVERITY_MISMATCH'), ('event', 'EVENT_MISATTRIBUTION'), ('population', 'UNSUPPORTED_POPULATION'), ('uncited', 'UNCITED_CLAIM'), ('reports_as_curated', 'FAERS_AS_CURATED')) v(fault, code) USING (fault) SEMI JOIN cur USING (request)
+  UNION ALL SELECT request, fault, code FROM f JOIN (VALUES ('number', 'NUMERIC_MISMATCH'), ('graded_signal', 'SEVERITY_ON_STATISTICAL_SIGNAL')) v(fault, code) USING (fault) SEMI JOIN sig USING (request)
+  UNION ALL SELECT request, fault, 'PHANTOM_CITATION' FROM f SEMI JOIN shown USING (request) WHERE fault = 'phantom'
+  UNION ALL SELECT request, fault, 'MISATTRIBUTED_CITATION' FROM f JOIN sig USING (request) WHERE fault = 'misattributed' AND pairs > 1
+  UNION ALL SELECT request, fault, 'MISSING_HIDDEN_COUNT' FROM f SEMI JOIN more USING (request) WHERE fault IN ('hidden_dropped', 'hidden_wrong')
+  UNION ALL SELECT request, fault, CASE fault WHEN 'called_safe' THEN 'CONFLATED_ABSENCE' ELSE 'MISSING_NO_DATA_DECLARATION' END FROM f SEMI JOIN gap USING (request) WHERE fault IN ('called_safe', 'gap_dropped')
+  UNION ALL SELECT request, fault, CASE fault WHEN 'unresolved_dropped' THEN 'MISSING_UNRESOLVED_DECLARATION' ELSE 'MISSING_DISCLAIMER' END FROM f WHERE fault IN ('unresolved_dropped', 'disclaimer_dropped')
+  UNION ALL SELECT request, fault, 'OMITTED_INTERACTION' FROM per WHERE empty
+  UNION ALL SELECT request, fault, 'OMITTED_MAJOR' FROM per WHERE major
+  UNION ALL SELECT request, fault, 'MISSING_HIDDEN_COUNT' FROM per WHERE fault = 'omitted_pair' AND hidden > 0)"""
+
+
+def checked(t: Tables) -> checker.Checked:
+    """All reports, each with one kind of fault, at the first line that can have it, checked against their evidence."""
+    names = asked_names(t)
+    found = kept(reviewed(t), "reviewed")
     shown = found.where("source IS NOT NULL")
     parts = found.groupBy("request", "a", "b").agg(F.max(F.col("source").isNotNull()).alias("has_records"))
-    ids = report.record_id()
+    ids, as_report = report.record_id(), F.col("request").alias("report")
     kind = F.when(F.col("source") == "CURATED", "interaction").otherwise("signal")
-    recs = shown.select(F.col("request").alias("report"), "source", ids.alias("record_id"), kind.alias("kind"), "a", "b", "event", "severity", F.lit(None).cast("double").alias("prr"), "reports", F.lit(None).cast("string").alias("mechanism"))
+    recs = shown.select(as_report, "source", ids.alias("record_id"), kind.alias("kind"), "a", "b", "event", "severity", F.lit(None).cast("double").alias("prr"), "reports", F.lit(None).cast("string").alias("mechanism"))
+    spontaneous = recs.where("kind = 'interaction'").withColumns({"source": F.lit("FAERS"), "record_id": F.concat(F.lit("f"), "record_id"), "kind": F.lit("faers"), "severity": F.lit(None).cast("string"), "reports": F.lit(7).cast("bigint")})
+    fault = F.get(F.array(*map(F.lit, faults.FAULTS)), F.pmod("request", F.lit(len(faults.FAULTS))).cast("int"))
+    rows = faults.lines(report.gather(names, found)).withColumn("fault", fault)
+    first = faults.sites(rows.select("request", "fault", "lines")).groupBy("request").agg(F.min("site").alias("site"))
+    entry = F.concat(F.lit("entry "), F.col("request"))
+    made = kept(faults.injected(rows.join(first, "request", "left"), F.array(F.lit("## Unresolved entries"), F.concat(F.lit("- "), entry))), "texts")
     of = lambda df: df.withColumnRenamed("request", "report")
-    fault = F.when(F.col("o_orderpriority") == "1-URGENT", F.replace("text", F.lit("severity Major"), F.lit("severity Minor"))).when(F.col("o_orderpriority") == "2-HIGH", F.replace("text", F.lit("[CURATED:"), F.lit("[CURATED:x"))).otherwise(F.col("text"))
-    done = F.when(F.col("o_orderpriority") == "3-MEDIUM", F.col("text")).otherwise(report.finalize(F.col("text")))
-    made = of(report.render(report.gather(names, found))).join(t.orders.select(F.col("o_orderkey").alias("report"), "o_orderpriority"), "report").withColumn("text", fault).withColumn("text", done)
-    alias = of(names).select("report", F.col("name").alias("alias"), "name")
-    return checker.bundle(made, recs, alias, of(parts.where("has_records")), of(parts.where("NOT has_records")), of(names).select("report", F.lit(None).cast("string").alias("query")).where("false"), of(shown.where("hidden > 0")).select("report", "a", "b", F.col("hidden").alias("n")).distinct()).persist()
+    hidden = shown.where("hidden > 0").select(as_report, "a", "b", F.col("hidden").alias("n")).distinct()
+    alias = names.select(as_report, F.col("name").alias("alias"), "name")
+    e = checker.bundle(of(made).select("report", "text"), recs.unionByName(spontaneous), alias, of(parts.where("has_records")), of(parts.where("NOT has_records")), of(made).select("report", F.concat(F.lit("entry "), F.col("report")).alias("query")), hidden)
+    return checker.check(e)
 
 
-@query()
+def fault_of(c: str = "report"):
+    return F.get(F.array(*map(F.lit, faults.FAULTS)), F.pmod(c, F.lit(len(faults.FAULTS))).cast("int"))
+
+
+@query(f"WITH {FAULTY} SELECT fault, code, count(*) AS n, count(DISTINCT request) AS n_reports FROM hits GROUP BY ALL")
 def claim_codes(t):
-    """Findings by code and kind of fault. No SQL: the rules are regular expressions with look-behind."""
-    reports = evidence(t)
-    found = checker.findings(reports, report.DISCLAIMER).join(reports.select("report", "o_orderpriority"), "report")
-    return found.groupBy("o_orderpriority", "code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("report").alias("n_reports"))
+    """Findings by the kind of fault that reports were given; reports without one, or without a line for it, have none."""
+    found = checker.findings(checked(t), report.DISCLAIMER)
+    return found.groupBy(fault_of().alias("fault"), "code").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("report").alias("n_reports"))
 
 
-@query()
+EACH = f"""{FAULTY}, hit AS (SELECT DISTINCT request, fault FROM hits), k AS (SELECT request, count(*) AS lines FROM shown GROUP BY 1),
+pr AS (SELECT request, a, b, bool_or(severity = 'Major') AS major FROM shown GROUP BY ALL), kp AS (SELECT request, count(*) AS pairs, count(*) FILTER (WHERE major) AS major FROM pr GROUP BY 1),
+kg AS (SELECT request, count(*) AS no_data FROM parts_of WHERE NOT has_records GROUP BY 1),
+each AS (SELECT f.request, f.fault, coalesce(k.lines, 0) - coalesce(per.lines, 0) + (h AND f.fault IN ('uncited', 'reports_as_curated'))::INT AS claims,
+  (h AND f.fault IN ('mechanism', 'severity', 'event', 'population', 'reports_as_curated', 'phantom', 'misattributed', 'number', 'graded_signal'))::INT AS fabricated, (h AND f.fault = 'uncited')::INT AS uncited,
+  coalesce(k.lines, 0) - coalesce(per.lines, 0) + (h AND f.fault IN ('reports_as_curated', 'phantom', 'misattributed'))::INT AS citations, coalesce(k.lines, 0) - coalesce(per.lines, 0) + (h AND f.fault = 'reports_as_curated')::INT AS valid,
+  coalesce(pairs, 0) AS pairs, coalesce(per.empty, false)::INT AS omitted, coalesce(kp.major, 0) AS major, coalesce(per.major, false)::INT AS omitted_major, coalesce(no_data, 0) AS no_data, coalesce(no_data, 0) - (h AND f.fault = 'gap_dropped')::INT AS declared
+  FROM (SELECT f.*, hit.request IS NOT NULL AS h FROM f LEFT JOIN hit USING (request)) f LEFT JOIN k USING (request) LEFT JOIN per USING (request) LEFT JOIN kp USING (request) LEFT JOIN kg USING (request))"""
+STATS = "claims fabricated uncited citations valid pairs omitted major omitted_major no_data declared".split()
+SHARES = {"fabricated_rate": ("fabricated", "claims"), "uncited_rate": ("uncited", "claims"), "validity": ("valid", "citations"), "omission_rate": ("omitted", "pairs"), "major_omission_rate": ("omitted_major", "major"), "completeness": ("declared", "no_data")}
+RATED = ", ".join(f"round({a} / nullif({b}, 0)::DOUBLE, 4) AS {k}" for k, (a, b) in SHARES.items())
+
+
+@query(f"WITH {EACH}, s AS (SELECT request AS report, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in STATS)} FROM each) SELECT *, {RATED} FROM s")
 def claim_statistics(t):
-    """Claims, citations and their rates of every report. No SQL, as for claim_codes."""
-    return checker.statistics(evidence(t)).drop("text")
+    """The counts and rates of every report with its fault."""
+    return checker.statistics(checked(t))
+
+
+@query(f"WITH {EACH}, s AS (SELECT fault, count(*) AS reports, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in STATS)} FROM each GROUP BY fault) SELECT *, {RATED} FROM s")
+def claim_totals(t):
+    """The statistics of all reports with one kind of fault, as those of a single report."""
+    return checker.total_statistics(checker.statistics(checked(t)).withColumn("fault", fault_of()), ["fault"])
 
 
 @query("""
