@@ -32,7 +32,7 @@ def fold(c: Column) -> Column:
     """Lower case, spellings and dashes folded, white space squeezed; folding twice changes nothing. Null is empty."""
     c = F.lower(F.coalesce(c, F.lit("")))
     for old, new in FOLDS:
-        c = F.regexp_replace(c, old, new)
+        c = F.regexp_replace(c, old, new) if "(" in old else F.replace(c, F.lit(old), F.lit(new))
     return F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "^ | $", "")
 
 
