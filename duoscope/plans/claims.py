@@ -1,4 +1,4 @@
-"""Queries on what sentences claim. Each order says one or two sentences; which ones follows from its key."""
+"""Queries on what texts claim: documents, into each of which one or two sentences with claims are put, as its key says."""
 
 from __future__ import annotations
 
@@ -28,19 +28,22 @@ N = len(SENTENCES)
 
 
 def said(t: Tables):
-    """Key, a sentence, and another one or none."""
-    one = F.array(*map(F.lit, SENTENCES))
-    k = F.col("o_orderkey")
-    pick = lambda i: F.element_at(one, (F.pmod(i, F.lit(N)) + 1).cast("int"))
-    return t.orders.select("o_orderkey", pick(k).alias("one"), pick(F.floor(k / N)).alias("two")).withColumn("t", F.concat_ws(" ", "one", F.when(k % 3 > 0, F.col("two"))))
+    """Each document with two of the sentences in it, the first in its middle and the second (of two keys in three) at its
+    end; one and two are the halves, each with its sentence."""
+    lines = F.array(*map(F.lit, SENTENCES))
+    k = F.col("doc_id")
+    pick = lambda i: F.element_at(lines, (F.pmod(i, F.lit(N)) + 1).cast("int"))
+    low = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    rows = t.documents.select("doc_id", low.alias("low"), pick(k).alias("x"), F.when(k % 3 > 0, pick(F.floor(k / N))).alias("y")).withColumn("half", (F.char_length("low") / 2).cast("int"))
+    return rows.select("doc_id", F.concat_ws(" ", F.expr("substring(low, 1, half)"), "x").alias("one"), F.concat_ws(" ", F.expr("substring(low, half + 1)"), "y").alias("two")).withColumn("t", F.concat_ws(" ", "one", "two"))
 
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-SAID = f"""said AS (SELECT *, concat_ws(' ', one, CASE WHEN o_orderkey % 3 > 0 THEN two END) AS t FROM (SELECT o_orderkey, s[CAST(o_orderkey % {N} AS INT) + 1] AS one, s[CAST((o_orderkey // {N}) % {N} AS INT) + 1] AS two
-  FROM orders, (SELECT [{', '.join(map(quoted, SENTENCES))}] AS s)))"""
+SAID = f"""said AS (SELECT *, concat_ws(' ', one, two) AS t FROM (SELECT doc_id, concat_ws(' ', low[:half], s[CAST(doc_id % {N} AS INT) + 1]) AS one, concat_ws(' ', low[half + 1:], CASE WHEN doc_id % 3 > 0 THEN s[CAST((doc_id // {N}) % {N} AS INT) + 1] END) AS two
+  FROM (SELECT *, length(low) // 2 AS half FROM (SELECT doc_id, lower(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS low FROM documents)), (SELECT [{', '.join(map(quoted, SENTENCES))}] AS s)))"""
 
 
 def listed(c: Column) -> Column:
@@ -61,33 +64,33 @@ def mechanisms_sql(t: str) -> str:
     return f"list_distinct(flatten([{', '.join(parts)}]))"
 
 
-@query(f"WITH {SAID} SELECT o_orderkey, {listed_sql(mechanisms_sql('t'))} AS mechanisms FROM said")
+@query(f"WITH {SAID} SELECT doc_id, {listed_sql(mechanisms_sql('t'))} AS mechanisms FROM said")
 def claim_mechanisms(t):
-    return said(t).select("o_orderkey", listed(lx.mechanisms(F.col("t"))).alias("mechanisms"))
+    return said(t).select("doc_id", listed(lx.mechanisms(F.col("t"))).alias("mechanisms"))
 
 
 @query(f"""
-WITH {SAID}, m AS (SELECT o_orderkey, {mechanisms_sql('one')} AS c, {mechanisms_sql('two')} AS h FROM said)
-SELECT o_orderkey, {listed_sql('''list_filter(c, lambda x: NOT CASE WHEN split_part(x, ':', 2) = '*' THEN len(list_filter(h, lambda y: split_part(y, ':', 1) = split_part(x, ':', 1))) > 0
+WITH {SAID}, m AS (SELECT doc_id, {mechanisms_sql('one')} AS c, {mechanisms_sql('two')} AS h FROM said)
+SELECT doc_id, {listed_sql('''list_filter(c, lambda x: NOT CASE WHEN split_part(x, ':', 2) = '*' THEN len(list_filter(h, lambda y: split_part(y, ':', 1) = split_part(x, ':', 1))) > 0
   ELSE len(list_filter(h, lambda y: split_part(y, ':', 1) = split_part(x, ':', 1) AND split_part(y, ':', 2) <> '*' AND (starts_with(split_part(y, ':', 2), split_part(x, ':', 2)) OR starts_with(split_part(x, ':', 2), split_part(y, ':', 2))))) > 0 END)''')} AS unsupported FROM m
 """)
 def claim_unsupported(t):
     """Mechanisms that the first sentence names and the second does not support."""
-    both = said(t).select("o_orderkey", lx.mechanisms(F.col("one")).alias("c"), lx.mechanisms(F.col("two")).alias("h"))
-    return both.select("o_orderkey", listed(lx.unsupported(F.col("c"), F.col("h"))).alias("unsupported"))
+    both = said(t).select("doc_id", lx.mechanisms(F.col("one")).alias("c"), lx.mechanisms(F.col("two")).alias("h"))
+    return both.select("doc_id", listed(lx.unsupported(F.col("c"), F.col("h"))).alias("unsupported"))
 
 
-@query(f"WITH {SAID} SELECT o_orderkey, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(t, {quoted(p)}) THEN {quoted(n)} END' for n, p in lx.POPULATIONS.items())}], lambda x: x IS NOT NULL), ',') AS populations FROM said")
+@query(f"WITH {SAID} SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(t, {quoted(p)}) THEN {quoted(n)} END' for n, p in lx.POPULATIONS.items())}], lambda x: x IS NOT NULL), ',') AS populations FROM said")
 def claim_populations(t):
-    return said(t).select("o_orderkey", F.array_join(lx.populations(F.col("t")), ",").alias("populations"))
+    return said(t).select("doc_id", F.array_join(lx.populations(F.col("t")), ",").alias("populations"))
 
 
 ALL_EVENTS = "|".join(sorted({x for row in lx.EVENTS for x in row}, key=len, reverse=True))
 
 
-@query(rf"WITH {SAID} SELECT o_orderkey, array_to_string(regexp_extract_all(t, '\b({ALL_EVENTS})\b', 1), ',') AS events FROM said")
+@query(rf"WITH {SAID} SELECT doc_id, array_to_string(regexp_extract_all(t, '\b({ALL_EVENTS})\b', 1), ',') AS events FROM said")
 def claim_events(t):
-    return said(t).select("o_orderkey", F.array_join(lx.events(F.col("t"), F.array().cast("array<string>")), ",").alias("events"))
+    return said(t).select("doc_id", F.array_join(lx.events(F.col("t"), F.array().cast("array<string>")), ",").alias("events"))
 
 
 def groups_sql(t: str) -> str:
@@ -95,38 +98,38 @@ def groups_sql(t: str) -> str:
 
 
 @query(rf"""
-WITH {SAID}, e AS (SELECT o_orderkey, two, unnest(list_distinct(regexp_extract_all(one, '\b({ALL_EVENTS})\b', 1))) AS event FROM said)
-SELECT o_orderkey, event, regexp_matches(two, '\b' || event || '\b') OR (len({groups_sql('event')}) > 0 AND list_has_all({groups_sql('two')}, {groups_sql('event')})) AS supported FROM e
+WITH {SAID}, e AS (SELECT doc_id, two, unnest(list_distinct(regexp_extract_all(one, '\b({ALL_EVENTS})\b', 1))) AS event FROM said)
+SELECT doc_id, event, regexp_matches(two, '\b' || event || '\b') OR (len({groups_sql('event')}) > 0 AND list_has_all({groups_sql('two')}, {groups_sql('event')})) AS supported FROM e
 """)
 def claim_event_support(t):
     """Whether the second sentence supports each event of the first."""
-    each = said(t).select("o_orderkey", "two", F.explode(F.array_distinct(lx.events(F.col("one"), F.array().cast("array<string>")))).alias("event"))
-    return each.select("o_orderkey", "event", lx.event_supported(F.col("event"), F.col("two")).alias("supported"))
+    each = said(t).select("doc_id", "two", F.explode(F.array_distinct(lx.events(F.col("one"), F.array().cast("array<string>")))).alias("event"))
+    return each.select("doc_id", "event", lx.event_supported(F.col("event"), F.col("two")).alias("supported"))
 
 
-@query(f"WITH {SAID} SELECT o_orderkey, array_to_string(regexp_extract_all(regexp_replace(t, {quoted(lx.SEVERITY_DENIED)}, ' ', 'g'), {quoted(lx.SEVERITY_WORDS)}), ',') AS words FROM said")
+@query(f"WITH {SAID} SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(t, {quoted(lx.SEVERITY_DENIED)}, ' ', 'g'), {quoted(lx.SEVERITY_WORDS)}), ',') AS words FROM said")
 def claim_severity_words(t):
-    return said(t).select("o_orderkey", F.array_join(lx.severity_words(F.col("t")), ",").alias("words"))
+    return said(t).select("doc_id", F.array_join(lx.severity_words(F.col("t")), ",").alias("words"))
 
 
 TIERS = quoted(lx.TIER_IN_CONTEXT.replace("(?=", "(?:"))
 
 
 @query(f"""
-WITH {SAID} SELECT o_orderkey, {listed_sql(f"list_distinct(list_concat(list_transform(list_filter(flatten([regexp_extract_all(t, {TIERS}, 1), regexp_extract_all(t, {TIERS}, 2), regexp_extract_all(t, {TIERS}, 3)]), lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), CASE WHEN regexp_matches(t, {quoted(lx.NOT_GRADED)}) THEN ['not graded'] ELSE [] END))")} AS tiers FROM said
+WITH {SAID} SELECT doc_id, {listed_sql(f"list_distinct(list_concat(list_transform(list_filter(flatten([regexp_extract_all(t, {TIERS}, 1), regexp_extract_all(t, {TIERS}, 2), regexp_extract_all(t, {TIERS}, 3)]), lambda x: x <> ''), lambda x: upper(x[1]) || x[2:]), CASE WHEN regexp_matches(t, {quoted(lx.NOT_GRADED)}) THEN ['not graded'] ELSE [] END))")} AS tiers FROM said
 """)
 def claim_tiers(t):
-    return said(t).select("o_orderkey", listed(lx.tiers(F.col("t"))).alias("tiers"))
+    return said(t).select("doc_id", listed(lx.tiers(F.col("t"))).alias("tiers"))
 
 
 @query(f"""
-WITH {SAID} SELECT o_orderkey, regexp_matches(t, {quoted(lx.ABSENCE)}) AS absent,
+WITH {SAID} SELECT doc_id, regexp_matches(t, {quoted(lx.ABSENCE)}) AS absent,
   regexp_matches(regexp_replace(t, '\\b(not|no evidence|nor|neither)\\b[^.;]{{0,40}}\\bsafe(ly|ty)?\\b', ' ', 'g'), '\\bsafe(ly|ty)?\\b')
   OR regexp_matches(regexp_replace(t, '\\bno interactions? (data|records?|evidence|information)', ' ', 'g'), {quoted(lx.SAFE[1].split('(?!')[0])})
   OR regexp_matches(t, {quoted('|'.join(lx.SAFE[2:]))}) AS says_safe FROM said
 """)
 def claim_safety(t):
-    return said(t).select("o_orderkey", lx.declares_absence(F.col("t")).alias("absent"), lx.says_safe(F.col("t")).isNotNull().alias("says_safe"))
+    return said(t).select("doc_id", lx.declares_absence(F.col("t")).alias("absent"), lx.says_safe(F.col("t")).isNotNull().alias("says_safe"))
 
 
 COUNT = "([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)"
@@ -137,17 +140,17 @@ def counted_sql(*lists: str) -> str:
 
 
 @query(rf"""
-WITH {SAID} SELECT o_orderkey, array_to_string(regexp_extract_all(t, {quoted(lx.PRR)}, 1), ',') AS prr, {counted_sql(f"regexp_extract_all(t, {quoted(lx.REPORTS)}, 1)")} AS reports,
+WITH {SAID} SELECT doc_id, array_to_string(regexp_extract_all(t, {quoted(lx.PRR)}, 1), ',') AS prr, {counted_sql(f"regexp_extract_all(t, {quoted(lx.REPORTS)}, 1)")} AS reports,
   {counted_sql(rf"regexp_extract_all(t, '(?:^|[^0-9.,]){COUNT}\s+co-?reports?\b', 1)", rf"regexp_extract_all(t, '\bco-?reports?\s*(?:[:=]|of)?\s*{COUNT}(?:[^0-9.]|$)', 1)")} AS co_reports,
   {counted_sql(f"regexp_extract_all(t, {quoted(lx.HIDDEN)}, 1)")} AS hidden FROM said
 """)
 def claim_numbers(t):
     s = F.col("t")
     listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return said(t).select("o_orderkey", F.array_join(lx.every(s, lx.PRR), ",").alias("prr"), listed(lx.counts(s, lx.REPORTS)).alias("reports"), listed(lx.counts(s, lx.CO_REPORTS, 2)).alias("co_reports"), listed(lx.counts(s, lx.HIDDEN)).alias("hidden"))
+    return said(t).select("doc_id", F.array_join(lx.every(s, lx.PRR), ",").alias("prr"), listed(lx.counts(s, lx.REPORTS)).alias("reports"), listed(lx.counts(s, lx.CO_REPORTS, 2)).alias("co_reports"), listed(lx.counts(s, lx.HIDDEN)).alias("hidden"))
 
 
-@query(rf"WITH {SAID} SELECT o_orderkey, regexp_replace(t, '\b(serotonin syndrome|hyperkalemia|severity|pair)\b', ' ', 'g') AS masked FROM said")
+@query(rf"WITH {SAID} SELECT doc_id, regexp_replace(t, '\b(serotonin syndrome|hyperkalemia|severity|pair)\b', ' ', 'g') AS masked FROM said")
 def claim_mask(t):
     terms = F.array(*map(F.lit, ("pair", "hyperkalemia", "severity", "serotonin syndrome")))
-    return said(t).select("o_orderkey", lx.mask(F.col("t"), terms).alias("masked"))
+    return said(t).select("doc_id", lx.mask(F.col("t"), terms).alias("masked"))
