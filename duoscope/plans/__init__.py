@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each an application of the library's operators."""
 
-from . import claims, labels, names, pairs, reports, statistics
+from . import claims, labels, names, pairs, reports, statistics, trajectories
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "claims", "labels", "names", "pairs", "reports", "statistics"]
+__all__ = ["QUERIES", "SQL", "claims", "labels", "names", "pairs", "reports", "statistics", "trajectories"]
