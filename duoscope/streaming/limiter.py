@@ -6,11 +6,15 @@ passed within the window: at most `limit` times a key.
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 #: Columns of a result, after the hit's own.
 ADDED = "allowed boolean, retry_after double"
@@ -49,14 +53,72 @@ def admit(hits: DataFrame, limit: int, window: float) -> DataFrame:
     return hits.repartition("key").sortWithinPartitions("key", "at", *rest).mapInPandas(run, ", ".join([*kinds, ADDED]))
 
 
-def admit_stream(hits: DataFrame, limit: int, window: float) -> DataFrame:
-    """The same for a stream of hits (key string, at double): each micro-batch goes on where the last one ended."""
+class Admission(StatefulProcessor):
+    """State of a key: hits that wait until the watermark has passed them, and the times of those admitted within the window.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        passed = deque(state.get[0]) if state.exists else deque()
-        times = sorted(at for df in frames for at in df["at"])
-        out = [step(passed, at, limit, window) for at in times]
-        state.update((list(passed),))
-        yield pd.DataFrame({"key": [key[0]] * len(times), "at": times, "allowed": [x for x, _ in out], "retry_after": [y for _, y in out]})
+    A timer stands at the first of the waiting hits or, with none waiting, at the time when the last admitted one has left
+    the window; then the key's state is cleared. Hits are so taken in order of time, however they arrive."""
 
-    return hits.groupBy("key").applyInPandasWithState(run, f"key string, at double, {ADDED}", "passed array<double>", "append", "NoTimeout")
+    def __init__(self, limit: int, window: float, schema: StructType):
+        self.limit, self.window, self.schema = limit, window, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "rows array<binary>")
+        self.passed = handle.getValueState("passed", "times array<double>")
+
+    def read(self, state) -> list:
+        return list(state.get()[0] or ()) if state.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        waiting = self.read(self.waiting)
+        for df in rows:
+            waiting += [pickle.dumps(r) for r in df.itertuples(index=False, name=None)]
+        self.waiting.update((waiting,))
+        self.schedule([pickle.loads(r) for r in waiting], self.read(self.passed))
+        return iter(())
+
+    def schedule(self, waiting: list[tuple], passed: list[float]) -> None:
+        at = self.schema.fieldNames().index("at")
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if waiting:
+            self.handle.registerTimer(int(min(r[at] for r in waiting) * 1000))
+        elif passed:
+            self.handle.registerTimer(int((passed[-1] + self.window) * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        at, names = self.schema.fieldNames().index("at"), self.schema.fieldNames()
+        waiting, passed = [pickle.loads(r) for r in self.read(self.waiting)], deque(self.read(self.passed))
+        rest = [i for i, n in enumerate(names) if n not in ("key", "at")]
+        due = sorted((r for r in waiting if r[at] <= now), key=lambda r: (r[at], [str(r[i]) for i in rest]))
+        answers = [step(passed, r[at], self.limit, self.window) for r in due]
+        waiting = [r for r in waiting if r[at] > now]
+        while passed and passed[0] <= now - self.window:
+            passed.popleft()
+        for state, values in ((self.waiting, [pickle.dumps(r) for r in waiting]), (self.passed, list(passed))):
+            if values:
+                state.update((values,))
+            elif state.exists():
+                state.clear()
+        self.schedule(waiting, list(passed))
+        if due:
+            out = pd.DataFrame(due, columns=names)
+            yield out.assign(allowed=[x for x, _ in answers], retry_after=[float(y) for _, y in answers])
+
+    def close(self) -> None:
+        pass
+
+
+def admit_stream(hits: DataFrame, limit: int, window: float, ts: str = "ts", delay: str = "10 seconds") -> DataFrame:
+    """admit() for a stream: hits (key, at, a timestamp ts of the same time, ...) with allowed and retry_after, each sent on
+    when the watermark has passed it. Those that come later than `delay` after newer ones are refused by the watermark.
+
+    State lasts as long as something of it can still matter, then the key is forgotten. A restart from the checkpoint goes
+    on where it ended. Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass). Hits without key, time
+    or ts are left out."""
+    sound = hits.where(F.col("key").isNotNull() & F.col("at").isNotNull() & ~F.isnan("at") & F.col(ts).isNotNull()).withWatermark(ts, delay)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
+    late = sound.groupBy("key")
+    return late.transformWithStateInPandas(Admission(limit, window, hits.schema), f"{kinds}, {ADDED}", "Append", "EventTime")
