@@ -165,3 +165,19 @@ def override(base: Column, over: Column) -> Column:
 def age_days(stamped: Column, today: Column) -> Column:
     """Days since an ISO date; null where it is none."""
     return F.datediff(today, stamped.try_cast("date"))
+
+
+def json_in(text: Column) -> Column:
+    """The JSON object in a text, as a variant: from the first brace to the last. Null where there is none or it is broken.
+
+    Spark's parser stops after the first value; inside brackets it has to read on, and a second value is seen."""
+    found = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    whole = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]")))
+    return F.when(F.try_variant_get(whole, "$[1]", "variant").isNull(), F.try_variant_get(whole, "$[0]", "variant"))
+
+
+def verdict_in(text: Column, verdicts: tuple[str, ...]) -> Column:
+    """struct<verdict, rationale> that an answer in prose gives as JSON; null where it gives none of the verdicts."""
+    part = lambda name: F.trim(F.coalesce(F.try_variant_get(json_in(text), f"$.{name}", "string"), F.lit("")))
+    said = F.lower(part("verdict"))
+    return F.when(said.isin(*verdicts), F.struct(said.alias("verdict"), part("rationale").alias("rationale")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions.text import verdict_in
 from .registry import Tables, query
 
 SENTENCES = (
@@ -154,3 +155,20 @@ def claim_numbers(t):
 def claim_mask(t):
     terms = F.array(*map(F.lit, ("pair", "hyperkalemia", "severity", "serotonin syndrome")))
     return said(t).select("doc_id", lx.mask(F.col("t"), terms).alias("masked"))
+
+
+ANSWERS = ("", '{"verdict": " Supported ", "rationale": "see {this} "}', '{"verdict": "maybe", "rationale": "x"}', '{"verdict": supported}', '{"a": {"b": 1}, "verdict": "contradicted"}')
+
+
+@query(f"""
+WITH a AS (SELECT doc_id, text[:length(text) // 2] || s[CAST(doc_id % {len(ANSWERS)} AS INT) + 1] || text[length(text) // 2 + 1:] AS t FROM documents, (SELECT [{', '.join(map(quoted, ANSWERS))}] AS s)),
+j AS (SELECT doc_id, regexp_extract(t, '(?s)\\{{.*\\}}') AS j FROM a), k AS (SELECT doc_id, CASE WHEN json_valid(j) THEN j END AS j FROM j WHERE j <> ''),
+v AS (SELECT doc_id, lower(trim(j ->> '$.verdict')) AS verdict, trim(coalesce(j ->> '$.rationale', '')) AS rationale FROM k WHERE j IS NOT NULL)
+SELECT * FROM v WHERE verdict IN ('supported', 'unsupported', 'contradicted')
+""")
+def prose_verdicts(t):
+    """Verdicts out of answers in prose: documents with a JSON object in their middle, sound or not, as the key says."""
+    half = (F.char_length("text") / 2).cast("int")
+    answer = F.get(F.array(*map(F.lit, ANSWERS)), F.pmod("doc_id", F.lit(len(ANSWERS))).cast("int"))
+    rows = t.documents.select("doc_id", F.concat(F.substring("text", F.lit(1), half), answer, F.expr("substring(text, int(char_length(text) / 2) + 1)")).alias("t"))
+    return rows.select("doc_id", verdict_in(F.col("t"), ("supported", "unsupported", "contradicted")).alias("v")).where("v IS NOT NULL").select("doc_id", "v.*")
