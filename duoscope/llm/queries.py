@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, chunks, fmindex, jaccard, langid, pii, sharding, suffixes, tiff, vectorcodes, warc, whitening
-from .common import Scratch
+from .common import Scratch, release
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -234,3 +234,5 @@ s AS (SELECT *, CAST(16 * before // total AS INT) AS shard FROM b)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST) - 1 AS slot, CAST(NULL AS INT) AS grown_shard FROM s
 """,
 }
+
+__all__ = ["QUERIES", "SQL", "release"]
