@@ -92,10 +92,24 @@ def canonical(df: DataFrame, by_name: DataFrame, by_id: DataFrame | None = None)
     return df
 
 
+def said_names(df: DataFrame, sides: tuple[tuple[str, str], ...] = (("drug_a_name", "a"), ("drug_b_name", "b"))) -> DataFrame:
+    """(name, canonical, n): each cleaned name of the sides (its column, that of its canonical name). canonical is null where a row
+    has none for the name, and n then counts those rows, one for each side; else n is 0. Null names count as none."""
+    side = F.explode(F.array(*[F.struct(clean(F.col(x)).alias("name"), F.col(y).alias("canonical")) for x, y in sides]))
+    each = df.select(side.alias("s")).select("s.*").where("name IS NOT NULL").groupBy("name").agg(F.max("canonical").alias("canonical"), F.count_if(F.col("canonical").isNull()).alias("n"))
+    return each.withColumn("canonical", F.when(F.col("n") == 0, F.col("canonical")))
+
+
 def unmatched_sides(df: DataFrame) -> DataFrame:
     """name and rows_affected of the names that no canonical name was found for; a row counts once for each side."""
-    sides = F.filter(F.array(*[F.when(F.col(s).isNull(), clean(F.col(f"drug_{s}_name"))) for s in ("a", "b")]), lambda x: x.isNotNull())
-    return df.select(F.explode(sides).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("rows_affected")).orderBy(F.desc("rows_affected"), "name")
+    return said_names(df).where("n > 0").select("name", F.col("n").alias("rows_affected")).orderBy(F.desc("rows_affected"), "name")
+
+
+def above(raw: DataFrame, excluded: list[str], least_prr: float = 2.0, least_reports: int = 5) -> DataFrame:
+    """The rows of a raw statistical table that its thresholds and excluded events let pass, under the names of interactions."""
+    rows = tolerant(raw, STATISTICAL)
+    score, n = F.coalesce(number(F.col("prr")), F.lit(0.0)), F.coalesce(number(F.col("reports")), F.lit(0.0)).cast("bigint")
+    return rows.where((score >= least_prr) & (n >= least_reports) & ~F.coalesce(clean(F.col("condition_name")).isin(excluded), F.lit(False)))
 
 
 def statistical(raw: DataFrame, by_name: DataFrame, by_id: DataFrame, excluded: list[str], least_prr: float = 2.0, least_reports: int = 5, k: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -155,23 +169,33 @@ def synonyms(raw: DataFrame, column: str) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(raw[column], F.lit("")), r"\|"), clean), lambda x: x != "")
 
 
-def vocabulary(concepts: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def leads(concepts: DataFrame, relations: DataFrame, salts: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(RXCUI, parts): the sorted names of the ingredients that each concept leads to in one step, an ingredient to itself; and
+    the ingredients themselves (target, called, generic). salts: names of ingredients that go under another name."""
+    live = concepts.where("LAT = 'ENG' AND SUPPRESS NOT IN ('Y', 'O') AND SAB = 'RXNORM' AND TTY = 'IN'")
+    ingredient = live.groupBy(F.col("RXCUI").alias("target")).agg(F.max(clean(F.col("STR"))).alias("called")).withColumn("generic", F.col("called"))
+    if salts:
+        ingredient = ingredient.replace(salts, subset=["generic"])
+    steps = relations.where("SAB = 'RXNORM' AND RELA IN ('has_form', 'has_tradename', 'part_of')").select(F.col("RXCUI1").alias("RXCUI"), F.col("RXCUI2").alias("target"))
+    own = ingredient.select(F.col("target").alias("RXCUI"), "target")
+    found = steps.join(own.select("RXCUI"), "RXCUI", "left_anti").unionByName(own).join(ingredient, "target")
+    return found.groupBy("RXCUI").agg(F.sort_array(F.collect_set("generic")).alias("parts")), ingredient
+
+
+def vocabulary(concepts: DataFrame, relations: DataFrame, salts: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Aliases (name_lower, generic_name, rxcui, kind) and combinations (name_lower, ingredients) of a terminology.
 
     concepts: RXCUI, LAT, SAB, TTY, CODE, STR, SUPPRESS; relations: RXCUI1, RXCUI2, RELA, SAB. A name stands for the set of
-    ingredients that its concept leads to in one step; one that stands for several sets is left out.
+    ingredients that its concept leads to in one step; one that stands for several sets is left out. Ingredients in salts go
+    under the name given there, with that name's own id where it is an ingredient, else the smallest of theirs.
     """
     live = concepts.where("LAT = 'ENG' AND SUPPRESS NOT IN ('Y', 'O') AND SAB IN ('RXNORM', 'MTHSPL')")
-    ingredient = live.where("SAB = 'RXNORM' AND TTY = 'IN'").groupBy(F.col("RXCUI").alias("target")).agg(F.max(clean(F.col("STR"))).alias("generic"))
-    steps = relations.where("SAB = 'RXNORM' AND RELA IN ('has_form', 'has_tradename', 'part_of')").select(F.col("RXCUI1").alias("RXCUI"), F.col("RXCUI2").alias("target"))
-    own = ingredient.select(F.col("target").alias("RXCUI"), "target")
-    leads = steps.join(own.select("RXCUI"), "RXCUI", "left_anti").unionByName(own).join(ingredient, "target").groupBy("RXCUI").agg(F.sort_array(F.collect_set("generic")).alias("parts"))
-    atoms = live.where("(SAB = 'RXNORM' AND TTY IN ('IN', 'PIN', 'BN', 'MIN', 'SY', 'TMSY')) OR (SAB = 'MTHSPL' AND TTY = 'SU')").join(leads, "RXCUI")
+    led, ingredient = leads(concepts, relations, salts)
+    atoms = live.where("(SAB = 'RXNORM' AND TTY IN ('IN', 'PIN', 'BN', 'MIN', 'SY', 'TMSY')) OR (SAB = 'MTHSPL' AND TTY = 'SU')").join(led, "RXCUI")
     named = atoms.groupBy(clean(F.col("STR")).alias("name_lower")).agg(F.collect_set("parts").alias("sets"), F.min(F.concat_ws(":", "SAB", "TTY")).alias("kind")).where(F.size("sets") == 1).withColumn("parts", F.col("sets")[0])
-    ids = ingredient.groupBy(F.col("generic").alias("generic_name")).agg(F.min("target").alias("rxcui"))
-    one = named.where(F.size("parts") == 1).select("name_lower", F.col("parts")[0].alias("generic_name"), "kind").join(ids, "generic_name", "left")
-    itself = ids.select(F.col("generic_name").alias("name_lower"), "generic_name", F.lit("RXNORM:IN").alias("kind"), "rxcui")
+    itself_called = F.col("called") == F.col("generic")
+    ids = ingredient.groupBy(F.col("generic").alias("generic_name")).agg(F.coalesce(F.min(F.when(itself_called, F.col("target"))), F.min("target")).alias("rxcui"), F.some(itself_called).alias("_own"))
+    one = named.where(F.size("parts") == 1).select("name_lower", F.col("parts")[0].alias("generic_name"), "kind").join(ids.drop("_own"), "generic_name", "left")
+    itself = ids.select(F.col("generic_name").alias("name_lower"), "generic_name", F.when(F.col("_own"), "RXNORM:IN").otherwise("SALT_GROUP").alias("kind"), "rxcui")
     aliases = one.join(itself.select("name_lower"), "name_lower", "left_anti").select(itself.columns).unionByName(itself).select("name_lower", "generic_name", "rxcui", "kind")
     return aliases, named.where(F.size("parts") > 1).select("name_lower", F.array_join("parts", " + ").alias("ingredients"))
-
-
