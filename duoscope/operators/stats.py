@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rate, severity_rank
+from ..sources.scratch import kept
+from .names import dimension
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, labels: list[str]) -> DataFrame:
@@ -215,3 +217,31 @@ def reference_rates(found: DataFrame) -> DataFrame:
     n = {"positives": positive, "controls": F.col("expected") == "none", "detected": hit, "listed": positive & (F.col("outcome") == "LISTED_UNGRADED"), "under_triaged": under, "silent": F.col("outcome") == "SILENT"}
     sums = found.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in n.items()])
     return sums.withColumns({"recall_graded": rate(F.col("detected"), F.col("positives")), "recall_listed": rate(F.col("detected") + F.col("listed"), F.col("positives")), "under_triage_rate": rate(F.col("under_triaged"), F.col("detected"))})
+
+
+def exact_sample(df: DataFrame, key: list[str], seed: str, by: list[str] | None = None, n: int | None = None, fraction: float | None = None) -> DataFrame:
+    """Exactly n rows of each group, or round(fraction * its rows) (half to even, one at least), with their place from 1 on.
+
+    The rows are those with the smallest MD5 of seed and key, so neither partitions nor other groups change them; key should
+    tell rows apart (equal ones come in any order). No group is sorted as a whole: its rows are counted by the first four
+    digits of the hash, what lies beyond the digits that reach the number goes before any shuffle, and places are ranks
+    within equal digits behind the counts before them. Groups may be null; a group with fewer than n rows is taken whole.
+    """
+    if (n is None) == (fraction is None):
+        raise ValueError("give n or fraction")
+    by = by or []
+    group = {f"_g{i}": F.col(c) for i, c in enumerate(by)}
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
+    rows = df.withColumns({**group, "_h": hashed}).withColumn("_b", F.substring("_h", 1, 4))
+    counted = rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    over = Window.partitionBy(*group)
+    sums = counted.withColumns({"_before": F.coalesce(F.sum("_n").over(over.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_n").over(over)})
+    wanted = F.lit(n).cast("bigint") if n is not None else F.greatest(F.lit(1), F.bround(F.lit(float(fraction)) * F.col("_all"))).cast("bigint")
+    sums = kept(sums.withColumn("_k", wanted).where("_before < _k").drop("_n", "_all"), "sample")
+    last = sums.groupBy(*group, "_k").agg(F.max("_b").alias("_last")).select(*[F.col(g).alias(f"{g}x") for g in group], "_k", "_last")
+    same = [F.col(g).eqNullSafe(F.col(f"{g}x")) for g in group]
+    near = rows.join(dimension(last), reduce(lambda x, y: x & y, same, F.col("_b") <= F.col("_last"))).drop("_last", *[f"{g}x" for g in group])
+    before = sums.select(*[F.col(g).alias(f"{g}x") for g in group], F.col("_b").alias("_bx"), "_before")
+    near = near.join(before, reduce(lambda x, y: x & y, same, F.col("_b") == F.col("_bx")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", *key))
+    return near.withColumn("place", place.cast("bigint")).where("place <= _k").select(*df.columns, "place")
