@@ -95,7 +95,7 @@ def canonical(df: DataFrame, by_name: DataFrame, by_id: DataFrame | None = None)
 def said_names(df: DataFrame, sides: tuple[tuple[str, str], ...] = (("drug_a_name", "a"), ("drug_b_name", "b"))) -> DataFrame:
     """(name, canonical, n): each cleaned name of the sides (its column, that of its canonical name). canonical is null where a row
     has none for the name, and n then counts those rows, one for each side; else n is 0. Null names count as none."""
-    side = F.explode(F.array(*[F.struct(clean(F.col(x)).alias("name"), F.col(y).alias("canonical")) for x, y in sides]))
+    side = F.explode(F.array(*[F.struct(F.when(F.col(x).isNotNull(), clean(F.col(x))).alias("name"), F.col(y).alias("canonical")) for x, y in sides]))
     each = df.select(side.alias("s")).select("s.*").where("name IS NOT NULL").groupBy("name").agg(F.max("canonical").alias("canonical"), F.count_if(F.col("canonical").isNull()).alias("n"))
     return each.withColumn("canonical", F.when(F.col("n") == 0, F.col("canonical")))
 
