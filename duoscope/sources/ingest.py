@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean
 from ..operators import names, pairs
 from ..operators.stats import union_all
-from . import provenance, readers
+from . import archives, provenance, readers
 from . import vocabulary as voc
 from .tables import first_match, read_table, table_exists, write_table
 
@@ -90,7 +90,7 @@ def terminology(spark: SparkSession, raw: str) -> tuple[DataFrame, DataFrame]:
     """Concepts and relations of rxnorm/*.zip, else of rxnorm/rrf."""
     packed = first_match(spark, raw, "rxnorm/*.zip")
     if packed:
-        lines = {f: readers.archived(spark, packed, rf"(.*/)?{f}\.RRF") for f in ("RXNCONSO", "RXNREL")}
+        lines = {f: archives.lines(spark, packed, rf"(.*/)?{f}\.RRF") for f in ("RXNCONSO", "RXNREL")}
         return tuple(readers.fields(lines[f], "|", [*columns, "_end"]).drop("_end") for f, columns in (("RXNCONSO", CONCEPTS), ("RXNREL", RELATIONS)))
     concepts, relations = (first_match(spark, raw, f"rxnorm/rrf/{f}.RRF") for f in ("RXNCONSO", "RXNREL"))
     if not concepts or not relations:
@@ -170,7 +170,7 @@ def ingest_full(spark: SparkSession, raw: str, out: str, research: bool = False,
         path = first_match(spark, raw, "twosides/TWOSIDES.csv.xz", "twosides/TWOSIDES.csv.gz", "twosides/TWOSIDES.csv")
         if not path:
             raise FileNotFoundError(f"research needs the statistical file in {raw}/twosides")
-        table = readers.fields(readers.archived(spark, path), ",") if path.endswith(".xz") else readers.delimited(spark, path)
+        table = readers.fields(archives.lines(spark, path), ",") if path.endswith(".xz") else readers.delimited(spark, path)
         rows, rejects = readers.statistical(table, by_name, by_id, list(excluded))
         rows = kept(spark, rows, out, "statistical")
         interactions.append(rows)

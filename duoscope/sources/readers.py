@@ -74,10 +74,11 @@ def archived(spark: SparkSession, path: str, member: str = ".*", encoding: str =
 
 
 def fields(lines: DataFrame, sep: str, columns: list[str] | None = None) -> DataFrame:
-    """Columns of lines (file, line, value) without quoting; without columns, each file's first line names them (they must agree)."""
+    """Columns of lines (file, line or offset, value) without quoting; without columns, each file's first line names them (they must agree)."""
     if columns is None:
-        columns = lines.where("line = 0").orderBy("file").first()["value"].split(sep)
-        lines = lines.where("line > 0")
+        first = F.col("offset" if "offset" in lines.columns else "line") == 0
+        columns = lines.where(first).orderBy("file").first()["value"].split(sep)
+        lines = lines.where(~first)
     parts = F.split("value", "\\Q" + sep + "\\E", -1)
     return lines.select([F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(columns)])
 

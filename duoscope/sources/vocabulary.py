@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean
 from ..operators import names
-from . import readers
+from . import archives, readers
 
 #: Columns of a vocabulary, in order.
 COLUMNS = ("name_lower", "generic_name", "rxcui", "drugbank_id", "kind")
@@ -131,7 +131,7 @@ def merge_synonyms(aliases: DataFrame, entries: DataFrame, links: DataFrame) ->
 def products_file(spark: SparkSession, path: str, member: str = "Products.txt") -> DataFrame:
     """drug_name and active_ingredient of the products in a zip, or in a text file of the same form; rows without a name go."""
     columns = ["DrugName", "ActiveIngredient"]
-    table = readers.fields(readers.archived(spark, path, member, "latin-1"), "\t") if path.endswith(".zip") else readers.delimited(spark, path, "\t", quoted=False, encoding="ISO-8859-1")
+    table = readers.fields(archives.lines(spark, path, member, "latin-1"), "\t") if path.endswith(".zip") else readers.delimited(spark, path, "\t", quoted=False, encoding="ISO-8859-1")
     return table.select(*[F.coalesce(F.trim(c), F.lit("")).alias(n) for c, n in zip(columns, ("drug_name", "active_ingredient"))]).where("drug_name <> ''")
 
 
