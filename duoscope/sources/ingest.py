@@ -7,6 +7,8 @@ and source, with the names that no vocabulary knows beside the tables (unmatched
 
 from __future__ import annotations
 
+import datetime
+import json
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +19,15 @@ from ..operators import names, pairs
 from ..operators.stats import union_all
 from . import archives, provenance, readers
 from . import vocabulary as voc
+from .tables import _there as table_there
 from .tables import first_match, read_table, table_exists, write_table
 
 # Fields of the published files, in order.
 CONCEPTS = ["RXCUI", "LAT", "TS", "LUI", "STT", "SUI", "ISPREF", "RXAUI", "SAUI", "SCUI", "SDUI", "SAB", "TTY", "CODE", "STR", "SRL", "SUPPRESS", "CVF"]
 RELATIONS = ["RXCUI1", "RXAUI1", "STYPE1", "REL", "RXCUI2", "RXAUI2", "STYPE2", "RELA", "RUI", "SRUI", "SAB", "SL", "DIR", "RG", "SUPPRESS", "CVF"]
 EFFECTS = ["flat", "stitch", "label_cui", "kind", "cui", "term"]
+#: Where the products with brand names are.
+PRODUCTS = ("drugsatfda/*.zip", "drugsatfda/Products.txt")
 #: Columns that belong to one side of a pair.
 SIDES = (("drug_a_rxcui", "drug_b_rxcui"),)
 
@@ -83,7 +88,16 @@ def ingest_sample(spark: SparkSession, folder: str, out: str) -> DataFrame:
         tables["side_effects"] = kept(spark, names.map_or_keep(there["side_effects"], "drug_name", aliases, "drug_name"), out, "side_effects")
     if not tables:
         raise FileNotFoundError(f"no table of a sample in {folder}")
-    return checked(spark, tables, aliases, out)
+    report = checked(spark, tables, aliases, out)
+    provenance.write(spark, out, report, "sample")
+    return report
+
+
+def said_of(spark: SparkSession, raw: str) -> dict[str, dict]:
+    """What MANIFEST.json says of each source (title, version, license, homepage, files); nothing where there is none."""
+    if not table_there(spark, f"{raw}/MANIFEST.json"):
+        return {}
+    return json.loads(spark.read.text(f"{raw}/MANIFEST.json", wholetext=True).first()["value"])
 
 
 def terminology(spark: SparkSession, raw: str) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +136,7 @@ def vocabularies(spark: SparkSession, raw: str, out: str, synonyms: str | None,
         aliases, outcomes = voc.merge_synonyms(aliases, voc.synonym_file(spark, synonyms), voc.unii_links(concepts, led))
         counts.append(measured(outcomes, "synonyms_"))
     aliases = with_itself(aliases)
-    products = first_match(spark, raw, "drugsatfda/*.zip", "drugsatfda/Products.txt")
+    products = first_match(spark, raw, *PRODUCTS)
     if products:
         aliases = kept(spark, aliases, out, "vocabulary_before_brands")
         outcomes = kept(spark, voc.brand_outcomes(voc.products_file(spark, products), aliases, combinations), out, "brand_outcomes")
@@ -158,6 +172,7 @@ def ingest_full(spark: SparkSession, raw: str, out: str, research: bool = False,
     aliases = names.dimension(alias_table(vocabulary.sources))
     by_name, by_id = aliases.withColumnRenamed("alias", "key"), vocabulary.by_id
     covered = []
+    used = ["rxnorm", *["drugbank"] * bool(synonyms), *["drugsatfda"] * bool(first_match(spark, raw, *PRODUCTS)), *["ddinter"] * bool(first_match(spark, raw, "ddinter/*.csv")), "sider", *["twosides"] * research]
     interactions = []
     if first_match(spark, raw, "ddinter/*.csv"):
         rows = kept(spark, readers.canonical(readers.curated(readers.delimited(spark, f"{raw}/ddinter/*.csv")), by_name), out, "curated_rows")
@@ -193,6 +208,12 @@ def ingest_full(spark: SparkSession, raw: str, out: str, research: bool = False,
         rows = rows.where("canonical IS NOT NULL").select(F.col("canonical").alias("drug_name"), "side_effect_name", "umls_cui", "source", "record_id")
         tables["side_effects"] = kept(spark, pairs.best_rows(rows, ["drug_name", "side_effect_name"], [F.col("record_id")]), out, "side_effects")
         covered.append(("sider", said, rows_in, tables["side_effects"].count()))
+    sources = {k: said_of(spark, raw).get(k, {}) for k in used}
     if covered:
-        kept(spark, union_all([voc.coverage(said, n, left).withColumn("source", F.lit(source)) for source, said, n, left in covered]), out, "coverage")
-    return checked(spark, tables, aliases, out)
+        found = kept(spark, union_all([voc.coverage(said, n, left).withColumn("source", F.lit(source)) for source, said, n, left in covered]), out, "coverage")
+        for r in found.collect():
+            sources[r.source] |= {k: v for k, v in r.asDict(recursive=True).items() if k != "source"}
+    report = checked(spark, tables, aliases, out)
+    version = sources["rxnorm"].get("version")
+    provenance.write(spark, out, report, "full", profile="research" if research else "public", sources=sources, source_order=used, vocabulary_version=version, not_for_redistribution=research, built_at=datetime.date.today().isoformat())
+    return report
