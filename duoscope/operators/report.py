@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, severity_rank
+from ..functions.text import clean, severity_rank, squeeze
 
 TITLE = "# Interaction report"
 HEADINGS = {0: "## Summary", 1: "## Major findings", 2: "## Moderate findings", 3: "## Minor findings", 4: "## Listed without a severity grade", 5: "## Statistical reporting signals (not graded)", 6: "## No curated data"}
@@ -76,6 +76,58 @@ def entries(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("status", status).withColumns({"line": line, "first": known & (F.row_number().over(same.orderBy("place")) == 1), "entered": F.when(known, F.count(F.lit(1)).over(same))})
 
 
+# What is said of an alias by its kind, of an entry that nothing knows, and of one entered twice; the lines must agree.
+HOW = {
+    "RXNORM:BN": "brand name",
+    "DRUGSATFDA:BRAND": "brand name, Drugs@FDA",
+    "DRUGBANK": "synonym, DrugBank",
+    "RXNORM:PIN": "RxNorm ingredient",
+    "RXNORM:MIN": "RxNorm ingredient",
+    "MTHSPL:SU": "FDA substance name",
+    "RXNORM:SY": "synonym",
+    "RXNORM:TMSY": "synonym",
+    "REVIEWED_ALIAS": "international or older name",
+    "RXNORM:IN": "same active moiety",
+    "SALT_GROUP": "same active moiety",
+    "REVIEWED_BRAND_OVERRIDE": "brand name, reviewed",
+}
+UNKNOWN = "not found: check the spelling or enter the generic name; discontinued brands and non-US names may not be recognized"
+TWICE = ("**Same drug entered more than once:** ", " (possible duplicate therapy). It is analysed once.")
+
+
+def entry_lines(resolved: DataFrame) -> DataFrame:
+    """resolved (request, place, query, method, canonical, kind of the alias, note) with status, how (what sort of alias it was; null
+    where the entry is the name itself, or is no known name) and line, as a report's top shows it.
+
+    A spelling match is always to be checked. Combinations and ambiguous entries are not analysed, for the reason in the note;
+    of others without a name the note is shown, else what to do. A null query is empty.
+    """
+    c, given = F.col, F.trim(F.coalesce("query", F.lit("")))
+    known = c("canonical").isNotNull() & (c("canonical") != "")
+    status = F.when(known, F.when(c("method") == "fuzzy", "spelling_match").otherwise("recognized")).when(c("method").isin("combination", "ambiguous"), c("method")).otherwise("unresolved")
+    labels = F.create_map(*[F.lit(x) for kv in HOW.items() for x in kv])
+    itself = squeeze(clean(given)) == F.lower("canonical")
+    how = F.when((c("status") == "recognized") & ~itself, F.coalesce(F.try_element_at(labels, F.coalesce("kind", F.lit(""))), F.lit("alias")))
+    note = F.coalesce(F.nullif("note", F.lit("")), F.lit(UNKNOWN))
+    said = (
+        F.when(c("status") == "spelling_match", F.concat("canonical", F.lit(" (spelling match: check this)")))
+        .when(c("status") == "recognized", F.concat("canonical", F.coalesce(F.concat(F.lit(" ("), "how", F.lit(")")), F.lit(""))))
+        .when(c("status") != "unresolved", F.concat(F.lit("not analysed: "), F.coalesce("note", F.lit(""))))
+        .otherwise(F.when(note.startswith("not found"), note).otherwise(F.concat(F.lit("not recognized: "), note)))
+    )
+    return resolved.withColumn("status", status).withColumn("how", how).withColumn("line", F.concat(given, F.lit(" \u2192 "), said))
+
+
+def entry_notices(lines: DataFrame) -> DataFrame:
+    """request, canonical, inputs and text for each name that several entries of a request mean, the entries by place, then by text."""
+    known = lines.where("status IN ('recognized', 'spelling_match')")
+    inputs = F.transform(F.array_sort(F.collect_list(F.struct("place", F.trim("query").alias("q")))), lambda x: x["q"])
+    found = known.groupBy("request", "canonical").agg(inputs.alias("inputs")).where("size(inputs) > 1")
+    two, last = F.size("inputs") == 2, F.element_at("inputs", -1)
+    listed = F.concat(F.array_join(F.slice("inputs", F.lit(1), F.size("inputs") - 1), ", "), F.lit(" and "), last)
+    return found.withColumn("text", F.concat(F.lit(TWICE[0]), listed, F.when(two, " both mean ").otherwise(" all mean "), "canonical", F.lit(TWICE[1])))
+
+
 def count_line() -> Column:
     """The counts of a gathered row as one sentence."""
     n = tally()

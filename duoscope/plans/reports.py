@@ -287,6 +287,43 @@ def dedupe_entries(t):
     return report.entries(rows).select(F.col("request").alias("conv_id"), F.col("place").alias("turn"), F.col("query").alias("role"), "first", "entered")
 
 
+ENTERED = """
+e AS (SELECT l_orderkey AS request, l_linenumber AS place, CASE p_size % 3 WHEN 0 THEN '  ' || p_brand || '#' || (p_partkey % 3) || ' ' WHEN 1 THEN upper(p_brand) ELSE p_brand || '  x' END AS query, p_size % 9 AS m, lower(p_brand) AS name,
+  ['RXNORM:BN', 'DRUGSATFDA:BRAND', 'DRUGBANK', 'RXNORM:PIN', 'RXNORM:MIN', 'MTHSPL:SU', 'RXNORM:SY', 'RXNORM:TMSY', 'REVIEWED_ALIAS', 'RXNORM:IN', 'SALT_GROUP', 'REVIEWED_BRAND_OVERRIDE', 'x'][CAST(p_partkey % 14 AS INT) + 1] AS kind FROM lineitem JOIN part ON l_partkey = p_partkey),
+l AS (SELECT request, place, trim(query) AS query, name, m, CASE WHEN m = 0 THEN 'unresolved' WHEN m = 1 THEN 'combination' WHEN m = 2 THEN 'ambiguous' WHEN m = 3 THEN 'spelling_match' WHEN m = 4 THEN 'unresolved' ELSE 'recognized' END AS status,
+  CASE WHEN m > 4 AND regexp_replace(lower(trim(query)), ' +', ' ', 'g') <> name THEN coalesce(map {'RXNORM:BN': 'brand name', 'DRUGSATFDA:BRAND': 'brand name, Drugs@FDA', 'DRUGBANK': 'synonym, DrugBank', 'RXNORM:PIN': 'RxNorm ingredient', 'RXNORM:MIN': 'RxNorm ingredient', 'MTHSPL:SU': 'FDA substance name',
+    'RXNORM:SY': 'synonym', 'RXNORM:TMSY': 'synonym', 'REVIEWED_ALIAS': 'international or older name', 'RXNORM:IN': 'same active moiety', 'SALT_GROUP': 'same active moiety', 'REVIEWED_BRAND_OVERRIDE': 'brand name, reviewed'}[kind], 'alias') END AS how FROM e)
+"""
+
+
+def entered(t: Tables):
+    """Entries out of order lines: brands, some with a number or a word after them, read in each of the ways there are."""
+    k, m = F.col("p_partkey"), F.col("p_size") % 9
+    kinds = F.array(*map(F.lit, [*report.HOW, "x"]))
+    query = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("  "), "p_brand", F.lit("#"), k % 3, F.lit(" "))).when(F.col("p_size") % 3 == 1, F.upper("p_brand")).otherwise(F.concat("p_brand", F.lit("  x")))
+    method = F.when(m == 1, "combination").when(m == 2, "ambiguous").when(m == 3, "fuzzy").when(m > 4, "exact").otherwise("unresolved")
+    note = F.when(m == 1, "combination product: a; enter them separately").when(m == 2, "ambiguous name; enter the specific drug").when(m == 4, "empty input")
+    part = t.part.select("p_partkey", query.alias("query"), method.alias("method"), F.when((m == 3) | (m > 4), F.lower("p_brand")).alias("canonical"), F.get(kinds, (k % 14).cast("int")).alias("kind"), note.alias("note"))
+    rows = t.lineitem.select(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("place"), F.col("l_partkey").alias("p_partkey")).join(part, "p_partkey")
+    return report.entry_lines(rows.drop("p_partkey"))
+
+
+@query(f"""
+WITH {ENTERED} SELECT request, place, status, how, query || ' \u2192 ' || CASE status WHEN 'spelling_match' THEN name || ' (spelling match: check this)' WHEN 'recognized' THEN name || coalesce(' (' || how || ')', '') WHEN 'combination' THEN 'not analysed: combination product: a; enter them separately'
+  WHEN 'ambiguous' THEN 'not analysed: ambiguous name; enter the specific drug' ELSE CASE WHEN m = 4 THEN 'not recognized: empty input' ELSE 'not found: check the spelling or enter the generic name; discontinued brands and non-US names may not be recognized' END END AS line FROM l
+""")
+def entry_lines(t):
+    return entered(t).select("request", "place", "status", "how", "line")
+
+
+@query(f"""
+WITH {ENTERED}, g AS (SELECT request, name, list(query ORDER BY place, query) AS q FROM l WHERE status IN ('recognized', 'spelling_match') GROUP BY ALL HAVING count(*) > 1)
+SELECT request, name, '**Same drug entered more than once:** ' || array_to_string(q[:-2], ', ') || ' and ' || q[-1] || CASE WHEN len(q) = 2 THEN ' both mean ' ELSE ' all mean ' END || name || ' (possible duplicate therapy). It is analysed once.' AS text FROM g
+""")
+def entry_notices(t):
+    return report.entry_notices(entered(t)).select("request", F.col("canonical").alias("name"), "text")
+
+
 @query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events")
 def trailing_window(t):
     w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("double")).rangeBetween(-3600, 0)
