@@ -38,13 +38,13 @@ def settle(claims: DataFrame, answers: DataFrame, key: str = "claim_id") -> Data
     A claim that cites no record but missing ones is unsupported without a call. An answer without a valid verdict, or none,
     is invalid, with its beginning as the rationale. A claim that also cites a missing record is not supported.
     """
-    rows = claims.select(key, "records", "missing").join(answers.select(key, "answer"), key, "left")
-    rows = rows.withColumn("v", verdict_in(F.col("answer"), VERDICTS))
+    said = answers.select(key, verdict_in(F.col("answer"), VERDICTS).alias("v"), F.substring("answer", 1, 200).alias("head"))  # no long answer is shuffled
+    rows = claims.select(key, "records", "missing").join(said, key, "left")
     alone, partly = (F.size("missing") > 0) & (F.size("records") == 0), (F.size("missing") > 0) & (F.col("v.verdict") == "supported")
     listed = F.array_join("missing", ", ")
     verdict = F.when(alone, "unsupported").when(F.col("v").isNull(), "invalid").when(partly, "unsupported").otherwise(F.col("v.verdict"))
     why = F.coalesce("v.rationale", F.lit(""))
-    rationale = F.when(alone, F.concat(F.lit("cites no record in the evidence: "), listed)).when(F.col("v").isNull(), F.substring(F.coalesce("answer", F.lit("")), 1, 200))
+    rationale = F.when(alone, F.concat(F.lit("cites no record in the evidence: "), listed)).when(F.col("v").isNull(), F.coalesce("head", F.lit("")))
     rationale = rationale.when(partly, F.concat(why, F.lit(" (also cites "), listed, F.lit(", which is not in the evidence)"))).otherwise(why)
     return rows.select(key, verdict.alias("verdict"), rationale.alias("rationale"), (~alone).alias("called"))
 
