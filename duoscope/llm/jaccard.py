@@ -261,6 +261,11 @@ def linked_column(a: str, b: str, k: int, percent: int) -> Column:
     return linked(F.col(a), F.col(b))
 
 
+def set_name(turn: int) -> Column:
+    """The 64-bit name of the set with fingerprint h1, h2; each turn gives other names."""
+    return F.xxhash64("h1", "h2", F.lit(turn)) if turn else F.xxhash64("h1", "h2")
+
+
 class Join:
     """The steps of one join; every table between them is written out."""
 
@@ -278,6 +283,27 @@ class Join:
         made = self.rows.select("doc", "key", "text").mapInArrow(lambda it: features_rows(it, k, percent, *heavy.value), "doc bigint, key bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, parity array<bigint>")
         return self.scratch.keep(made, "features")
 
+    def named(self, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """features with sid, the name of each row's set (null without words), and one row for each set.
+
+        A name has 64 bits, a set's fingerprint 128. Some names of very many sets are shared: the sets of such a name all
+        get new ones, until no two sets have one name. There are some n^2 / 2^65 of them among n sets.
+        """
+        features = features.withColumn("sid", F.when(F.col("n") > 0, set_name(0)))
+        edges = [f(c).alias(f"{c}_{f.__name__}") for c in ("h1", "h2") for f in (F.min, F.max)]
+        turn = 0
+        while True:
+            sets = features.where("n > 0").groupBy("sid").agg(F.min("doc").alias("top"), F.min(F.struct("doc", "key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), *edges)
+            sets = self.scratch.keep(sets, "sets")
+            self.scratch.forget("sets")
+            shared = sets.where("h1_min < h1_max OR h2_min < h2_max").select(F.col("sid").alias("taken"))
+            if shared.isEmpty():
+                return features, sets.drop("h1_min", "h1_max", "h2_min", "h2_max")
+            turn += 1
+            shared = self.scratch.keep(shared, "shared")
+            again = features.join(shared, F.col("sid") == F.col("taken"), "left")
+            features = again.withColumn("sid", F.when(F.col("taken").isNotNull(), set_name(turn)).otherwise(F.col("sid"))).drop("taken")
+
     def near(self, pairs: DataFrame, bits: DataFrame) -> DataFrame:
         """The pairs (a, b) whose bitmaps allow a link."""
         left = bits.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
@@ -310,10 +336,7 @@ class Join:
     def run(self) -> DataFrame:
         """doc, key, n, group (a key of the component) and component (its smallest doc) of every row."""
         percent = self.percent
-        features = self.features()
-        features = features.withColumn("sid", F.when(F.col("n") > 0, F.xxhash64("h1", "h2")))
-        sets = features.where("n > 0").groupBy("sid").agg(F.min("doc").alias("top"), F.min(F.struct("doc", "key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
-        sets = self.scratch.keep(sets, "sets")
+        features, sets = self.named(self.features())
         entries = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", "n", F.col("pos").cast("bigint").alias("pos"), F.col("sid").alias("label"))
         bits = sets.select("sid", "n", "parity")
         kind = "token bigint, sid bigint, n bigint, pos bigint, centre bigint"
@@ -367,7 +390,8 @@ def keep_one(df: DataFrame, found: DataFrame, doc: str = "doc_id", text: str = "
     the same in both. One of a component's rows without an id stays too, since no id says which row stands for it.
     """
     one = F.min(F.struct(F.col(doc).alias("d"), F.col("text_key").alias("q"))).alias("x")
-    kept = found.groupBy("component_key", F.col(doc).isNull()).agg(one).select("x.d", "x.q")
+    wordless = F.when(F.col("n_shingles") == 0, F.struct(col(doc), "text_key"))  # of no component; told apart in full
+    kept = found.groupBy("component_key", wordless, col(doc).isNull()).agg(one).select("x.d", "x.q")
     kept = Scratch(df.sparkSession, "kept").keep(kept, "ids")
     if kept.count() <= SMALL:
         kept = F.broadcast(kept)

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from duoscope.llm import jaccard
 
@@ -74,3 +75,15 @@ def test_unrelated_texts_of_one_id_and_copies_without_an_id(spark):
     assert len({r.component_key for r in found.collect()}) == 3
     kept = jaccard.keep_one(df, found).collect()
     assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(5, b), (3, a + " more"), (None, c)], key=repr)
+
+
+def test_sets_whose_names_are_the_same(spark, monkeypatch):
+    """Names of two bits in the first turn and of a few in the next ones: unrelated sets stay apart."""
+    whole = jaccard.set_name
+    monkeypatch.setattr(jaccard, "set_name", lambda turn: F.pmod(whole(turn), F.lit(4 if turn == 0 else 1000)) + 1000 * turn)
+    docs = documents(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    found = jaccard.near_duplicates(df)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(docs, 4, 85)
+    kept = jaccard.keep_one(df, found)
+    assert {r.doc_id for r in kept.collect()} == {c for n, c in brute(docs, 4, 85).values() if n} | {420, 421, 422}
