@@ -163,15 +163,23 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         with_stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file beside the old one, then puts it in that one's place."""
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands in a folder; none where there is no such folder."""
     at, fs = at_path(spark, path)
-    new, _ = at_path(spark, f"{path}.new")
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def write_new(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that is not there yet; it is there whole or not at all."""
+    at, fs = at_path(spark, path)
+    if fs.exists(at):
+        raise FileExistsError(path)
+    new, _ = at_path(spark, f"{path}.{uuid.uuid4().hex}")
     stream = fs.create(new, True)
     stream.write(bytearray(text.encode()))
     stream.close()
-    fs.delete(at, False)
-    fs.rename(new, at)
+    if not fs.rename(new, at):
+        raise FileExistsError(path)
 
 
 class Scratch:

@@ -9,8 +9,9 @@ serves as well as the alphabetical one, since only equality of k bytes and more
 Family. The rows are taken in batches. A batch gets its own array and is merge-scanned against the arrays of all levels:
 a k-gram that repeats, in the batch or between it and a level, marks a match. Then the batch becomes a level, and two
 levels of one rank merge into one of the next, so n batches leave at most log2(n) + 1 levels. Levels are tables in a
-folder with a list of them, so a later session can open the family and insert a batch without building it again; a
-list names only whole levels, and an insertion that fails leaves the list before it in force.
+folder with numbered lists of them, of which the newest counts, so a later session can open the family and insert a batch
+without building it again. A list names only whole levels and is deleted after the next one has been written, so an
+insertion that stops anywhere leaves a list in force; of two insertions at one time the later fails.
 
 Decision. An anchor whose whole context repeats has all its strings repeated. For the other marked anchors the contexts
 of one k-gram are brought together, one for each distinct context, and every string in them is compared by
@@ -25,6 +26,7 @@ Shorter rows than length are never touched. Rows are told apart by id and text;
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import GOLD, Scratch, col, delete, mix, read_text, slices, spread, utf8, write_text
+from .common import GOLD, Scratch, col, delete, mix, names_in, read_text, slices, spread, utf8, write_new
 
 BASE = np.uint64(0x5851F42D4C957F2D)
 #: Bytes that are one symbol of a fingerprint; sums over single bytes are alike for some texts of two letters.
@@ -214,7 +216,9 @@ class Family:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        text = read_text(spark, f"{self.root}/levels.json")
+        lists = [n for n in names_in(spark, self.root) if re.fullmatch(r"levels-\d{9}\.json", n)]
+        self.turn = int(max(lists)[7:16]) if lists else 0
+        text = read_text(spark, f"{self.root}/{max(lists)}") if lists else None
         self.levels: dict[int, str] = {int(k): v for k, v in json.loads(text).items()} if text else {}
 
     def level(self, rank: int) -> DataFrame:
@@ -243,9 +247,9 @@ class Family:
             name = self.write(both.groupBy("gram", "context").agg(F.sum("n").alias("n")))
             rank += 1
         levels[rank] = name
-        write_text(self.spark, f"{self.root}/levels.json", json.dumps(levels))
-        self.levels = levels
-        for old in merged_in:
+        write_new(self.spark, f"{self.root}/levels-{self.turn + 1:09}.json", json.dumps(levels))
+        self.levels, self.turn = levels, self.turn + 1
+        for old in [*merged_in, f"levels-{self.turn - 1:09}.json"]:
             delete(self.spark, f"{self.root}/{old}")
         return self.spark.read.schema("gram bigint").parquet(found)
 

@@ -91,6 +91,30 @@ def test_a_batch_goes_into_stored_levels(spark, tmp_path):
     assert held == seen
 
 
+def test_family_stopped_while_a_list_is_written(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "family")
+    family = suffixes.Family(spark, root)
+    for n in range(2):
+        family.insert(spark.createDataFrame([(n, n), (7, n)], "gram long, context long"))
+    before = suffixes.Family(spark, root).levels
+    assert before
+
+    def stop(spark, path, text):
+        (tmp_path / "family" / (path.rsplit("/", 1)[1] + ".half")).write_text(text[:3])
+        raise OSError("stopped")
+
+    monkeypatch.setattr(suffixes, "write_new", stop)
+    with pytest.raises(OSError):
+        family.insert(spark.createDataFrame([(9, 9)], "gram long, context long"))
+    monkeypatch.undo()
+    again = suffixes.Family(spark, root)
+    assert again.levels == before
+    late = suffixes.Family(spark, root)
+    assert {r.gram for r in again.insert(spark.createDataFrame([(7, 5), (9, 9)], "gram long, context long")).collect()} == {7}
+    with pytest.raises(FileExistsError):
+        late.insert(spark.createDataFrame([(1, 1)], "gram long, context long"))
+
+
 def test_fingerprints_tell_thue_morse_strings_apart():
     import numpy as np
 
