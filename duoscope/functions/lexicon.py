@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from .text import fold
+
 # Families of mechanisms. Those with isoforms have a pattern for an isoform (group 1) and one for the family.
 ISOFORMS = {
     "CYP": (r"\bcyp\s*-?\s*(\d{1,2}[a-z]{1,2}\d{0,3})\b", r"\bcytochrome\s*p\s*-?\s*450\b|\bcyp\s*-?\s*450\b|\bcyp\b(?!\s*-?\s*\d)"),
@@ -100,6 +102,11 @@ CO_REPORTS = COUNT + r"\s+co-?reports?\b|\bco-?reports?\s*(?:[:=]|of)?\s*" + COU
 HIDDEN = r"\+\s*(\d+)\s+more\b[^.;\n]{0,40}?\bnot shown\b"
 
 
+def placeholder(event: Column) -> Column:
+    """Whether an event says too little to be printed: one of GENERIC_EVENTS in any spelling, empty or null."""
+    return fold(event).isin("", *GENERIC_EVENTS)
+
+
 def every(t: Column, pattern: str | Column, groups: int = 1) -> Column:
     """All matches of a pattern: what the first group that took part holds (groups = 0: the whole match)."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import placeholder
 from ..functions.text import clean, severity_rank, squeeze
 
 TITLE = "# Interaction report"
@@ -136,9 +137,9 @@ def count_line() -> Column:
 
 
 def item_lines(i: Column) -> Column:
-    """The line of an item, and after the last shown record of a pair that of the hidden ones."""
+    """The line of an item, without an event that is a placeholder, and after the last shown record of a pair that of the hidden ones."""
     pair = F.concat(F.lit("- **"), i["a"], F.lit(" + "), i["b"], F.lit("**: "))
-    body = F.when(i["source"] == "CURATED", F.concat(F.lit("severity "), F.when(i["severity"] == "Unknown", "not graded").otherwise(i["severity"]), F.lit("; "), i["event"])).otherwise(F.concat(i["event"], F.lit(": "), i["reports"].cast("string"), F.lit(" co-reports")))
+    body = F.when(i["source"] == "CURATED", F.concat(F.lit("severity "), F.when(i["severity"] == "Unknown", "not graded").otherwise(i["severity"]), F.when(placeholder(i["event"]), "").otherwise(F.concat(F.lit("; "), i["event"])))).otherwise(F.concat(i["event"], F.lit(": "), i["reports"].cast("string"), F.lit(" co-reports")))
     cite = F.concat(F.lit(" ["), i["source"], F.lit(":"), i["record_id"], F.lit("]"))
     line = F.when(i["source"].isNull(), F.concat(F.lit("- "), i["a"], F.lit(" + "), i["b"])).otherwise(F.concat(pair, body, cite))
     more = F.when(i["last"], F.concat(pair, F.lit("+"), i["hidden"].cast("string"), F.lit(" more not shown")))
