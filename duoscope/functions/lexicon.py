@@ -83,7 +83,7 @@ SEVERITY_DENIED = (
     r"|\bseverity (?:is )?not graded\b|\bno (?:clinical )?severity(?: grade)?\b|\bnot graded\b"
 )
 SAFE = (
-    r"(?<!(?:\bnot\b|n't\b|\bno evidence\b|\bnor\b|\bneither\b)[^.;]{0,40})\bsafe(?:ly|ty)?\b(?! ?(?:data|information))",
+    r"(?=safe)(?<!(?:\bnot\b|n't\b|\bno evidence\b|\bnor\b|\bneither\b)[^.;]{0,40})\bsafe(?:ly|ty)?\b(?! ?(?:data|information))",
     r"\bno (?:known |significant |clinically (?:significant|relevant) |documented |reported )?interactions?\b(?! (?:data|records?|evidence|information))",
     r"\b(?:do|does|will|did) not interact\b|\bdon'?t interact\b|\bnon-?interacting\b",
     r"\bno (?:clinically )?(?:relevant |significant )?(?:risk|concern)s?\b",
