@@ -98,7 +98,7 @@ CLINICAL = (
 PRR = r"\b(?:prr|proportional reporting ratio)\b\s*(?:\(prr\)\s*)?(?:=|:|of|is|was|~|≈|at)?\s*(\d+(?:\.\d+)?)"
 REPORTS = r"\b(\d[\d,]*)\s+(?:spontaneous\s+)?(?:faers\s+)?reports?\b"
 COUNT = r"(?<![\d.,])(\d{1,3}(?:,\d{3})+|\d+)(?![\d.])"
-CO_REPORTS = COUNT + r"\s+co-?reports?\b|\bco-?reports?\s*(?:[:=]|of)?\s*" + COUNT
+CO_REPORTS = (COUNT + r"\s+co-?reports?\b", r"\bco-?reports?\s*(?:[:=]|of)?\s*" + COUNT)
 HIDDEN = r"\+\s*(\d+)\s+more\b[^.;\n]{0,40}?\bnot shown\b"
 
 
@@ -116,9 +116,10 @@ def every(t: Column, pattern: str | Column, groups: int = 1) -> Column:
     return F.filter(F.flatten(F.array(*parts)), lambda x: x != "")
 
 
-def counts(t: Column, pattern: str, groups: int = 1) -> Column:
-    """Whole numbers that a pattern finds, thousands separators left out."""
-    return F.transform(every(t, pattern, groups), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("bigint"))
+def counts(t: Column, *patterns: str) -> Column:
+    """Whole numbers that patterns find, those of the first pattern first, thousands separators left out. Each pattern reads the
+    whole text: "4 co-reports: 12" holds a number of each form."""
+    return F.transform(F.flatten(F.array(*[every(t, p) for p in patterns])), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("bigint"))
 
 
 #: What a text must hold for a pattern to match at all. A plain search for these is many times faster than the pattern.

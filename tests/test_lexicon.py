@@ -19,3 +19,7 @@ def test_safe_wording_is_searched_for_before_what_denies_it(spark):
     assert {r.x for r in rows.select(lx.says_safe(F.col("t")).alias("x")).collect()} == {None}
     assert time.monotonic() - began < 6
     assert one(spark, "it is not at all safe; yet safely used", lx.says_safe) == "safely"
+
+
+def test_numbers_of_two_forms_may_share_a_word(spark):
+    assert one(spark, "after 4 co-reports: 1,250 among", lambda t: lx.counts(t, *lx.CO_REPORTS)) == [4, 1250]
