@@ -107,15 +107,27 @@ def placeholder(event: Column) -> Column:
     return fold(event).isin("", *GENERIC_EVENTS)
 
 
+def ascii_bounds(pattern: str) -> str:
+    """pattern with look-arounds in place of each \\b: Java's \\b takes letters of all alphabets for word characters, but its \\w
+    only those of ASCII, so that "phéno" would not end in the word "no". Each \\b here stands right before or after a word character."""
+    begins = re.compile(r"\w|\\d|\((?!\?[=!<])")
+    return re.sub(r"\\b", lambda m: r"(?<!\w)" if begins.match(pattern, m.end()) else r"(?!\w)", pattern)
+
+
 def every(t: Column, pattern: str | Column, groups: int = 1) -> Column:
     """All matches of a pattern: what the first group that took part holds (groups = 0: the whole match)."""
-    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pattern = F.lit(ascii_bounds(pattern)) if isinstance(pattern, str) else pattern
     if not groups:
         return F.regexp_extract_all(t, pattern, F.lit(0))
     parts = [F.regexp_extract_all(t, pattern, F.lit(i)) for i in range(1, groups + 1)]
     return F.filter(F.flatten(F.array(*parts)), lambda x: x != "")
 
 
+def holds(t: Column, pattern: str) -> Column:
+    """Whether t matches a pattern."""
+    return t.rlike(ascii_bounds(pattern))
+
+
 def counts(t: Column, *patterns: str) -> Column:
     """Whole numbers that patterns find, those of the first pattern first, thousands separators left out. Each pattern reads the
     whole text: "4 co-reports: 12" holds a number of each form."""
@@ -149,9 +161,9 @@ def mechanisms(t: Column) -> Column:
     for family, (isoform, whole) in ISOFORMS.items():
         named = _headed(f"{family}:")
         found.append(F.when(may_hold(t, *STEMS[family]), F.transform(F.filter(every(t, isoform), lambda x: x != "450"), named)).otherwise(none))
-        found.append(F.when(may_hold(t, *STEMS[family]) & t.rlike(whole), F.array(F.lit(f"{family}:*"))).otherwise(none))
+        found.append(F.when(may_hold(t, *STEMS[family]) & holds(t, whole), F.array(F.lit(f"{family}:*"))).otherwise(none))
     for family, pattern in MECHANISMS.items():
-        found.append(F.when(may_hold(t, *STEMS[family]) & t.rlike(pattern), F.array(F.lit(f"{family}:*"))).otherwise(none))
+        found.append(F.when(may_hold(t, *STEMS[family]) & holds(t, pattern), F.array(F.lit(f"{family}:*"))).otherwise(none))
     some = {x for f in (*ISOFORMS, *MECHANISMS) for x in STEMS[f]}
     return F.when(may_hold(t, *sorted(some)), F.array_distinct(F.flatten(F.array(*found)))).otherwise(none)
 
@@ -171,7 +183,7 @@ def unsupported(claimed: Column, had: Column) -> Column:
 
 
 def populations(t: Column) -> Column:
-    return F.filter(F.array(*[F.when(may_hold(t, *STEMS[name]) & t.rlike(p), name) for name, p in POPULATIONS.items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(may_hold(t, *STEMS[name]) & holds(t, p), name) for name, p in POPULATIONS.items()]), lambda x: x.isNotNull())
 
 
 def alternation(terms: Column) -> Column:
@@ -246,19 +258,19 @@ def tiers(t: Column) -> Column:
     """Grades that a text claims; a bare word such as "minor" before an event is none."""
     none = F.array().cast("array<string>")
     named = F.when(may_hold(t, "major", "moderate", "minor"), F.transform(every(t, TIER_IN_CONTEXT, 3), F.initcap)).otherwise(none)
-    ungraded = F.when(may_hold(t, "graded", "unknown") & t.rlike(NOT_GRADED), F.array(F.lit("not graded"))).otherwise(none)
+    ungraded = F.when(may_hold(t, "graded", "unknown") & holds(t, NOT_GRADED), F.array(F.lit("not graded"))).otherwise(none)
     return F.array_distinct(F.concat(named, ungraded))
 
 
 def severity_words(t: Column) -> Column:
-    return every(F.regexp_replace(t, SEVERITY_DENIED, " "), SEVERITY_WORDS, 0)
+    return every(F.regexp_replace(t, ascii_bounds(SEVERITY_DENIED), " "), SEVERITY_WORDS, 0)
 
 
 def says_safe(t: Column) -> Column:
     """The first wording that calls a combination safe, or null."""
     stems = (("safe",), ("interaction",), ("interact",), ("risk", "concern"), ("together",), ("compatible",))
-    return F.coalesce(*[F.when(may_hold(t, *x) & t.rlike(p), F.regexp_extract(t, p, 0)) for p, x in zip(SAFE, stems)])
+    return F.coalesce(*[F.when(may_hold(t, *x) & holds(t, p), F.regexp_extract(t, ascii_bounds(p), 0)) for p, x in zip(SAFE, stems)])
 
 
 def declares_absence(t: Column) -> Column:
-    return t.rlike(ABSENCE)
+    return holds(t, ABSENCE)

@@ -23,3 +23,13 @@ def test_safe_wording_is_searched_for_before_what_denies_it(spark):
 
 def test_numbers_of_two_forms_may_share_a_word(spark):
     assert one(spark, "after 4 co-reports: 1,250 among", lambda t: lx.counts(t, *lx.CO_REPORTS)) == [4, 1250]
+
+
+@pytest.mark.parametrize("text, column, found", [
+    ("phéno severity", lx.severity_words, []),  # "no severity", as where \w is ASCII only
+    ("éminor", lx.severity_words, ["minor"]),
+    ("ésafe", lx.says_safe, "safe"),
+    ("x_minor minors", lx.severity_words, []),
+])
+def test_bounds_of_words_are_those_of_ascii(spark, text, column, found):
+    assert one(spark, text, column) == found
