@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import dimension
+
 
 def orient(df: DataFrame, a: str, b: str, companions: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """df with a < b; columns that belong to a side change places with it. Rows with a = b or a null name go."""
@@ -28,14 +30,23 @@ def of_names(df: DataFrame, names: str = "names") -> DataFrame:
     return firsts.select(*rest, "a", F.explode(F.slice(names, F.col("_i") + 2, F.size(names))).alias("b"))
 
 
+def name_sets(names: DataFrame, *more: Column, tasks: int | None = None) -> DataFrame:
+    """request and names, the sorted distinct names of each request. names: (request, name).
+
+    The pairs of a task's requests take many times the room of their names. tasks says over how many tasks the requests are dealt;
+    without it Spark deals by the size of the names alone.
+    """
+    dealt = names if tasks is None else names.repartition(tasks, "request")
+    return dealt.groupBy("request").agg(F.sort_array(F.collect_set("name")).alias("names"), *more)
+
+
 def plan(names: DataFrame) -> DataFrame:
     """All pairs (request, a, b) of each request's distinct names. names: (request, name).
 
     The names of a request are gathered once, and a request of k names makes k (k - 1) / 2 rows, which is its answer.
     Requests are short (12 names in the service); oversized() lists those that are not.
     """
-    sets = names.where("request IS NOT NULL AND name IS NOT NULL").groupBy("request").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    return of_names(sets)
+    return of_names(name_sets(names.where("request IS NOT NULL AND name IS NOT NULL")))
 
 
 def oversized(names: DataFrame, most: int = 12) -> DataFrame:
@@ -71,9 +82,17 @@ def top_rows(df: DataFrame, key: list[str], order: list[Column], k: int, rank: s
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def lookup(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """The records (a, b, ...) of each planned pair (request, a, b)."""
-    return pairs.join(records, ["a", "b"])
+def lookup(pairs: DataFrame, records: DataFrame, how: str = "inner") -> DataFrame:
+    """The records (a, b, ...) of each planned pair (request, a, b); how = "left" keeps pairs without any.
+
+    A pair's records are gathered before the join, so it meets a pair once for each request that plans it, and a broadcast (of
+    counted pairs) leaves the requests where they are.
+    """
+    rest = [c for c in records.columns if c not in ("a", "b")]
+    per = dimension(records.groupBy("a", "b").agg(F.collect_list(F.struct(*rest)).alias("_r")))
+    met = pairs.join(per, ["a", "b"], how)
+    each = F.inline_outer("_r") if how == "left" else F.inline("_r")
+    return met.select(*pairs.columns, each)
 
 
 def select_records(found: DataFrame, statistical: Column, order: list[Column], key: tuple[str, ...] = ("request", "a", "b"), shown: int = 3) -> DataFrame:
@@ -85,19 +104,21 @@ def select_records(found: DataFrame, statistical: Column, order: list[Column], k
 
 
 def review(pairs: DataFrame, records: DataFrame, statistical: Column, order: list[Column], shown: int = 3) -> DataFrame:
-    """Planned pairs with the records that select_records() shows; a pair without records is one row with nulls in their place.
+    """Planned pairs with the records that select_records() shows; a pair without records is one row with
+    nulls in their place.
 
-    last marks the row after which a pair's hidden records are to be mentioned. One shuffle by request serves the windows
-    here and whatever is grouped by request afterwards.
+    last marks the row after which a pair's hidden records are to be mentioned, head one row of each pair. What is shown of a pair
+    is the same in all requests, so it is selected once, among the records.
     """
-    found = pairs.distinct().join(records, ["a", "b"], "left").repartition("request")
-    done = select_records(found, F.coalesce(statistical, F.lit(False)), order, shown=shown)
-    return done.withColumn("last", F.coalesce(statistical & (F.col("hidden") > 0) & (F.col("position") == shown), F.lit(False)))
+    done = select_records(records, F.coalesce(statistical, F.lit(False)), order, key=("a", "b"), shown=shown)
+    last = F.coalesce(statistical & (F.col("hidden") > 0) & (F.col("position") == shown), F.lit(False))
+    done = done.withColumns({"last": last, "head": F.row_number().over(Window.partitionBy("a", "b").orderBy(statistical, "position")) == 1})
+    return lookup(pairs.distinct(), done, "left").withColumns({"position": F.coalesce("position", F.lit(1)), "hidden": F.coalesce("hidden", F.lit(0)), "last": F.coalesce("last", F.lit(False)), "head": F.coalesce("head", F.lit(True))})
 
 
 def partition(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """Every planned pair and whether any record is about it; each pair is in one part exactly."""
-    known = records.select("a", "b").distinct().withColumn("_k", F.lit(True))
+    known = dimension(records.select("a", "b").distinct().withColumn("_k", F.lit(True)))
     return pairs.distinct().join(known, ["a", "b"], "left").select("request", "a", "b", F.coalesce("_k", F.lit(False)).alias("has_records"))
 
 

@@ -26,12 +26,19 @@ def record_id(a: str = "a", b: str = "b", event: str = "event") -> Column:
     return F.substring(F.sha1(F.concat_ws("|", a, b, event)), 1, 10)
 
 
+def printed() -> Column:
+    """The event, or null where it says too little to be printed."""
+    return F.when(~placeholder(F.col("event")), F.col("event"))
+
+
 def gather(names: DataFrame, reviewed: DataFrame) -> DataFrame:
     """request, names (how many) and items in the order of the report. names: (request, name); reviewed: as pairs.review()
-    gives it, with source, severity, event and reports. A request without pairs has null items."""
+    gives it, with source, severity, event and reports; record_id and printed are made here where it lacks them. A request without
+    pairs has null items."""
+    made = lambda name, c: F.col(name) if name in reviewed.columns else c.alias(name)
     section = F.when(F.col("source").isNull(), 6).when(F.col("source") == "CURATED", severity_rank(F.col("severity")) + 1).otherwise(5)
     place = F.when(F.col("source").isNotNull(), F.col("position").cast("int")).otherwise(0)
-    item = F.struct(section.alias("section"), "a", "b", place.alias("place"), "source", "severity", "event", "reports", F.col("hidden").cast("bigint").alias("hidden"), "last", record_id().alias("record_id"))
+    item = F.struct(section.alias("section"), "a", "b", place.alias("place"), "source", "severity", "event", "reports", F.col("hidden").cast("bigint").alias("hidden"), "last", made("record_id", record_id()), made("printed", printed()), "head")
     items = reviewed.groupBy("request").agg(F.sort_array(F.collect_list(item)).alias("items"))
     n = names.groupBy("request").agg(F.countDistinct("name").alias("names"))
     return n.join(items, "request", "left")
@@ -41,7 +48,7 @@ def tally(items: str = "items") -> dict[str, Column]:
     """Counts of a gathered row: pairs, items of each grade, signals, hidden records, pairs without data."""
     count = lambda section: F.coalesce(F.size(F.filter(items, lambda i: i["section"] == section)), F.lit(0)).cast("bigint")
     graded = {g.lower(): count(k) for k, g in enumerate(("Major", "Moderate", "Minor", "Unknown"), 1)}
-    pairs = F.coalesce(F.size(F.array_distinct(F.transform(items, lambda i: F.struct(i["a"], i["b"])))), F.lit(0)).cast("bigint")
+    pairs = F.coalesce(F.size(F.filter(items, lambda i: i["head"])), F.lit(0)).cast("bigint")
     hidden = F.coalesce(F.aggregate(F.filter(items, lambda i: i["last"]), F.lit(0).cast("bigint"), lambda n, i: n + i["hidden"]), F.lit(0).cast("bigint"))
     return {"pairs": pairs, **graded, "signals": count(5), "hidden": hidden, "no_data": count(6)}
 
@@ -139,7 +146,7 @@ def count_line() -> Column:
 def item_lines(i: Column) -> Column:
     """The line of an item, without an event that is a placeholder, and after the last shown record of a pair that of the hidden ones."""
     pair = F.concat(F.lit("- **"), i["a"], F.lit(" + "), i["b"], F.lit("**: "))
-    body = F.when(i["source"] == "CURATED", F.concat(F.lit("severity "), F.when(i["severity"] == "Unknown", "not graded").otherwise(i["severity"]), F.when(placeholder(i["event"]), "").otherwise(F.concat(F.lit("; "), i["event"])))).otherwise(F.concat(i["event"], F.lit(": "), i["reports"].cast("string"), F.lit(" co-reports")))
+    body = F.when(i["source"] == "CURATED", F.concat(F.lit("severity "), F.when(i["severity"] == "Unknown", "not graded").otherwise(i["severity"]), F.coalesce(F.concat(F.lit("; "), i["printed"]), F.lit("")))).otherwise(F.concat(i["event"], F.lit(": "), i["reports"].cast("string"), F.lit(" co-reports")))
     cite = F.concat(F.lit(" ["), i["source"], F.lit(":"), i["record_id"], F.lit("]"))
     line = F.when(i["source"].isNull(), F.concat(F.lit("- "), i["a"], F.lit(" + "), i["b"])).otherwise(F.concat(pair, body, cite))
     more = F.when(i["last"], F.concat(pair, F.lit("+"), i["hidden"].cast("string"), F.lit(" more not shown")))

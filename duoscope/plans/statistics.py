@@ -123,7 +123,8 @@ WITH {RECORDS}, x AS (SELECT request, count(source) FILTER (WHERE source = 'CURA
 SELECT count(*) AS requests, CAST(sum(alerts) AS BIGINT) AS total, round(quantile_cont(alerts, 0.5), 6) AS median, max(alerts) AS largest, round(count(*) FILTER (WHERE major > 0) / count(*)::DOUBLE, 6) AS share FROM x
 """)
 def alert_burden(t):
-    found = planned(t).join(records(t), ["a", "b"], "left").groupBy("request").agg(F.count_if(F.col("source") == "CURATED").alias("alerts"), F.count_if(F.col("severity") == "Major").alias("major"))
+    per = records(t).groupBy("a", "b").agg(F.count_if(F.col("source") == "CURATED").alias("alerts"), F.count_if(F.col("severity") == "Major").alias("major"))
+    found = pairs.lookup(planned(t), per, "left").groupBy("request").agg(*[F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in ("alerts", "major")])
     return stats.burden(found, "alerts", F.col("major") > 0)
 
 

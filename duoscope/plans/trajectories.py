@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pairs as op
 from ..operators import trajectory as tr
-from .pairs import RECORDS, named, planned, records
+from .pairs import RECORDS, asked_names, planned, records
 from .registry import Tables, query
 
 MOST = 3
@@ -17,7 +17,7 @@ ANSWERS = ("pass", "fail", "err_t", "err_nt")
 def runs(t: Tables):
     """run, breach (0 to 12), names k, gap, outcomes and what is due."""
     r = F.col("request")
-    names = named(t).where("status = 'O'")
+    names = asked_names(t)
     parts = op.partition(planned(t), records(t))
     gaps = parts.groupBy("request").agg(F.max(~F.col("has_records")).alias("gap"))
     answer = F.get(F.array(*map(F.lit, ANSWERS)), F.pmod(F.col("l_quantity").cast("int"), F.lit(4)))
@@ -57,7 +57,7 @@ def checked(t: Tables):
     twice = pairs.where((F.col("breach") == 2) & F.col("is_first")).select(F.col("request").alias("run"), "a", "b", ~F.col("has_records"))
     drafts = rows.where("asked").select("run", F.posexplode("taken").alias("i", "o")).where("o IN ('pass', 'fail')").select("run", F.concat(F.lit("draft "), F.col("run").cast("string"), F.lit("/"), F.col("i") + 1).alias("text"), (F.col("o") == "pass").alias("valid"))
     bad = rows.where("breach = 7").select("run", F.lit("UNCITED_CLAIM").alias("code"))
-    names = named(t).where("status = 'O'").select(F.col("request").alias("run"), "name")
+    names = asked_names(t).select(F.col("request").alias("run"), "name")
     return tr.invariants(made, steps(rows), names, plan, got.unionAll(twice), drafts, bad)
 
 
