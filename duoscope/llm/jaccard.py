@@ -24,9 +24,11 @@ names a component by its smallest id, null if no row of it has one. Repeated row
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -41,8 +43,11 @@ BITS = 1024
 SHARE = 4096
 #: Rows of ids, 8 bytes each, that are sent to all executors as a filter; more are joined by a shuffle.
 SMALL = 1_000_000
-#: Rounds in which each set is compared with one other, before what is left is compared in full.
+#: Rounds in which each set is compared with one other (NAMED others from the second on), before what is left is compared in full.
 TURNS = 3
+NAMED = 3
+#: Places of a list at which a set looks for one to compare with, in each round after the first.
+SPOTS = 8
 
 
 def sets_of(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,17 +153,31 @@ def lists_of(batches, columns: list[str]):
         yield held
 
 
+def may_link(i, j, n, pos, bits, percent: int) -> np.ndarray:
+    """Whether the sizes, positions and bitmaps of entries i and j of one list allow a link."""
+    need = ((n[i] + n[j]) * percent + 99 + percent) // (100 + percent)
+    ok = np.flatnonzero(np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)
+    odd = np.zeros(len(ok), np.int64)
+    for k in range(bits.shape[1]):
+        odd += np.bitwise_count(bits[i[ok], k] ^ bits[j[ok], k])
+    out = np.zeros(len(i), bool)
+    out[ok] = odd <= (n[i] + n[j] - 2 * need)[ok]
+    return out
+
+
 def star_rows(batches, percent: int, turn: int):
     """Entries of lists that hold two components or more, each with a set of another component to compare with, or null.
 
-    That set's size can link. In turn 0 it is the list's set with the smallest id, else the smallest one; in turn 1 the
-    nearest before in order of size, else the nearest after; in turn 2 the smallest.
+    That set's size can link. In turn 0 it is the list's set with the smallest id, else the smallest one. In later turns
+    positions and bitmaps allow a link too; it is the first such of the nearest in order of size and of SPOTS places among
+    those whose sizes can link, which differ by set, list and turn.
     """
-    for token, sid, n, pos, label in lists_of(batches, ["token", "sid", "n", "pos", "label"]):
+    columns = ["token", "sid", "n", "pos", "label"]
+    for token, sid, n, pos, label, *bits in lists_of(batches, columns + ["parity"] * (turn > 0)):
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         sizes = np.diff(np.append(starts, len(token)))
         many = np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), sizes)
-        token, sid, n, pos, label = (x[many] for x in (token, sid, n, pos, label))
+        token, sid, n, pos, label, *bits = (x[many] for x in (token, sid, n, pos, label, *bits))
         if not len(token):
             continue
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -178,13 +197,28 @@ def star_rows(batches, percent: int, turn: int):
             c = np.clip(c, 0, len(token) - 1)
             return inside & (group[c] == group) & (label[c] != label) & (100 * np.minimum(n[c], n) >= percent * np.maximum(n[c], n))
 
-        order = np.lexsort((sid, group))
-        smallest_id = order[starts][group]
-        rules = {0: (smallest_id, low, after[low]), 1: (before, after), 2: (low, after[low], after)}[turn]
         best = np.full(len(token), -1)
-        for c in rules:
-            take = (best < 0) & usable(c)
-            best[take] = c[take]
+        if turn:
+            room = np.searchsorted(group * wide + n, group * wide + np.minimum(n * 100 // percent, wide - 1), side="right") - low
+            seed = mix((token ^ sid).view(np.uint64))
+
+            def spot(k):
+                c = low + (mix(seed + np.uint64(SPOTS * turn + k)) >> np.uint64(33)).astype(np.int64) % room
+                return np.where(label[c] == label, after[c], c)
+
+            for rule in (lambda: before, lambda: after, *(partial(spot, k) for k in range(SPOTS))):
+                left = np.flatnonzero(best < 0)
+                if not len(left):
+                    break
+                c = rule()
+                left = left[usable(c)[left]]
+                left = left[may_link(left, c[left], n, pos, bits[0], percent)]
+                best[left] = c[left]
+        else:
+            smallest_id = np.lexsort((sid, group))[starts][group]
+            for c in (smallest_id, low, after[low]):
+                take = (best < 0) & usable(c)
+                best[take] = c[take]
         centre = pa.array(sid[np.maximum(best, 0)], mask=best < 0)
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(sid), pa.array(n), pa.array(pos), centre], names=["token", "sid", "n", "pos", "centre"])
 
@@ -193,14 +227,9 @@ def pair_rows(batches, percent: int, block: int = 1 << 20):
     """Pairs of sets in one list, of different components, whose sizes, positions and bitmaps allow a link."""
 
     def pairs(i, j, sid, n, pos, label, bits):
-        need = ((n[i] + n[j]) * percent + 99 + percent) // (100 + percent)
-        room = np.minimum(n[i] - pos[i], n[j] - pos[j])
-        ok = np.flatnonzero((label[i] != label[j]) & (sid[i] != sid[j]) & (room >= need))
-        i, j, need = i[ok], j[ok], need[ok]
-        odd = np.zeros(len(i), np.int64)
-        for k in range(bits.shape[1]):
-            odd += np.bitwise_count(bits[i, k] ^ bits[j, k])
-        ok = odd <= n[i] + n[j] - 2 * need
+        ok = np.flatnonzero((label[i] != label[j]) & (sid[i] != sid[j]))
+        i, j = i[ok], j[ok]
+        ok = may_link(i, j, n, pos, bits, percent)
         i, j = i[ok], j[ok]
         both = np.unique(np.stack([np.maximum(sid[i], sid[j]), np.minimum(sid[i], sid[j])], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
@@ -342,14 +371,18 @@ class Join:
         kind = "token bigint, sid bigint, n bigint, pos bigint, centre bigint"
         texts = labels = None
         for turn in range(TURNS):
-            ordered = entries.repartition("token").sortWithinPartitions("token", "n", "sid")
+            ordered = (entries.join(bits.drop("n"), "sid") if turn else entries).repartition("token").sortWithinPartitions("token", "n", "sid")
             lists = self.scratch.keep(ordered.mapInArrow(lambda it, turn=turn: star_rows(it, percent, turn), kind), "lists")
             self.scratch.forget("lists")
             if texts is None:
                 texts = self.texts(lists.select("sid").distinct().join(sets.select("sid", "one"), "sid").select("sid", F.col("one.doc").alias("d"), F.col("one.key").alias("q")), features)
             votes = lists.where("centre IS NOT NULL").groupBy(F.col("sid").alias("a"), F.col("centre").alias("b")).count()
-            centres = votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
-            links = self.check(self.scratch.keep(self.near(centres, bits), "centres"), texts)
+            if turn:  # their bitmaps allow a link
+                first = Window.partitionBy("a").orderBy(F.desc("count"), "b")
+                centres = votes.withColumn("place", F.row_number().over(first)).where(F.col("place") <= NAMED).select("a", "b")
+            else:
+                centres = self.near(votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), bits)
+            links = self.check(self.scratch.keep(centres, "centres"), texts)
             labels = self.merge(labels, links)
             entries = self.labelled(lists, labels)
         # what is left in lists of several components is compared in full

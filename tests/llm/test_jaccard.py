@@ -87,3 +87,20 @@ def test_sets_whose_names_are_the_same(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(docs, 4, 85)
     kept = jaccard.keep_one(df, found)
     assert {r.doc_id for r in kept.collect()} == {c for n, c in brute(docs, 4, 85).values() if n} | {420, 421, 422}
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_its_documents(spark, monkeypatch):
+    """Copies with one to three words changed, of which many pairs link and many just do not."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    made, whole = [], jaccard.Join.check
+    monkeypatch.setattr(jaccard.Join, "check", lambda self, pairs, texts: (made.append(pairs.count()), whole(self, pairs, texts))[1])
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == brute(docs, 4, 85)
+    assert sum(made) < 10 * len(docs)
