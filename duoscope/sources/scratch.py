@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,13 +16,32 @@ from pyspark.sql import DataFrame, SparkSession
 OPEN: list[tuple[SparkSession, str, int]] = []
 
 
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Has Spark delete the shuffle files of a query that runs in here as it ends. Else they stay until the driver's collector
+    finds that nothing refers to them, and those of all steps of a job lie on disk at once."""
+    before = spark.conf.get(SWEEP, None)
+    spark.conf.set(SWEEP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SWEEP)
+        else:
+            spark.conf.set(SWEEP, before)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as read back from a table of its own."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     path = f"{base.rstrip('/')}/steps/{name}-{uuid.uuid4().hex}"
     OPEN.append((spark, path, threading.get_ident()))
-    df.write.option("compression", "zstd").parquet(path)
+    with swept(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

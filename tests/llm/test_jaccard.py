@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,16 @@ def test_pairs_of_a_group_of_near_copies_grow_with_its_documents(spark, monkeypa
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == brute(docs, 4, 85)
     assert sum(made) < 10 * len(docs)
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    """Those of a step are deleted as it ends, not when the driver's memory is collected."""
+    files = lambda: {f for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString(",").split(",") if f.endswith(".data")}
+    scratch, before = jaccard.Scratch(spark, "test"), files()
+    rows = spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    scratch.keep(rows, "rows")
+    end = time.monotonic() + 10  # the files go in the background
+    while files() - before and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not files() - before
+    scratch.drop()
