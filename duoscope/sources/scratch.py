@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import threading
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,10 +47,28 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes the tables that this thread has kept; call it once the results that read them have been written."""
-    for entry in [e for e in OPEN if e[2] == threading.get_ident()]:
+def in_turns(n: int, work: Callable[[int], DataFrame], name: str) -> DataFrame:
+    """The rows of work(0) to work(n - 1), made one after the other. The tables that a turn keeps are deleted when its rows have been
+    written, so that those of one turn lie on disk at a time."""
+    done = []
+    for i in range(n):
+        before = list(OPEN)
+        made = work(i)
+        between = [e for e in OPEN if e not in before]
+        done.append(kept(made, name))
+        drop(between)
+    return reduce(DataFrame.unionByName, done)
+
+
+def drop(entries: list[tuple[SparkSession, str, int]]) -> None:
+    """Deletes those of some tables that this thread has kept."""
+    for entry in [e for e in entries if e[2] == threading.get_ident()]:
         spark, path, _ = entry
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
         OPEN.remove(entry)
+
+
+def release() -> None:
+    """Deletes the tables that this thread has kept; call it once the results that read them have been written."""
+    drop(list(OPEN))
