@@ -341,8 +341,15 @@ class Join:
         need = F.floor((total * self.percent + 99 + self.percent) / (100 + self.percent))
         return pairs.join(left, "a").join(right, "b").where(differing("pa", "pb") <= total - 2 * need).select("a", "b").distinct()
 
+    def paired(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """The texts of sets that are in a pair. Most sets are in none, and all texts would be shuffled beside the few that are."""
+        ends = self.scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends")
+        self.scratch.forget("ends")
+        return texts.join(F.broadcast(ends), F.col("sid") == F.col("end"), "left_semi") if ends.count() <= SMALL else texts
+
     def check(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs that link."""
+        texts = self.paired(pairs, texts)
         left, right = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(left, "a").join(right, "b")
         return self.scratch.keep(both.where(linked_column("ta", "tb", self.k, self.percent)).select("a", "b"), "checked")

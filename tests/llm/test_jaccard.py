@@ -118,3 +118,15 @@ def test_steps_leave_no_shuffle_files(spark):
         time.sleep(0.1)
     assert not files() - before
     scratch.drop()
+
+
+def test_only_texts_of_sets_in_a_pair_are_dealt(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"w{i // 2} b c d e") for i in range(20)], "sid long, text string")
+    pairs = spark.createDataFrame([(1, 0), (3, 2), (5, 1)], "a long, b long")
+    join = jaccard.Join(spark, texts, 4, 85)
+    assert sorted(r.sid for r in join.paired(pairs, texts).collect()) == [0, 1, 2, 3, 5]
+    links = sorted(map(tuple, join.check(pairs, texts).collect()))
+    monkeypatch.setattr(jaccard, "SMALL", 0)  # too many to be broadcast
+    assert join.paired(pairs, texts).count() == 20
+    assert links == sorted(map(tuple, join.check(pairs, texts).collect())) == [(1, 0), (3, 2)]
+    join.scratch.drop()
