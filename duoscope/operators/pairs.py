@@ -103,6 +103,14 @@ def select_records(found: DataFrame, statistical: Column, order: list[Column], k
     return ranked.withColumn("hidden", F.greatest(n - shown, F.lit(0))).where(~F.col("_s") | (F.col("position") <= shown)).drop("_s")
 
 
+def shown_once(records: DataFrame, statistical: Column, order: list[Column], shown: int = 3) -> DataFrame:
+    """The records that select_records() shows of each pair, with last and head as review() gives them."""
+    done = select_records(records, F.coalesce(statistical, F.lit(False)), order, key=("a", "b"), shown=shown)
+    last = F.coalesce(statistical & (F.col("hidden") > 0) & (F.col("position") == shown), F.lit(False))
+    done = done.withColumns({"last": last, "head": F.row_number().over(Window.partitionBy("a", "b").orderBy(statistical, "position")) == 1})
+    return done
+
+
 def review(pairs: DataFrame, records: DataFrame, statistical: Column, order: list[Column], shown: int = 3) -> DataFrame:
     """Planned pairs with the records that select_records() shows; a pair without records is one row with
     nulls in their place.
@@ -110,9 +118,7 @@ def review(pairs: DataFrame, records: DataFrame, statistical: Column, order: lis
     last marks the row after which a pair's hidden records are to be mentioned, head one row of each pair. What is shown of a pair
     is the same in all requests, so it is selected once, among the records.
     """
-    done = select_records(records, F.coalesce(statistical, F.lit(False)), order, key=("a", "b"), shown=shown)
-    last = F.coalesce(statistical & (F.col("hidden") > 0) & (F.col("position") == shown), F.lit(False))
-    done = done.withColumns({"last": last, "head": F.row_number().over(Window.partitionBy("a", "b").orderBy(statistical, "position")) == 1})
+    done = shown_once(records, statistical, order, shown)
     return lookup(pairs.distinct(), done, "left").withColumns({"position": F.coalesce("position", F.lit(1)), "hidden": F.coalesce("hidden", F.lit(0)), "last": F.coalesce("last", F.lit(False)), "head": F.coalesce("head", F.lit(True))})
 
 

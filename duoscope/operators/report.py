@@ -31,15 +31,19 @@ def printed() -> Column:
     return F.when(~placeholder(F.col("event")), F.col("event"))
 
 
+def items_of(reviewed: DataFrame) -> Column:
+    """The item of each row of pairs.review(); items sort as they stand in a report."""
+    made = lambda name, c: F.col(name) if name in reviewed.columns else c.alias(name)
+    section = F.when(F.col("source").isNull(), 6).when(F.col("source") == "CURATED", severity_rank(F.col("severity")) + 1).otherwise(5)
+    place = F.when(F.col("source").isNotNull(), F.col("position").cast("int")).otherwise(0)
+    return F.struct(section.alias("section"), "a", "b", place.alias("place"), "source", "severity", "event", "reports", F.col("hidden").cast("bigint").alias("hidden"), "last", made("record_id", record_id()), made("printed", printed()), "head")
+
+
 def gather(names: DataFrame, reviewed: DataFrame) -> DataFrame:
     """request, names (how many) and items in the order of the report. names: (request, name); reviewed: as pairs.review()
     gives it, with source, severity, event and reports; record_id and printed are made here where it lacks them. A request without
     pairs has null items."""
-    made = lambda name, c: F.col(name) if name in reviewed.columns else c.alias(name)
-    section = F.when(F.col("source").isNull(), 6).when(F.col("source") == "CURATED", severity_rank(F.col("severity")) + 1).otherwise(5)
-    place = F.when(F.col("source").isNotNull(), F.col("position").cast("int")).otherwise(0)
-    item = F.struct(section.alias("section"), "a", "b", place.alias("place"), "source", "severity", "event", "reports", F.col("hidden").cast("bigint").alias("hidden"), "last", made("record_id", record_id()), made("printed", printed()), "head")
-    items = reviewed.groupBy("request").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    items = reviewed.groupBy("request").agg(F.sort_array(F.collect_list(items_of(reviewed))).alias("items"))
     n = names.groupBy("request").agg(F.countDistinct("name").alias("names"))
     return n.join(items, "request", "left")
 
@@ -173,13 +177,17 @@ def strip_section(text: Column, heading: str) -> Column:
     return F.regexp_replace(text, r"(?m)^\Q" + heading + r"\E[ \t]*\n(?:(?!## ).*(?:\n|\z))*?(?=^## |\z)", "")
 
 
+def cited_items() -> Column:
+    """The items of a gathered report that stand for a record, in order."""
+    kept = ("a", "b", "place", "source", "severity", "event", "reports", "record_id")
+    return F.transform(F.filter("items", lambda i: i["source"].isNotNull()), lambda i: F.struct(*[i[c].alias(c) for c in kept]))
+
+
 def structure(gathered: DataFrame) -> DataFrame:
     """request and the report as one JSON document: counts, items with citations in order, pairs without data."""
-    kept = ("a", "b", "place", "source", "severity", "event", "reports", "record_id")
-    items = F.transform(F.filter("items", lambda i: i["source"].isNotNull()), lambda i: F.struct(*[i[c].alias(c) for c in kept]))
     gaps = F.transform(F.filter("items", lambda i: i["source"].isNull()), lambda i: F.struct(i["a"].alias("a"), i["b"].alias("b")))
     counts = F.struct("names", *[c.alias(n) for n, c in tally().items()])
-    return gathered.select("request", F.to_json(F.struct(F.lit(2).alias("version"), counts.alias("summary"), items.alias("items"), gaps.alias("no_data"))).alias("report"))
+    return gathered.select("request", F.to_json(F.struct(F.lit(2).alias("version"), counts.alias("summary"), cited_items().alias("items"), gaps.alias("no_data"))).alias("report"))
 
 
 def evidence_block(gathered: DataFrame, effects: DataFrame) -> DataFrame:
