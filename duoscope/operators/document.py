@@ -64,27 +64,27 @@ def document(gathered: DataFrame, entries: DataFrame) -> DataFrame:
     return both.select("request", made.alias("document"))
 
 
-def pieces(documents: DataFrame) -> DataFrame:
-    """request, part, place (from 0 in its part), a, b, status and line of every piece of the documents."""
+def pieces(documents: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """request, part, place (from 0 in its part), a, b, status and line of every piece of the documents, or of the parts that are named."""
     text = F.lit(None).cast("string")
 
     def part(name: str, pick) -> Column:
         return F.transform(f"document.{name}", lambda x, k: F.struct(F.lit(name).alias("part"), k.cast("bigint").alias("place"), *(c.alias(o) for c, o in zip(pick(x), ("a", "b", "status", "line")))))
 
     one = lambda name, line: F.array(F.struct(F.lit(name).alias("part"), F.lit(0).cast("bigint").alias("place"), text.alias("a"), text.alias("b"), text.alias("status"), line.alias("line")))
-    parts = [
-        part("entries", lambda x: (x["input"], x["read_as"], x["status"], x["line"])),
-        part("notices", lambda x: (x["drug"], text, text, x["text"])),
-        one("summary", F.col("document.summary.text")),
-        part("findings", lambda x: (x["a"], x["b"], x["severity"], x["line"])),
-        part("ungraded", lambda x: (x["a"], x["b"], x["severity"], x["line"])),
-        part("signals", lambda x: (x["a"], x["b"], F.lit("signals only"), x["line"])),
-        part("hidden", lambda x: (x["a"], x["b"], x["after"].cast("string"), x["line"])),
-        part("unresolved", lambda x: (x["input"], text, text, x["line"])),
-        part("no_data", lambda x: (x["a"], x["b"], F.lit("no curated data"), x["line"])),
-        F.filter(one("covered", F.col("document.covered")), lambda x: x["line"].isNotNull()),
-    ]
-    return documents.select("request", F.explode(F.concat(*parts)).alias("p")).select("request", "p.*")
+    parts = {
+        "entries": part("entries", lambda x: (x["input"], x["read_as"], x["status"], x["line"])),
+        "notices": part("notices", lambda x: (x["drug"], text, text, x["text"])),
+        "summary": one("summary", F.col("document.summary.text")),
+        "findings": part("findings", lambda x: (x["a"], x["b"], x["severity"], x["line"])),
+        "ungraded": part("ungraded", lambda x: (x["a"], x["b"], x["severity"], x["line"])),
+        "signals": part("signals", lambda x: (x["a"], x["b"], F.lit("signals only"), x["line"])),
+        "hidden": part("hidden", lambda x: (x["a"], x["b"], x["after"].cast("string"), x["line"])),
+        "unresolved": part("unresolved", lambda x: (x["input"], text, text, x["line"])),
+        "no_data": part("no_data", lambda x: (x["a"], x["b"], F.lit("no curated data"), x["line"])),
+        "covered": F.filter(one("covered", F.col("document.covered")), lambda x: x["line"].isNotNull()),
+    }
+    return documents.select("request", F.explode(F.concat(*[p for n, p in parts.items() if only is None or n in only])).alias("p")).select("request", "p.*")
 
 
 def cell_links(found: DataFrame) -> DataFrame:
