@@ -69,11 +69,14 @@ def invariants(runs: DataFrame, log: DataFrame, names: DataFrame, planned: DataF
     yes = lambda c: F.coalesce(c, F.lit(False))
     low = names.select("run", F.lower("name").alias("name")).distinct()
     k = low.groupBy("run").agg(F.count(F.lit(1)).alias("k"))
-    fits = planned.join(low.withColumnRenamed("name", "a").withColumn("_a", F.lit(1)), ["run", "a"], "left").join(low.withColumnRenamed("name", "b").withColumn("_b", F.lit(1)), ["run", "b"], "left")
-    plan = fits.groupBy("run").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("a", "b").alias("pairs"), F.min(yes((F.col("a") < F.col("b")) & F.col("_a").isNotNull() & F.col("_b").isNotNull())).alias("sound"))
-    kinds = retrieved.groupBy("run", "a", "b").agg(F.countDistinct("has_records").alias("kinds"))
-    both = planned.select("run", "a", "b").distinct().withColumn("_p", F.lit(1)).join(kinds, ["run", "a", "b"], "full")
-    parts = both.groupBy("run").agg(F.min(yes(F.col("_p").isNotNull() & (F.col("kinds") == 1))).alias("parted"), F.count("_p").alias("n_planned"))
+    # a run's names are gathered, so that everything is dealt by the run
+    own = low.groupBy("run").agg(F.collect_set("name").alias("_names"))
+    fits = planned.join(own, "run", "left").withColumn("_fit", yes(F.col("a") < F.col("b")) & yes(F.array_contains("_names", F.col("a"))) & yes(F.array_contains("_names", F.col("b"))))
+    plan = fits.groupBy("run", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("_fit").alias("fit"))
+    plan = plan.groupBy("run").agg(F.sum("n").alias("rows"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("pairs"), F.min("fit").alias("sound"))
+    sides = planned.select("run", "a", "b", F.lit(1).alias("_p"), F.lit(None).cast("boolean").alias("has_records")).unionByName(retrieved.select("run", "a", "b", F.lit(None).cast("int").alias("_p"), "has_records"))
+    both = sides.groupBy("run", "a", "b").agg(F.max("_p").alias("_p"), F.countDistinct("has_records").alias("kinds"))
+    parts = both.groupBy("run").agg(F.min(yes(F.col("_p").isNotNull() & (F.col("kinds") == 1) & F.col("a").isNotNull() & F.col("b").isNotNull())).alias("parted"), F.count("_p").alias("n_planned"))
     gaps = retrieved.where("NOT has_records").select("run").distinct().withColumn("gap", F.lit(True))
     shown = runs.select("run", "report").join(drafts.select("run", F.col("text").alias("report"), "valid"), ["run", "report"]).groupBy("run").agg(F.max("valid").alias("is_valid"), F.max(~F.col("valid")).alias("is_refused"))
     bad = findings.select("run").distinct().withColumn("bad", F.lit(True))
