@@ -15,7 +15,8 @@ Answers. In each of a few rounds every set takes one set of another component fr
 one that most lists name. Where that link holds, the components become one, and lists that hold a single component are
 dropped: what a highly similar set has answered is not asked again. All pairs of different components in the lists that
 are left are then compared. Candidates must pass a bound by parity bitmaps (differing bits never outnumber differing
-shingles) and are then checked exactly on their texts.
+shingles) and are then checked exactly on their texts. A bitmap of one width says nothing of sets that fill it, so long sets
+have a second one with a bit or more for each shingle, which their candidates must pass before texts are fetched.
 
 Nulls and texts without words have no shingles, are linked with nothing and are their own component. Rows that
 share an id are documents of one name, each with its own set: sets are named by their fingerprints, and only the result
@@ -93,7 +94,7 @@ def heavy_rows(batches, k: int):
 
 
 def features_rows(batches, k: int, percent: int, heavy: np.ndarray, rank: np.ndarray):
-    """doc, key, n, the set's two fingerprints, its prefix in the corpus order, and its parity bitmap."""
+    """doc, key, n, the set's two fingerprints, its prefix in the corpus order, its parity bitmap, and a wide one if it is long."""
     for batch in batches:
         buf, offs = utf8(batch.column(2))
         for a, b in slices(offs):
@@ -105,6 +106,7 @@ def features_rows(batches, k: int, percent: int, heavy: np.ndarray, rank: np.nda
             row = np.repeat(np.arange(rows), n)
             odd = (np.bincount(row * BITS + (tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=rows * BITS) & 1).astype(np.uint8)
             parity = np.packbits(odd.reshape(rows, BITS), axis=1).view("<i8").reshape(rows, -1)
+            wide = [wide_bitmap(tokens[at[i] : at[i + 1]]) if n[i] > BITS else None for i in range(rows)]
             want = np.where(n > 0, n - (n * percent + 99) // 100 + 1, 0)
             if len(heavy):
                 spot = np.searchsorted(heavy, tokens)
@@ -125,7 +127,15 @@ def features_rows(batches, k: int, percent: int, heavy: np.ndarray, rank: np.nda
             sizes = np.array([len(p) for p in prefix], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(prefix) if rows else np.zeros(0, np.int64), pa.int64()))
             bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * (BITS // 64), pa.int32()), pa.array(parity.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists, bits], names=["doc", "key", "n", "h1", "h2", "prefix", "parity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), lists, bits, pa.array(wide, pa.list_(pa.int64()))], names=["doc", "key", "n", "h1", "h2", "prefix", "parity", "wide"])
+
+
+def wide_bitmap(tokens: np.ndarray) -> np.ndarray:
+    """The parity bitmap of one set in a power of two of bits, as many as it has shingles at least. Folded, with its halves
+    combined by exclusive or, it is the one of half the width."""
+    width = 1 << (len(tokens) - 1).bit_length()
+    odd = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
 def numbers(col: pa.Array) -> np.ndarray:
@@ -261,11 +271,18 @@ def pair_rows(batches, percent: int, block: int = 1 << 20):
             at = to
 
 
-def differing(a: str, b: str) -> Column:
+def differing(a: Column | str, b: Column | str) -> Column:
     """Bits by which two parity bitmaps differ."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def folded(a: str, b: str) -> Column:
+    """Wide bitmap a, folded if it has twice the width of b."""
+    half = (F.size(a) / 2).cast("int")
+    halves = F.zip_with(F.slice(a, 1, half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(a) == 2 * F.size(b), halves).otherwise(F.col(a))
+
+
 def linked_column(a: str, b: str, k: int, percent: int) -> Column:
     """Whether the shingle sets of two texts link, exactly."""
 
@@ -301,6 +318,7 @@ class Join:
     def __init__(self, spark: SparkSession, rows: DataFrame, k: int, percent: int):
         self.spark, self.rows, self.k, self.percent = spark, rows, k, percent
         self.scratch = Scratch(spark, "jaccard")
+        self.wide: DataFrame | None = None  # sid, n and wide bitmap of the long sets
 
     def features(self) -> DataFrame:
         k, percent = self.k, self.percent
@@ -309,7 +327,7 @@ class Join:
         tokens, counts = often["token"].to_numpy().view(np.uint64), often["n"].to_numpy()
         order = np.argsort(tokens)
         heavy = self.spark.sparkContext.broadcast((tokens[order], counts[order]))
-        made = self.rows.select("doc", "key", "text").mapInArrow(lambda it: features_rows(it, k, percent, *heavy.value), "doc bigint, key bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, parity array<bigint>")
+        made = self.rows.select("doc", "key", "text").mapInArrow(lambda it: features_rows(it, k, percent, *heavy.value), "doc bigint, key bigint, n bigint, h1 bigint, h2 bigint, prefix array<bigint>, parity array<bigint>, wide array<bigint>")
         return self.scratch.keep(made, "features")
 
     def named(self, features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -322,7 +340,7 @@ class Join:
         edges = [f(c).alias(f"{c}_{f.__name__}") for c in ("h1", "h2") for f in (F.min, F.max)]
         turn = 0
         while True:
-            sets = features.where("n > 0").groupBy("sid").agg(F.min("doc").alias("top"), F.min(F.struct("doc", "key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), *edges)
+            sets = features.where("n > 0").groupBy("sid").agg(F.min("doc").alias("top"), F.min(F.struct("doc", "key")).alias("one"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"), F.first("wide").alias("wide"), *edges)
             sets = self.scratch.keep(sets, "sets")
             self.scratch.forget("sets")
             shared = sets.where("h1_min < h1_max OR h2_min < h2_max").select(F.col("sid").alias("taken"))
@@ -333,22 +351,38 @@ class Join:
             again = features.join(shared, F.col("sid") == F.col("taken"), "left")
             features = again.withColumn("sid", F.when(F.col("taken").isNotNull(), set_name(turn)).otherwise(F.col("sid"))).drop("taken")
 
+    def allowed(self) -> Column:
+        """Shingles by which two sets of na and nb may differ if they link."""
+        total = F.col("na") + F.col("nb")
+        return total - 2 * F.floor((total * self.percent + 99 + self.percent) / (100 + self.percent))
+
     def near(self, pairs: DataFrame, bits: DataFrame) -> DataFrame:
         """The pairs (a, b) whose bitmaps allow a link."""
         left = bits.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
         right = bits.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-        total = F.col("na") + F.col("nb")
-        need = F.floor((total * self.percent + 99 + self.percent) / (100 + self.percent))
-        return pairs.join(left, "a").join(right, "b").where(differing("pa", "pb") <= total - 2 * need).select("a", "b").distinct()
+        return pairs.join(left, "a").join(right, "b").where(differing("pa", "pb") <= self.allowed()).select("a", "b").distinct()
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs but those of two long sets whose wide bitmaps allow no link."""
+        if self.wide is None:
+            return pairs
+        wide = self.paired(pairs, self.wide)
+        left = wide.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa"))
+        right = wide.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb"))
+        may = differing(folded("wa", "wb"), folded("wb", "wa")) <= self.allowed()  # null where a width is missing or more than twice the other
+        kept = self.scratch.keep(pairs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce(may, F.lit(True))).select("a", "b"), "close")
+        self.scratch.forget("close")
+        return kept
 
     def paired(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """The texts of sets that are in a pair. Most sets are in none, and all texts would be shuffled beside the few that are."""
+        """The texts (or other rows by sid) of sets that are in a pair. Most sets are in none, and all texts would be shuffled beside the few that are."""
         ends = self.scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct(), "ends")
         self.scratch.forget("ends")
         return texts.join(F.broadcast(ends), F.col("sid") == F.col("end"), "left_semi") if ends.count() <= SMALL else texts
 
     def check(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
         """The pairs that link."""
+        pairs = self.close(pairs)
         texts = self.paired(pairs, texts)
         left, right = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta")), texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
         both = pairs.join(left, "a").join(right, "b")
@@ -375,6 +409,7 @@ class Join:
         features, sets = self.named(self.features())
         entries = sets.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", "n", F.col("pos").cast("bigint").alias("pos"), F.col("sid").alias("label"))
         bits = sets.select("sid", "n", "parity")
+        self.wide = sets.where("wide IS NOT NULL").select("sid", "n", "wide")
         kind = "token bigint, sid bigint, n bigint, pos bigint, centre bigint"
         texts = labels = None
         for turn in range(TURNS):

@@ -130,3 +130,24 @@ def test_only_texts_of_sets_in_a_pair_are_dealt(spark, monkeypatch):
     assert join.paired(pairs, texts).count() == 20
     assert links == sorted(map(tuple, join.check(pairs, texts).collect())) == [(1, 0), (3, 2)]
     join.scratch.drop()
+
+
+def test_long_sets_that_cannot_link_are_not_compared_by_their_texts(spark, monkeypatch):
+    """Unrelated long texts that share a passage: their sets fill the bitmap of one width. Copies around a power of two link still."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = [(i, " ".join(f"x{rng.randrange(10**9)}" for _ in range(4000)) + " " + passage) for i in range(12)]
+    for i, n in enumerate((1040, 2060, 4110)):
+        words = [f"y{rng.randrange(10**9)}" for _ in range(n)]
+        docs += [(100 + 2 * i, " ".join(words)), (101 + 2 * i, " ".join(words[: n * 9 // 10]))]
+    compared, whole = [], jaccard.Join.paired
+
+    def paired(self, pairs, rows):
+        if "text" in rows.columns:
+            compared.extend(map(tuple, pairs.collect()))
+        return whole(self, pairs, rows)
+
+    monkeypatch.setattr(jaccard.Join, "paired", paired)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == brute(docs, 4, 85)
+    assert len(compared) <= 6  # three pairs link; before, those of the twelve others came along
