@@ -190,28 +190,55 @@ def structure(gathered: DataFrame) -> DataFrame:
     return gathered.select("request", F.to_json(F.struct(F.lit(2).alias("version"), counts.alias("summary"), cited_items().alias("items"), gaps.alias("no_data"))).alias("report"))
 
 
+EVIDENCE = {"curated": "=== CURATED RECORDS ===", "signals": "=== SIGNALS (NOT GRADED) ===", "effects": "=== SIDE EFFECTS ===", "gaps": "=== PAIRS WITHOUT DATA ==="}
+
+
+def evidence_lines(i: Column) -> Column:
+    """The lines of an item in the evidence for a prompt: of a record with its citation, after the last shown one of a pair that of the
+    hidden ones; of a pair without records its names."""
+    pair = F.concat(i["a"], F.lit(" + "), i["b"])
+    cite = F.concat(F.lit("- ["), i["source"], F.lit(":"), i["record_id"], F.lit("] "), pair)
+    graded = F.concat(cite, F.lit(": severity="), F.when(i["severity"] == "Unknown", "not graded").otherwise(i["severity"]), F.lit(", event="), i["event"])
+    signal = F.concat(cite, F.lit(": event="), i["event"], F.lit(", co-reports="), i["reports"].cast("string"))
+    hidden = F.when((i["section"] == 5) & i["last"], F.concat(F.lit("- "), pair, F.lit(": "), i["hidden"].cast("string"), F.lit(" more not shown")))
+    line = F.when(i["section"] == 6, F.concat(F.lit("- "), pair)).when(i["section"] == 5, signal).otherwise(graded)
+    return F.array_compact(F.array(line, hidden))
+
+
+def evidence_text(curated: Column, signals: Column, effects: Column, gaps: Column) -> Column:
+    """The parts of the evidence, arrays of lines, with their headings; the first part always stands."""
+    none = F.array().cast("array<string>")
+    parts = {"curated": curated, "signals": signals, "effects": effects, "gaps": gaps}
+    return F.array_join(F.concat(*[F.when((F.size(x) > 0) | F.lit(k == "curated"), F.concat(F.array(F.lit(EVIDENCE[k])), F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("(none)"))))).otherwise(none) for k, x in parts.items()]), "\n")
+
+
+def said_lines(effects: DataFrame) -> DataFrame:
+    """request and the lines of its names' side effects. effects: (request, name, effects)."""
+    return effects.groupBy("request").agg(F.sort_array(F.collect_list(F.concat(F.lit("- "), "name", F.lit(": "), "effects"))).alias("_effects"))
+
+
 def evidence_block(gathered: DataFrame, effects: DataFrame) -> DataFrame:
     """request and the evidence as plain text for a prompt: curated records, signals, side effects, pairs without data.
 
     effects: (request, name, effects), the last a text; a request without any, or without pairs, leaves those parts out.
     """
-    heads = {"curated": "=== CURATED RECORDS ===", "signals": "=== SIGNALS (NOT GRADED) ===", "effects": "=== SIDE EFFECTS ===", "gaps": "=== PAIRS WITHOUT DATA ==="}
     none = F.array().cast("array<string>")
-    pair = lambda i: F.concat(i["a"], F.lit(" + "), i["b"])
-    cite = lambda i: F.concat(F.lit("- ["), i["source"], F.lit(":"), i["record_id"], F.lit("] "), pair(i))
-    graded = lambda i: F.array(F.concat(cite(i), F.lit(": severity="), F.when(i["severity"] == "Unknown", "not graded").otherwise(i["severity"]), F.lit(", event="), i["event"]))
-    hidden = lambda i: F.when(i["last"], F.concat(F.lit("- "), pair(i), F.lit(": "), i["hidden"].cast("string"), F.lit(" more not shown")))
-    signal = lambda i: F.array_compact(F.array(F.concat(cite(i), F.lit(": event="), i["event"], F.lit(", co-reports="), i["reports"].cast("string")), hidden(i)))
-    of = lambda test, line: F.coalesce(F.flatten(F.transform(F.filter("items", test), line)), none)
-    said = effects.groupBy("request").agg(F.sort_array(F.collect_list(F.concat(F.lit("- "), "name", F.lit(": "), "effects"))).alias("_effects"))
-    parts = {
-        "curated": of(lambda i: i["section"] < 5, graded),
-        "signals": of(lambda i: i["section"] == 5, signal),
-        "effects": F.coalesce("_effects", none),
-        "gaps": of(lambda i: i["section"] == 6, lambda i: F.array(F.concat(F.lit("- "), pair(i)))),
-    }
-    text = F.array_join(F.concat(*[F.when((F.size(x) > 0) | F.lit(k == "curated"), F.concat(F.array(F.lit(heads[k])), F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("(none)"))))).otherwise(none) for k, x in parts.items()]), "\n")
-    return gathered.join(said, "request", "left").select("request", text.alias("text"))
+    of = lambda test: F.coalesce(F.flatten(F.transform(F.filter("items", test), evidence_lines)), none)
+    text = evidence_text(of(lambda i: i["section"] < 5), of(lambda i: i["section"] == 5), F.coalesce("_effects", none), of(lambda i: i["section"] == 6))
+    return gathered.join(said_lines(effects), "request", "left").select("request", text.alias("text"))
+
+
+def evidence_of_pairs(requests: DataFrame, told: DataFrame, effects: DataFrame) -> DataFrame:
+    """The same from the text of each pair: what a pair's records say is the same in every request, so it is made among the records.
+
+    requests: request, one row each; told: (request, a, b, section, text) for each pair of a request and each section that it is in,
+    with section 6 for a pair without records.
+    """
+    none = F.array().cast("array<string>")
+    items = told.groupBy("request").agg(F.sort_array(F.collect_list(F.struct("section", "a", "b", "text"))).alias("_t"))
+    of = lambda test: F.coalesce(F.transform(F.filter("_t", test), lambda i: i["text"]), none)
+    text = evidence_text(of(lambda i: i["section"] < 5), of(lambda i: i["section"] == 5), F.coalesce("_effects", none), of(lambda i: i["section"] == 6))
+    return requests.join(items, "request", "left").join(said_lines(effects), "request", "left").select("request", text.alias("text"))
 
 
 def signal_block(assessed: DataFrame) -> DataFrame:
