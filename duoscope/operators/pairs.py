@@ -111,21 +111,22 @@ def shown_once(records: DataFrame, statistical: Column, order: list[Column], sho
     return done
 
 
-def review(pairs: DataFrame, records: DataFrame, statistical: Column, order: list[Column], shown: int = 3) -> DataFrame:
+def review(pairs: DataFrame, records: DataFrame, statistical: Column, order: list[Column], shown: int = 3, unique: bool = False) -> DataFrame:
     """Planned pairs with the records that select_records() shows; a pair without records is one row with
     nulls in their place.
 
     last marks the row after which a pair's hidden records are to be mentioned, head one row of each pair. What is shown of a pair
-    is the same in all requests, so it is selected once, among the records.
+    is the same in all requests, so it is selected once, among the records. unique says that no pair is planned twice in a request, as
+    plan() gives them; telling pairs apart holds all of a task's in memory.
     """
     done = shown_once(records, statistical, order, shown)
-    return lookup(pairs.distinct(), done, "left").withColumns({"position": F.coalesce("position", F.lit(1)), "hidden": F.coalesce("hidden", F.lit(0)), "last": F.coalesce("last", F.lit(False)), "head": F.coalesce("head", F.lit(True))})
+    return lookup(pairs if unique else pairs.distinct(), done, "left").withColumns({"position": F.coalesce("position", F.lit(1)), "hidden": F.coalesce("hidden", F.lit(0)), "last": F.coalesce("last", F.lit(False)), "head": F.coalesce("head", F.lit(True))})
 
 
-def partition(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Every planned pair and whether any record is about it; each pair is in one part exactly."""
+def partition(pairs: DataFrame, records: DataFrame, unique: bool = False) -> DataFrame:
+    """Every planned pair and whether any record is about it; each pair is in one part exactly. unique: as in review()."""
     known = dimension(records.select("a", "b").distinct().withColumn("_k", F.lit(True)))
-    return pairs.distinct().join(known, ["a", "b"], "left").select("request", "a", "b", F.coalesce("_k", F.lit(False)).alias("has_records"))
+    return (pairs if unique else pairs.distinct()).join(known, ["a", "b"], "left").select("request", "a", "b", F.coalesce("_k", F.lit(False)).alias("has_records"))
 
 
 def charge(df: DataFrame, rules: list[tuple[str, Column]], out: str = "reason") -> DataFrame:
