@@ -128,10 +128,15 @@ def holds(t: Column, pattern: str) -> Column:
     return t.rlike(ascii_bounds(pattern))
 
 
+def numerals(t: Column, *patterns: str) -> Column:
+    """Numbers that patterns find as they are written, leading zeros and all, those of the first pattern first, thousands separators
+    left out. Each pattern reads the whole text: "4 co-reports: 12" holds a number of each form."""
+    return F.transform(F.flatten(F.array(*[every(t, p) for p in patterns])), lambda x: F.replace(x, F.lit(","), F.lit("")))
+
+
 def counts(t: Column, *patterns: str) -> Column:
-    """Whole numbers that patterns find, those of the first pattern first, thousands separators left out. Each pattern reads the
-    whole text: "4 co-reports: 12" holds a number of each form."""
-    return F.transform(F.flatten(F.array(*[every(t, p) for p in patterns])), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("bigint"))
+    """numerals() as whole numbers; null where one is too long for that."""
+    return F.transform(numerals(t, *patterns), lambda x: x.try_cast("bigint"))
 
 
 #: What a text must hold for a pattern to match at all. A plain search for these is many times faster than the pattern.
