@@ -41,8 +41,10 @@ def items_of(reviewed: DataFrame) -> Column:
 
 def gather(names: DataFrame, reviewed: DataFrame) -> DataFrame:
     """request, names (how many) and items in the order of the report. names: (request, name); reviewed: as pairs.review()
-    gives it, with source, severity, event and reports; record_id and printed are made here where it lacks them. A request without
+    gives it, with source, severity, event and reports; record_id, printed and head are made here where it lacks them. A request without
     pairs has null items."""
+    if "head" not in reviewed.columns:
+        reviewed = reviewed.withColumn("head", F.row_number().over(Window.partitionBy("request", "a", "b").orderBy(F.col("source") == "SIGNAL", "position")) == 1)
     items = reviewed.groupBy("request").agg(F.sort_array(F.collect_list(items_of(reviewed))).alias("items"))
     n = names.groupBy("request").agg(F.countDistinct("name").alias("names"))
     return n.join(items, "request", "left")
